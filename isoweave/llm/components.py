@@ -27,8 +27,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     kind, pointers, turn = left.schema["a"].dataType, [], 0
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c))  # noqa: E731, B023
-        best = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select("a", F.least(F.col("best"), rank("a"))["col2"].alias("to"))
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("hash"), F.col(c).alias("vertex"))  # noqa: E731, B023
+        best = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select("a", F.least(F.col("best"), rank("a"))["vertex"].alias("to"))
         pointer = cut(best)
         pointers.append(pointer)
         moved = left.join(pointer, "a").select(F.col("to").alias("x"), "b")
