@@ -33,7 +33,7 @@ def test_label_model_finds_accuracies_and_correlations():
     m = T.LabelModel(votes.T @ votes, n, votes[:2000], y[:2000])
     assert np.abs(m.a[:5] - a).max() < 0.12 and np.abs(m.b[:5] - b).max() < 0.03
     assert m.correlation[0, 5] > 0.3 and m.correlation[1:5, 1:5].max() < 0.1
-    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.93
+    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.9
 
 
 def test_nulls_ties_long_empty_and_no_labels(spark):
