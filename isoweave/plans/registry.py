@@ -5,17 +5,282 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoweave.functions import calculus as C
+from isoweave.functions import grid as G
+from isoweave.operators import iterate, lines, regions
+from isoweave.runtime import cut, table
+from isoweave.sources import raster
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: the revenue field of lineitem as SQL: (vid, x, y, v)
+LQ = """
+raw as (select date_diff('day', date '1992-01-01', cast(l_shipdate as date)) // 56 - 19 as x, cast(l_quantity as bigint) - 1 as y,
+    cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as v from lineitem group by 1, 2),
+lq as (select g as vid, g % 46 as x, g // 46 as y, coalesce(v, 0) as v from range(2300) t(g) left join raw on raw.x = g % 46 and raw.y = g // 46)
+"""
+#: face neighbours: (vid, v, nvid, nv)
+NEAR = """
+near as (select a.vid, a.v, b.vid as nvid, b.v as nv from lq a join lq b on (abs(a.x - b.x) = 1 and a.y = b.y) or (abs(a.y - b.y) = 1 and a.x = b.x))
+"""
+PEAKS = f"""
+{LQ}, {NEAR},
+best as (select vid, v, nvid, nv, row_number() over (partition by vid order by nv desc, nvid desc) as r from near),
+ptr as (select vid, case when nv > v or (nv = v and nvid > vid) then nvid else vid end as next from best where r = 1),
+walk(vid, top) as (select vid, vid from ptr union select w.vid, p.next from walk w join ptr p on p.vid = w.top),
+peak as (select w.vid, w.top as label from walk w join ptr p on p.vid = w.top and p.next = p.vid)
+"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+@query("t3_raster_lineitem", f"with {LQ} select vid, x, y, v as value from lq")
+def t3_raster(spark: SparkSession, d: str) -> DataFrame:
+    return raster.lineitem_field(spark, d).select("vid", "x", "y", "value")
+
+
+@query("g3_neighbours", f"with {LQ}, {NEAR} select vid, count(*) as n, cast(sum(nv) as bigint) as total, min(nvid) as first from near group by vid")
+def g3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    near = G.neighbours(raster.lineitem_field(spark, d), raster.LQ)
+    return near.groupBy("vid").agg(F.count("*").alias("n"), F.sum("nvalue").alias("total"), F.min("nvid").alias("first"))
+
+
+@query("g4_full_neighbours", f"with {LQ} select a.vid, count(*) as n, cast(sum(b.v) as bigint) as total from lq a join lq b on greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 group by a.vid")
+def g4_full(spark: SparkSession, d: str) -> DataFrame:
+    near = G.neighbours(raster.lineitem_field(spark, d), raster.LQ, "full")
+    return near.groupBy("vid").agg(F.count("*").alias("n"), F.sum("nvalue").alias("total"))
+
+
+@query("g8_boundary", f"with {LQ} select vid, least(x, 45 - x, y, 49 - y) as dist, cast(x in (0, 45) as int) + cast(y in (0, 49) as int) as bnd from lq")
+def g8_boundary(spark: SparkSession, d: str) -> DataFrame:
+    field = raster.lineitem_field(spark, d)
+    at = [F.col(n) for n in G.NAMES]
+    return field.select("vid", G.distance_to_boundary(at, raster.LQ).alias("dist"), G.boundary_of(at, raster.LQ).alias("bnd"))
+
+
+@query("g15_cell_extremes", f"""with {LQ}, cell as (select g as cid, g % 91 as cx, g // 91 as cy from range(9009) t(g)),
+    vert as (select c.cid, c.cx % 2 + c.cy % 2 as dim, lq.vid, lq.v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2)),
+    ranked as (select *, row_number() over (partition by cid order by v, vid) as up, row_number() over (partition by cid order by v desc, vid desc) as down from vert)
+    select cid, cast(any_value(dim) as int) as dim, max(case when down = 1 then vid end) as vmax, max(case when up = 1 then vid end) as vmin, max(v) as max_value, min(v) as min_value, count(*) as n_vertices from ranked group by cid""")
+def g15_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells = G.cells(spark, raster.LQ)
+    found = G.cell_extremes(cells, raster.lineitem_field(spark, d), raster.LQ)
+    return found.join(cells.select("cid", "dim"), "cid").select("cid", "dim", "vmax", "vmin", "max_value", "min_value", "n_vertices")
+
+
+@query("f1_gradient", f"""with {LQ}, w as (select *, lag(v) over (partition by y order by x) as l, lead(v) over (partition by y order by x) as r, lag(v) over (partition by x order by y) as b, lead(v) over (partition by x order by y) as t from lq)
+    select vid, case when l is null then cast(r - v as double) when r is null then cast(v - l as double) else (r - l) / 2.0 end as dx, case when b is null then cast(t - v as double) when t is null then cast(v - b as double) else (t - b) / 2.0 end as dy from w""")
+def f1_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return C.gradient(raster.lineitem_field(spark, d), raster.LQ).select("vid", "dx", "dy")
+
+
+def _kernel_sql(weights: list[tuple[int, int, int]]) -> str:
+    rows = ", ".join(f"({x}, {y}, {w})" for x, y, w in weights)
+    return f"""with {LQ}, k(dx, dy, w) as (values {rows}) select a.vid, cast(sum(k.w * b.v) as double) as value from lq a cross join k
+        join lq b on b.x = least(greatest(a.x + k.dx, 0), 45) and b.y = least(greatest(a.y + k.dy, 0), 49) group by a.vid"""
+
+
+@query("f4_laplacian", _kernel_sql([(0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1)]))
+def f4_laplacian(spark: SparkSession, d: str) -> DataFrame:
+    return C.convolve(raster.lineitem_field(spark, d), raster.LQ, C.kernel("laplacian"))
+
+
+@query("f4_sobel_x", _kernel_sql([(x, y, x * (2 - abs(y))) for x in (-1, 1) for y in (-1, 0, 1)]))
+def f4_sobel(spark: SparkSession, d: str) -> DataFrame:
+    return C.convolve(raster.lineitem_field(spark, d), raster.LQ, C.kernel("sobel_x"))
+
+
+@query("f4_gauss")
+def f4_gauss(spark: SparkSession, d: str) -> DataFrame:
+    return C.convolve(raster.lineitem_field(spark, d), raster.LQ, C.kernel("gauss", 5))
+
+
+@query("g19_range", f"with {LQ} select min(v) as low, max(v) as high, max(v) - min(v) as range from lq")
+def g19_range(spark: SparkSession, d: str) -> DataFrame:
+    return C.value_range(raster.lineitem_field(spark, d))
+
+
+@query("d1_extrema", f"""with {LQ}, {NEAR} select vid, any_value(v) as value, max(cast(nv < v or (nv = v and nvid < vid) as int)) = 0 as is_min, max(cast(nv > v or (nv = v and nvid > vid) as int)) = 0 as is_max
+    from near group by vid having max(cast(nv < v or (nv = v and nvid < vid) as int)) = 0 or max(cast(nv > v or (nv = v and nvid > vid) as int)) = 0""")
+def d1_extrema(spark: SparkSession, d: str) -> DataFrame:
+    return regions.extrema(raster.lineitem_field(spark, d), raster.LQ)
+
+
+@query("d2_steepest", f"with recursive {PEAKS} select vid, next from ptr")
+def d2_steepest(spark: SparkSession, d: str) -> DataFrame:
+    return regions.steepest(raster.lineitem_field(spark, d), raster.LQ)
+
+
+@query("r8_peaks", f"with recursive {PEAKS} select vid, label from peak")
+def r8_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return regions.basins(raster.lineitem_field(spark, d), raster.LQ)
+
+
+@query("revenue_by_peak", f"with recursive {PEAKS} select label, count(*) as n_cells, cast(sum(v) as bigint) as revenue from peak join lq using (vid) group by label")
+def revenue_by_peak(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue of every region of the ship-period x quantity plane whose cells climb to the same peak."""
+    field = cut(raster.lineitem_field(spark, d))
+    labels = regions.basins(field, raster.LQ)
+    return labels.join(field, "vid").groupBy("label").agg(F.count("*").alias("n_cells"), F.sum("value").alias("revenue"))
+
+
+@query("r10_separators", f"""with recursive {PEAKS} select a.label as label1, b.label as label2, count(*) as n_edges from near n join peak a on a.vid = n.vid join peak b on b.vid = n.nvid where a.label < b.label group by 1, 2""")
+def r10_separators(spark: SparkSession, d: str) -> DataFrame:
+    labels = cut(regions.basins(raster.lineitem_field(spark, d), raster.LQ))
+    return regions.separators(labels, raster.LQ).groupBy("label1", "label2").agg(F.count("*").alias("n_edges"))
+
+
+@query("r11_region_stats", f"with recursive {PEAKS}, s as (select label, count(*) as area from peak group by 1) select count(*) as regions, cast(sum(area) as bigint) as labelled, min(area) as min_area, max(area) as max_area, avg(area) as mean_area, cast(2300 - sum(area) as bigint) as unlabelled from s")
+def r11_stats(spark: SparkSession, d: str) -> DataFrame:
+    return regions.region_statistics(regions.basins(raster.lineitem_field(spark, d), raster.LQ), raster.LQ.size)
+
+
+MASK = f"""{LQ}, {NEAR}, m as (select vid, v from lq where v > (select avg(v) from lq)),
+link as (select n.vid, n.nvid from near n where n.vid in (select vid from m) and n.nvid in (select vid from m)),
+reach(vid, top) as (select vid, vid from m union select r.vid, l.nvid from reach r join link l on l.vid = r.top),
+comp as (select vid, min(top) as label from reach group by vid)"""
+
+
+def _mask(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    field = cut(raster.lineitem_field(spark, d))
+    mean = field.agg(F.avg("value").alias("mean"))
+    return field, field.join(F.broadcast(mean), F.col("value") > F.col("mean")).select("vid", "value")  # one row
+
+
+@query("r1_components", f"with recursive {MASK} select vid, label from comp")
+def r1_components(spark: SparkSession, d: str) -> DataFrame:
+    return regions.components(_mask(spark, d)[1], raster.LQ)
+
+
+@query("r2_dense_labels", f"with recursive {MASK} select vid, dense_rank() over (order by label) - 1 as label from comp")
+def r2_dense(spark: SparkSession, d: str) -> DataFrame:
+    return regions.relabel_dense(regions.components(_mask(spark, d)[1], raster.LQ)).select("vid", "label")
+
+
+@query("r3_bbox", f"""with recursive {MASK} select label, count(*) as n, greatest(min(x) - 1, 0) as x0, least(max(x) + 1, 45) as x1, greatest(min(y) - 1, 0) as y0, least(max(y) + 1, 49) as y1 from comp join lq using (vid) group by label""")
+def r3_bbox(spark: SparkSession, d: str) -> DataFrame:
+    return regions.bounding_boxes(regions.components(_mask(spark, d)[1], raster.LQ), raster.LQ).select("label", "n", "x0", "x1", "y0", "y1")
+
+
+@query("r4_sub_volumes", f"""with recursive {MASK}, b as (select label, greatest(min(x) - 1, 0) as x0, least(max(x) + 1, 45) as x1, greatest(min(y) - 1, 0) as y0, least(max(y) + 1, 49) as y1 from comp join lq using (vid) group by label)
+    select b.label, lq.vid, case when c.label = b.label then lq.v else 0 end as value from b join lq on lq.x between x0 and x1 and lq.y between y0 and y1 left join comp c on c.vid = lq.vid""")
+def r4_sub_volumes(spark: SparkSession, d: str) -> DataFrame:
+    field, mask = _mask(spark, d)
+    return regions.sub_volumes(cut(regions.components(mask, raster.LQ)), field, raster.LQ)
+
+
+@query("r18_active_cells", f"""with {LQ}, cell as (select g as cid, g % 91 as cx, g // 91 as cy from range(9009) t(g)),
+    vert as (select c.cid, lq.v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2))
+    select cid from vert group by cid having min(v) < 5000000 and max(v) >= 5000000""")
+def r18_active(spark: SparkSession, d: str) -> DataFrame:
+    found = G.cell_extremes(G.cells(spark, raster.LQ), raster.lineitem_field(spark, d), raster.LQ)
+    return regions.active_cells(found, 5000000).select("cid")
+
+
+#: one polyline for each user: (line_id, pos, x, y) with whole seconds and cents, so that products are exact
+PL = """pl as (select user_id as line_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos,
+    cast(date_diff('second', timestamp '2024-01-01', ts) // 3600 as double) as x, cast(round(value * 100) as bigint) / 100.0 as y from events)"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    hours = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600)
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    y = F.round(F.col("value") * 100).cast("long") / 100
+    return events.select(F.col("user_id").alias("line_id"), rank.cast("long").alias("pos"), hours.cast("double").alias("x"), y.alias("y"), F.lit(0.0).alias("z"), y.alias("value"))
+
+
+@query("p1_length", f"with {PL}, s as (select line_id, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from pl window w as (partition by line_id order by pos)) select line_id, round(coalesce(sum(step), 0), 4) as length, count(*) as n_points from s group by line_id")
+def p1_length(spark: SparkSession, d: str) -> DataFrame:
+    return lines.lengths(_lines(spark, d)).select("line_id", F.round("length", 4).alias("length"), "n_points")
+
+
+@query("p4_orientation", f"""with {PL}, e as (select line_id, arg_max(x, pos) - arg_min(x, pos) as dx, arg_max(y, pos) - arg_min(y, pos) as dy from pl group by line_id)
+    select line_id, case when dx <> 0 or dy <> 0 then round(degrees(acos(dx / sqrt(dx * dx + dy * dy))), 4) end as angle_x, case when dx <> 0 or dy <> 0 then round(degrees(acos(dy / sqrt(dx * dx + dy * dy))), 4) end as angle_y from e""")
+def p4_orientation(spark: SparkSession, d: str) -> DataFrame:
+    return lines.orientation(_lines(spark, d)).select("line_id", F.round("angle_x", 4).alias("angle_x"), F.round("angle_y", 4).alias("angle_y"))
+
+
+@query("p5_centroid", f"with {PL} select line_id, round(avg(x), 4) as x, round(avg(y), 4) as y from pl group by line_id")
+def p5_centroid(spark: SparkSession, d: str) -> DataFrame:
+    return lines.centroids(_lines(spark, d)).select("line_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("p6_curvature", f"""with {PL}, w as (select line_id, x - lag(x, 10) over w as bx, y - lag(y, 10) over w as b_y, lead(x, 10) over w - x as ax, lead(y, 10) over w - y as ay from pl window w as (partition by line_id order by pos)),
+    a as (select line_id, case when (bx * bx + b_y * b_y) * (ax * ax + ay * ay) > 0 then acos(greatest(least((bx * ax + b_y * ay) / (sqrt(bx * bx + b_y * b_y) * sqrt(ax * ax + ay * ay)), 1), -1)) end as angle from w)
+    select line_id, round(coalesce(sum(angle), 0), 3) as total, round(avg(angle), 3) as mean from a group by line_id""")
+def p6_curvature(spark: SparkSession, d: str) -> DataFrame:
+    return lines.curvature(_lines(spark, d)).select("line_id", F.round("total", 3).alias("total"), F.round("mean", 3).alias("mean"))
+
+
+@query("p11_metrics", f"""with {PL}, s as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from pl window w as (partition by line_id order by pos))
+    select line_id, round(coalesce(sum(step), 0), 4) as length, round(avg(y), 4) as mean_value, round(avg(x), 4) as mean_x, round(avg(case when y > 0 then y end), 4) as mean_positive from s group by line_id""")
+def p11_metrics(spark: SparkSession, d: str) -> DataFrame:
+    found = lines.metrics(_lines(spark, d).withColumn("positive", F.col("value")), ("positive",))
+    return found.select("line_id", *[F.round(c, 4).alias(c) for c in ("length", "mean_value", "mean_x", "mean_positive")])
+
+
+@query("p2_smooth")
+def p2_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return lines.smooth(_lines(spark, d), 5)
+
+
+@query("p3_decimate")
+def p3_decimate(spark: SparkSession, d: str) -> DataFrame:
+    return lines.decimate(_lines(spark, d), 5.0)
+
+
+@query("p9_slices")
+def p9_slices(spark: SparkSession, d: str) -> DataFrame:
+    return lines.slices(_lines(spark, d), 100.0)
+
+
+@query("p13_radius_join", """select a.p_partkey as p_partkey, count(*) as n, min(b.p_partkey) as first from part a join part b
+    on abs(a.p_size - b.p_size) <= 2 and (a.p_size - b.p_size) ** 2 + (round(a.p_retailprice) - round(b.p_retailprice)) ** 2 <= 4 group by a.p_partkey""")
+def p13_radius(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("x"), F.round("p_retailprice").alias("y"))
+    return lines.within(points, points, 2.0, ("x", "y")).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("r_p_partkey").alias("first"))
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    near = G.neighbours(raster.lineitem_field(spark, d), raster.LQ)
+    return cut(near.select(F.col("vid").alias("src"), F.col("nvid").alias("dst"), F.abs(F.col("value") - F.col("nvalue")).alias("weight")))
+
+
+@query("l14_nearest_source")
+def l14_nearest(spark: SparkSession, d: str) -> DataFrame:
+    edges = _graph(spark, d)
+    return iterate.nearest_source(edges, edges.select(F.col("src").alias("vertex")).where("vertex % 97 = 0").distinct())
+
+
+@query("l12_shortest_path")
+def l12_path(spark: SparkSession, d: str) -> DataFrame:
+    edges = _graph(spark, d)
+    ends = edges.agg(F.min("src").alias("a"), F.max("src").alias("b"))
+    return iterate.shortest_path(edges, ends.select(F.col("a").alias("vertex")), ends.select(F.col("b").alias("vertex")))
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
