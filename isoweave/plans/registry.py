@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from isoweave.functions import calculus as C
 from isoweave.functions import grid as G
+from isoweave.operators import complex as M
+from isoweave.operators import gradient as D
 from isoweave.operators import iterate, lines, regions
 from isoweave.runtime import cut, table
 from isoweave.sources import raster
@@ -274,6 +276,81 @@ def l12_path(spark: SparkSession, d: str) -> DataFrame:
     return iterate.shortest_path(edges, ends.select(F.col("a").alias("vertex")), ends.select(F.col("b").alias("vertex")))
 
 
+def _gradient(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    field = cut(raster.lineitem_field(spark, d))
+    return field, cut(D.discrete_gradient(field, raster.LQ))
+
+
+@query("d4_gradient")
+def d4_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return D.discrete_gradient(raster.lineitem_field(spark, d), raster.LQ)
+
+
+@query("d4_gradient_volume")
+def d4_gradient_volume(spark: SparkSession, d: str) -> DataFrame:
+    return D.discrete_gradient(raster.lineitem_volume(spark, d), raster.LQD)
+
+
+#: minima of the complex are the vertices without a lower face neighbour, whatever the pairing above them
+@query("m1_minima", f"""with {LQ}, {NEAR} select vid % 46 * 2 + vid // 46 * 2 * 91 as cid, any_value(v) as value from near group by vid having max(cast(nv < v or (nv = v and nvid < vid) as int)) = 0""")
+def m1_minima(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return M.nodes(grad, field, raster.LQ).where("dim = 0").select("cid", "value")
+
+
+#: a vertex paired with its steepest edge flows to its lowest neighbour, so basins follow the steepest pointer
+@query("r7_basins", f"""with recursive {LQ}, {NEAR}, best as (select vid, v, nvid, nv, row_number() over (partition by vid order by nv, nvid) as r from near),
+    ptr as (select vid, case when nv < v or (nv = v and nvid < vid) then nvid else vid end as next from best where r = 1),
+    walk(vid, top) as (select vid, vid from ptr union select w.vid, p.next from walk w join ptr p on p.vid = w.top)
+    select w.vid % 46 * 2 + w.vid // 46 * 2 * 91 as cid, w.top % 46 * 2 + w.top // 46 * 2 * 91 as label from walk w join ptr p on p.vid = w.top and p.next = p.vid""")
+def r7_basins(spark: SparkSession, d: str) -> DataFrame:
+    return M.ends_down(_gradient(spark, d)[1], raster.LQ)
+
+
+@query("m1_nodes")
+def m1_nodes(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return M.nodes(grad, field, raster.LQ)
+
+
+@query("m2_arcs")
+def m2_arcs(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return M.arcs(grad, field, raster.LQ)
+
+
+def _pairs(spark: SparkSession, d: str, maxima: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    field, grad = _gradient(spark, d)
+    nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+    edges = M.extremum_graph(arcs, nodes, raster.LQ, maxima)
+    extrema = nodes.where(f"dim = {2 if maxima else 0}").select("nid", "value")
+    return grad, nodes, M.merge_pairs(edges, extrema, maxima)
+
+
+@query("r12_merge_pairs")
+def r12_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)[2]
+
+
+@query("r9_relabel")
+def r9_relabel(spark: SparkSession, d: str) -> DataFrame:
+    grad, _, pairs = _pairs(spark, d)
+    return M.survivors(M.ends_down(grad, raster.LQ), cut(pairs), 2e6)
+
+
+@query("m12_living")
+def m12_living(spark: SparkSession, d: str) -> DataFrame:
+    _, nodes, pairs = _pairs(spark, d)
+    return M.living(nodes, cut(pairs), 2e6)
+
+
+@query("l15_min_network")
+def l15_network(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+    return M.minimal_network(M.extremum_graph(arcs, nodes, raster.LQ, maxima=False), [0.0, 2e6, 4e6])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
