@@ -175,3 +175,26 @@ def constituents(pairs: DataFrame, limit: float) -> DataFrame:
 def pieces(edges: DataFrame) -> DataFrame:
     """Connected pieces of an extremum graph."""
     return connected_components(edges.select(F.col("e1").alias("src"), F.col("e2").alias("dst")))
+
+
+def ridge_arcs(arc_df: DataFrame, meta: GridMeta) -> DataFrame:
+    """Arcs of top saddles with maxima."""
+    return arc_df.where(F.col("dim") == len(meta.axes) - 1)
+
+
+def valley_arcs(arc_df: DataFrame) -> DataFrame:
+    """Arcs of minima with 1-saddles."""
+    return arc_df.where("dim = 0")
+
+
+def ligaments(arc_df: DataFrame, node_df: DataFrame, meta: GridMeta, least: float = 0.0) -> DataFrame:
+    """(e1, e2, sid, svalue): saddles of at least this value that join two different maxima."""
+    return extremum_graph(arc_df, node_df, meta).where(F.col("svalue") >= least)
+
+
+def filtered_arcs(arc_df: DataFrame, node_df: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Arcs whose lower end is at least ``low`` and whose upper end is at most ``high``."""
+    value = node_df.select("nid", "value")
+    out = arc_df.join(value.select(F.col("nid").alias("lower"), F.col("value").alias("lower_value")), "lower").join(value.select(F.col("nid").alias("upper"), F.col("value").alias("upper_value")), "upper")
+    out = out if low is None else out.where(F.col("lower_value") >= low)
+    return out if high is None else out.where(F.col("upper_value") <= high)
