@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoweave.llm.components import connected_components
+from isoweave.operators.iterate import connected_components
 from isoweave.llm.op6_license import LOWER, UPPER
 from isoweave.runtime import cut, table
 

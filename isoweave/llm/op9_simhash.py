@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoweave.llm.components import connected_components
+from isoweave.operators.iterate import connected_components
 from isoweave.runtime import cut, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from isoweave.llm import op9_simhash as S
-from isoweave.llm.components import connected_components
+from isoweave.operators.iterate import connected_components
 
 
 def slow_fingerprint(text):
