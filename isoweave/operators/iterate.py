@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isoweave.runtime import cut
+from isoweave.runtime import cut, cut_in_loop
 
 
 def terminal(pointers: DataFrame, id: str = "id", next: str = "next") -> DataFrame:
@@ -37,24 +37,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     whatever the shape.  The pointers of all rounds are then composed, last round first.  Null ends and loops are no edges.
     """
     left = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b")
-    left = cut(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = cut_in_loop(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pointers, turn = [], 0
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("hash"), F.col(c).alias("vertex"))  # noqa: E731, B023
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select("a", F.least(F.col("best"), rank("a"))["vertex"].alias("to"))
-        pointer = cut(best)
+        pointer = cut_in_loop(best)
         pointers.append(pointer)
         moved = left.join(pointer, "a").select(F.col("to").alias("x"), "b")
         moved = moved.join(pointer.withColumnRenamed("a", "b"), "b").select("x", F.col("to").alias("y"))
-        left = cut(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = cut_in_loop(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
     if not pointers:
         return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
     root = pointers[-1]
     for pointer in reversed(pointers[:-1]):
         further = root.select(F.col("a").alias("to"), F.col("to").alias("end"))
-        root = cut(pointer.join(further, "to", "left").select("a", F.coalesce("end", "to").alias("to")))
+        root = cut_in_loop(pointer.join(further, "to", "left").select("a", F.coalesce("end", "to").alias("to")))
     least = root.groupBy("to").agg(F.min("a").alias("component"))
     return root.join(least, "to").select(F.col("a").alias("node"), "component")
 

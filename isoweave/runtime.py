@@ -32,3 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """``cut`` without the plan's estimated size.
+
+    A checkpoint keeps that size and every join multiplies it, so in a loop of joins its digits triple each round until planning
+    no longer ends; without an estimate the sizes seen at run time decide.
+    """
+    done, spark = cut(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
