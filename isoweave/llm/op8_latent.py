@@ -280,9 +280,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without those that hold an item; rows with a null id are kept unless such a row holds one."""
-    bad = contaminated(docs, items, text, key).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without the rows that hold an item; other rows with the same id, or none, stay."""
+    named = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash")).alias("_row"), text)
+    bad = contaminated(named, items, text, "_row").select(F.col("_row.id").alias("_bad"), F.col("_row.hash").alias("_hash")).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text]) == bad["_hash"]), "left_anti")
 
 
 def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:

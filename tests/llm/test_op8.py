@@ -105,3 +105,11 @@ def test_thin_products_and_subsequences():
         for i, t in enumerate(p):
             mask[t] = mask.get(t, 0) | 1 << i
         assert L.lcs(mask, len(p), np.array(q, int)) == slow_lcs(p, q)
+
+
+def test_only_the_rows_that_hold_an_item_go(spark):
+    item = "zebra quartz violin umbrella lantern cactus marble tornado saffron glacier"
+    clean = [(None, f"clean text number {i} about the weather") for i in range(30)] + [(7, f"another clean text {i} about the sea") for i in range(30)]
+    docs = spark.createDataFrame(clean + [(None, f"it says {item} here"), (7, item), (8, "fine")], "doc_id long, text string")
+    left = L.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [*clean, (8, "fine")]))
