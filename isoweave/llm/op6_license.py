@@ -28,10 +28,11 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 IDENTIFIER, STATEMENT, MENTION = 3, 2, 1
 CONFIDENCE = {IDENTIFIER: 1.0, STATEMENT: 0.9, MENTION: 0.6}
 
-#: (label, keyword, name of the licence as words, versions as words)
+#: (label, keyword, name of the licence as words, versions as words); every match of a rule has to contain its keyword
 FAMILIES = [
     ("apache", "apache", r"apache(?: software)?(?: foundation)?", r"1 0|1 1|2 0|2"),
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?: x11)?", ""),
+    ("mit", "mit", r"(?:the )?mit(?: x11)?", ""),
+    ("mit", "expat", r"(?:the )?expat(?: x11)?", ""),
     ("x11", "x11", r"x11", ""),
     ("bsd", "bsd", r"(?:modified |simplified |revised |new |original )?(?:[0234] clause )?bsd", r"0 clause|2 clause|3 clause|4 clause"),
     ("isc", "isc", r"isc", ""),
@@ -117,9 +118,9 @@ SIGNATURES = [
     ("cc-by-nd", IDENTIFIER, "cc by nd", r"cc by nd(?: [1234] [05])?(?: international| unported)?"),
     ("cc-by", MENTION, "cc by", r"cc by(?: [1234] [05])?(?: international| unported)?"),
     ("cc-by", STATEMENT, "creative commons", r"creative commons attribution(?: [1234] [05])?(?: international| unported)?(?: license)?"),
-    ("cc-by-sa", STATEMENT, "attribution sharealike", r"(?:creative commons )?attribution share ?alike(?: [1234] [05])?(?: international| unported)?(?: license)?"),
-    ("cc-by-nc", STATEMENT, "noncommercial", r"(?:creative commons )?attribution non ?commercial(?: [1234] [05])?(?: international| unported)?(?: license)?"),
-    ("cc-by-nd", STATEMENT, "noderiv", r"(?:creative commons )?attribution no ?deriv(?:ative)?s(?: [1234] [05])?(?: international| unported)?(?: license)?"),
+    ("cc-by-sa", STATEMENT, "attribution", r"(?:creative commons )?attribution share ?alike(?: [1234] [05])?(?: international| unported)?(?: license)?"),
+    ("cc-by-nc", STATEMENT, "attribution", r"(?:creative commons )?attribution non ?commercial(?: [1234] [05])?(?: international| unported)?(?: license)?"),
+    ("cc-by-nd", STATEMENT, "attribution", r"(?:creative commons )?attribution no ?deriv(?:ative)?s(?: [1234] [05])?(?: international| unported)?(?: license)?"),
     ("creative-commons", STATEMENT, "creativecommons org", r"(?:https? )?(?:www )?creativecommons org (?:licenses|publicdomain)(?: [a-z]+)*(?: [1234] [05])?"),
     ("public-domain", STATEMENT, "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
     ("public-domain", MENTION, "public domain", r"public domain"),

@@ -67,3 +67,24 @@ def test_empty_table_and_rule_count(spark):
 def test_no_python_and_no_shuffle(spark):
     plan = op6_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def ungated(text):
+    """Labels by every regular expression, whether or not its keyword is there."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    line = " " + " ".join(WORD.findall(lowered)) + " "
+    return [(k, m.group()) for _, _, k, x in L.rules() for m in re.finditer(rf"(?<= )(?:{x})(?= )", line)]
+
+
+SPELT_APART = {
+    "Creative Commons Attribution-Non Commercial 4.0": "cc-by-nc", "Creative Commons Attribution-Share Alike 3.0": "cc-by-sa",
+    "Attribution No Derivatives 4.0": "cc-by-nd", "Attribution No-Derivs": "cc-by-nd", "Released under the Expat License": "mit", "the expat licence text": "mit",
+    "Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc", "Attribution ShareAlike": "cc-by-sa",
+}
+
+
+def test_no_match_is_dropped_by_its_keyword(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + CASES + list(SPELT_APART)
+    assert not [(k, m) for t in texts for k, m in ungated(t) if k not in m]
+    df = spark.createDataFrame([(t,) for t in SPELT_APART], "text string")
+    assert {r.text: r.labels for r in scan(df).collect()} == SPELT_APART
