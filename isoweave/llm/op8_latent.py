@@ -2,8 +2,8 @@
 
 1. Passages are windows of ``WINDOW`` words, ``STRIDE`` apart, of the benchmark items and of every document.  Terms are the
    benchmark's words; their inverse document frequency comes from all documents.
-2. A distributed randomised SVD of TF-IDF passages (a bounded sample of documents and the benchmark, equally weighted) gives a
-   latent space: tasks return Aᵀ(AX) for a thin X, the driver only orthonormalises a terms x rank matrix.
+2. A distributed randomised SVD of TF-IDF passages (of all documents and the benchmark, equally weighted) gives a latent space:
+   tasks return Aᵀ(AX) for a thin X, added up in a tree; the driver only orthonormalises a terms x rank matrix.
 3. The windows of every document are projected and compared with every benchmark passage; windows at a cosine of ``COSINE``
    or more are candidates.  A window around which too few answer words of any item stand would fail step 4 whatever its
    cosine, so it is not projected; this loses nothing.
@@ -34,8 +34,8 @@ from isoweave.runtime import cut, table
 
 WINDOW, STRIDE, RANK, EXTRA, POWERS = 32, 16, 64, 10, 2
 COSINE, LCS, ANSWER, SHORTEST = 0.4, 0.6, 0.6, 8
-#: bytes of benchmark text in a block, documents that the SVD is fitted on, tasks that return a thin matrix
-BLOCK, SAMPLE, TASKS = 1 << 20, 2000, 16
+#: bytes of benchmark text in a block, words and passages multiplied at once, thin matrices that are added or returned together
+BLOCK, WORDS, TASKS = 1 << 20, 1 << 15, 16
 CHUNK = 1 << 19
 WORD = re.compile(r"\w+")
 
@@ -121,24 +121,51 @@ def _thin(term: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, x: np.ndar
     return y, z
 
 
-def _product(sample: DataFrame, bench: Benchmark, x: np.ndarray, gram: bool) -> np.ndarray:
-    """AᵀAX over sample and benchmark, or with ``gram`` (AX)ᵀ(AX); the benchmark weighs as much as the sample."""
-    held = sample.sparkSession.sparkContext.broadcast((bench.terms, bench.idf, x))  # a block of terms x rank
+def _product(docs: DataFrame, bench: Benchmark, x: np.ndarray, gram: bool) -> np.ndarray:
+    """AᵀAX over all documents and the benchmark, or with ``gram`` (AX)ᵀ(AX); the benchmark weighs as much as the documents."""
+    held = docs.sparkSession.sparkContext.broadcast((bench.terms, bench.idf, x))  # a block of terms x rank
+    schema = "n long, part binary"
+
+    def row(n: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf, x = held.value
         total, n = np.zeros((x.shape[1],) * 2 if gram else x.shape), 0
+        parts: list[tuple] = []
+
+        def add() -> int:
+            offsets = np.cumsum([0] + [p[2] for p in parts])
+            y, z = _thin(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + o for p, o in zip(parts, offsets)]), int(offsets[-1]), idf, x)
+            np.add(total, y.T @ y if gram else z, out=total)
+            parts.clear()
+            return int(offsets[-1])
+
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                term, row, count = _passages(_ids(text, terms))
-                y, z = _thin(term, row, count, idf, x)
-                total += y.T @ y if gram else z
-                n += count
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "part"])
+                parts.append(_passages(_ids(text, terms)))
+                size += len(parts[-1][0]) + parts[-1][2]
+                if size >= WORDS:
+                    n, size = n + add(), 0
+        if parts:
+            n += add()
+        yield row(n, total)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, None
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, total = n + k, np.frombuffer(part) if total is None else total + np.frombuffer(part)
+        if total is not None:
+            yield row(n, total)
 
     y, z = _thin(*bench.vectors(), bench.idf, x)
     own, n, total = (y.T @ y if gram else z), 0, 0.0
-    for r in sample.mapInArrow(run, "n long, part binary").collect():  # TASKS thin matrices
+    sums = cut(docs.mapInArrow(run, schema))
+    while (count := sums.count()) > TASKS:  # a tree of partial sums
+        sums = cut(sums.repartition(-(-count // TASKS)).mapInArrow(summed, schema))
+    for r in sums.collect():  # TASKS thin matrices at most
         n += r.n
         total = total + np.frombuffer(r.part).reshape(own.shape)
     return total + own * (max(1, n) / len(bench.passages))
@@ -159,13 +186,11 @@ def fit(docs: DataFrame, bench: Benchmark, text: str) -> None:
     counts = {r[0]: r[1] for r in docs.select(text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a block of terms
     documents = counts.pop(None, 0)
     bench.weigh(counts, documents)
-    draw = F.pmod(F.xxhash64(text, F.lit(8)), F.lit(1 << 30))
-    sample = cut(docs.select(text).where(draw < min(1 << 30, int(SAMPLE / max(1, documents) * (1 << 30)))).coalesce(TASKS))
     width = min(RANK + EXTRA, len(bench.terms))
     x = np.random.default_rng(8).standard_normal((len(bench.terms), width))
     for _ in range(POWERS):
-        x = np.linalg.qr(_product(sample, bench, x, gram=False))[0]
-    values, turn = np.linalg.eigh(_product(sample, bench, x, gram=True))
+        x = np.linalg.qr(_product(docs.select(text), bench, x, gram=False))[0]
+    values, turn = np.linalg.eigh(_product(docs.select(text), bench, x, gram=True))
     bench.project(x @ turn[:, np.argsort(-values)[:RANK]])
 
 

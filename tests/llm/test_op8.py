@@ -113,3 +113,28 @@ def test_only_the_rows_that_hold_an_item_go(spark):
     docs = spark.createDataFrame(clean + [(None, f"it says {item} here"), (7, item), (8, "fine")], "doc_id long, text string")
     left = L.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, [*clean, (8, "fine")]))
+
+
+def test_the_latent_space_is_that_of_all_documents(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"t{i}" for i in range(40)]
+    docs = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(40)], k=rng.randint(1, 90))) for _ in range(5000)]
+    monkeypatch.setattr(L, "RANK", 5)
+    monkeypatch.setattr(L, "EXTRA", 40)
+    bench = L.Benchmark([(1, " ".join(vocabulary))])
+    df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(40)
+    L.fit(df, bench, "text")
+    got = bench.basis / bench.idf[:, None]
+    gram, n = np.zeros((40, 40)), 0
+    for text in docs:
+        term, row, count = L._passages(L._ids(text, bench.terms))
+        a = np.zeros((count, 40))
+        np.add.at(a, (row, term), bench.idf[term])
+        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
+        gram, n = gram + a.T @ a, n + count
+    term, row, count = bench.vectors()
+    a = np.zeros((count, 40))
+    np.add.at(a, (row, term), bench.idf[term])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    top = np.linalg.eigh(gram + a.T @ a * n / count)[1][:, -5:]
+    assert np.allclose(got @ got.T, top @ top.T, atol=1e-4)
