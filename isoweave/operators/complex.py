@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoweave.functions import grid as G
 from isoweave.functions.grid import GridMeta
 from isoweave.operators.iterate import connected_components, terminal
-from isoweave.runtime import cut
+from isoweave.runtime import cut_in_loop
 
 
 def nodes(grad: DataFrame, field: DataFrame, meta: GridMeta) -> DataFrame:
@@ -81,27 +81,27 @@ def extremum_graph(arc_df: DataFrame, node_df: DataFrame, meta: GridMeta, maxima
 def merge_pairs(edges: DataFrame, extrema: DataFrame, maxima: bool = True) -> DataFrame:
     """(nid, into, sid, persistence): the elder rule over an extremum graph.
 
-    Per round each component finds its best saddle; an edge that is the best of both its ends is merged and the less extreme
-    extremum dies there.  ``extrema`` has nid and value; the total order is (value, id).
+    ``extrema`` has nid and value; the total order is (value, id).  An extremum whose best saddle leads to a more extreme neighbour
+    dies there: no earlier saddle touches it, so it is still alone when its component meets the elder one.  All such
+    extrema die in the same round; edges then move to the ends of the chains of ``into``, and parallel ones keep their best saddle.
     """
     sign = 1 if maxima else -1
-    key = F.struct((F.col("svalue") * sign).alias("v"), (F.col("sid") * sign).alias("i"))
-    live = cut(edges.select("e1", "e2", "sid", "svalue"))
-    order = extrema.select("nid", F.struct((F.col("value") * sign).alias("v"), (F.col("nid") * sign).alias("i")).alias("rank"), "value")
-    out = None
+    rank = lambda value, key: F.struct((F.col(value) * sign).alias("v"), (F.col(key) * sign).alias("i"))
+    order = extrema.select("nid", rank("value", "nid").alias("rank"))
+    live = edges.select("e1", "e2", rank("svalue", "sid").alias("key"))
+    for end, name in (("e1", "a"), ("e2", "b")):
+        live = live.join(order.select(F.col("nid").alias(end), F.col("rank").alias(name)), end)
+    live, out = cut_in_loop(live.select("a", "b", "key")), None
     while not live.isEmpty():
-        both = live.withColumn("key", key)
-        best = both.select(F.col("e1").alias("e"), "key").union(both.select(F.col("e2").alias("e"), "key")).groupBy("e").agg(F.max("key").alias("best"))
-        mutual = both.join(best.select(F.col("e").alias("e1"), F.col("best").alias("b1")), "e1").join(best.select(F.col("e").alias("e2"), F.col("best").alias("b2")), "e2").where("key = b1 and key = b2")
-        ranked = mutual.join(order.select(F.col("nid").alias("e1"), F.col("rank").alias("r1"), F.col("value").alias("v1")), "e1").join(order.select(F.col("nid").alias("e2"), F.col("rank").alias("r2"), F.col("value").alias("v2")), "e2")
-        first = F.col("r1") < F.col("r2")
-        dead = cut(ranked.select(F.when(first, F.col("e1")).otherwise(F.col("e2")).alias("nid"), F.when(first, F.col("e2")).otherwise(F.col("e1")).alias("into"), "sid", F.abs(F.when(first, F.col("v1")).otherwise(F.col("v2")) - F.col("svalue")).alias("persistence")))
-        out = dead if out is None else out.union(dead)
-        to = dead.select("nid", "into")
-        moved = live.join(to.select(F.col("nid").alias("e1"), F.col("into").alias("t1")), "e1", "left").join(to.select(F.col("nid").alias("e2"), F.col("into").alias("t2")), "e2", "left")
-        moved = moved.select(F.coalesce("t1", "e1").alias("a"), F.coalesce("t2", "e2").alias("b"), "sid", "svalue").where("a != b")
-        pairs = moved.groupBy(F.least("a", "b").alias("e1"), F.greatest("a", "b").alias("e2")).agg(F.max(key).alias("k"))
-        live = cut(pairs.select("e1", "e2", (F.col("k.i") * sign).alias("sid"), (F.col("k.v") * sign).alias("svalue")))
+        both = live.union(live.select("b", "a", "key"))
+        best = both.groupBy("a").agg(F.max(F.struct("key", "b")).alias("best")).select("a", F.col("best.b").alias("b"), F.col("best.key").alias("key"))
+        gone = cut_in_loop(best.where("a < b"))
+        dead = gone.select((F.col("a.i") * sign).alias("nid"), (F.col("b.i") * sign).alias("into"), (F.col("key.i") * sign).alias("sid"), F.abs(F.col("a.v") - F.col("key.v")).alias("persistence"))
+        out = dead if out is None else cut_in_loop(out.union(dead))
+        to = terminal(gone, "a", "b")
+        for end in ("a", "b"):
+            live = live.join(to.select(F.col("id").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        live = cut_in_loop(live.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("key").alias("key")))
     if out is None:
         return extrema.sparkSession.createDataFrame([], "nid long, into long, sid long, persistence double")
     return out
@@ -110,7 +110,7 @@ def merge_pairs(edges: DataFrame, extrema: DataFrame, maxima: bool = True) -> Da
 def survivors(labels: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
     """Labels after every merge of persistence up to ``limit``; only this join is redone when the threshold changes."""
     chosen = pairs.where(F.col("persistence") <= limit)
-    to = terminal(chosen.select(F.col("nid").alias("id"), F.col("into").alias("next")).union(chosen.select("into", "into")).distinct().groupBy("id").agg(F.min(F.when(F.col("id") != F.col("next"), F.col("next"))).alias("next")))
+    to = terminal(chosen, "nid", "into")
     return labels.join(to.select(F.col("id").alias("label"), "root"), "label", "left").select("cid", F.coalesce("root", "label").alias("label"))
 
 

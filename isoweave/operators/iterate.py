@@ -18,11 +18,11 @@ def terminal(pointers: DataFrame, id: str = "id", next: str = "next") -> DataFra
     Every round doubles the distance, so a chain of length n takes log2(n) rounds.  On a loop there is no end; rows that still
     move after 64 doublings are an error.
     """
-    state = cut(pointers.select(F.col(id).alias("id"), F.coalesce(next, id).alias("root")))
+    state = cut_in_loop(pointers.select(F.col(id).alias("id"), F.coalesce(next, id).alias("root")))
     for _ in range(64):
         jump = state.select(F.col("id").alias("root"), F.col("root").alias("further"))
         moved = state.join(jump, "root", "left").select("id", F.coalesce("further", "root").alias("to"), (F.coalesce("further", "root") != F.col("root")).alias("moved"))
-        moved = cut(moved)
+        moved = cut_in_loop(moved)
         state = moved.select("id", F.col("to").alias("root"))
         if moved.where("moved").isEmpty():
             return state
@@ -67,7 +67,7 @@ def nearest_source(edges: DataFrame, sources: DataFrame, limit: float | None = N
     """
     kind = edges.schema["weight"].dataType
     start = sources.select("vertex", F.col("vertex").alias("source"), F.lit(None).cast(edges.schema["src"].dataType).alias("prev"), F.lit(0).cast(kind).alias("dist"))
-    state = front = cut(start.distinct())
+    state = front = cut_in_loop(start.distinct())
     key = F.struct("dist", "source", "prev")
     for _ in range(max_rounds):
         offers = front.join(edges, front["vertex"] == edges["src"]).select(F.col("dst").alias("vertex"), "source", F.col("src").alias("prev"), (F.col("dist") + F.col("weight")).alias("dist"))
@@ -76,10 +76,10 @@ def nearest_source(edges: DataFrame, sources: DataFrame, limit: float | None = N
         best = offers.groupBy("vertex").agg(F.min(key).alias("new"))
         old = state.withColumn("old", F.struct("dist", "source"))
         better = best.join(old.select("vertex", "old"), "vertex", "left").where(F.col("old").isNull() | (F.struct("new.dist", "new.source") < F.col("old")))
-        front = cut(better.select("vertex", "new.source", "new.prev", "new.dist"))
+        front = cut_in_loop(better.select("vertex", "new.source", "new.prev", "new.dist"))
         if front.isEmpty():
             return state
-        state = cut(state.join(front.select("vertex"), "vertex", "left_anti").union(front.select(*state.columns)))
+        state = cut_in_loop(state.join(front.select("vertex"), "vertex", "left_anti").union(front.select(*state.columns)))
     raise ValueError("more rounds than allowed")
 
 
@@ -87,10 +87,10 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> D
     """(pos, vertex, dist) of the shortest path from a set to a set, source first; no row where there is none."""
     found = nearest_source(edges, sources)
     reached = found.join(targets.select("vertex"), "vertex", "left_semi")
-    walk = cut(reached.orderBy("dist", "vertex").limit(1).select("vertex", "prev", "dist"))
+    walk = cut_in_loop(reached.orderBy("dist", "vertex").limit(1).select("vertex", "prev", "dist"))
     path = walk
     while not walk.where("prev is not null").isEmpty():
-        walk = cut(walk.select(F.col("prev").alias("vertex")).join(found, "vertex").select("vertex", "prev", "dist"))
+        walk = cut_in_loop(walk.select(F.col("prev").alias("vertex")).join(found, "vertex").select("vertex", "prev", "dist"))
         path = path.union(walk)
     # a path is one line of the graph; its rows are numbered by distance, ties by the order in which they were walked
     return path.select((F.row_number().over(Window.orderBy("dist", "vertex")) - 1).alias("pos"), "vertex", "dist")
@@ -99,7 +99,7 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> D
 def dense_ids(df: DataFrame, key: str, name: str = "dense_id") -> DataFrame:
     """(key, dense_id): 0..k-1 in key order by a range partitioning and partition offsets; no single-partition window."""
     keys = df.select(key).distinct()
-    ranged = cut(keys.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("part", F.spark_partition_id()))
+    ranged = cut_in_loop(keys.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("part", F.spark_partition_id()))
     sizes = {r[0]: r[1] for r in ranged.groupBy("part").count().collect()}  # one number for each partition
     offsets, done = {}, 0
     for p in sorted(sizes):
@@ -116,6 +116,6 @@ def repeated(df: DataFrame, step, rounds: int) -> DataFrame:
     for i in range(rounds):
         df = step(df)
         if i % 3 == 2:
-            df = cut(df)
+            df = cut_in_loop(df)
     return df
 
