@@ -1,20 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are windows of ``WINDOW`` words, ``STRIDE`` apart, of the benchmark items and of every document.  Terms are the
-   benchmark's words; their inverse document frequency comes from all documents.
-2. A distributed randomised SVD of TF-IDF passages (of all documents and the benchmark, equally weighted) gives a latent space:
-   tasks return Aᵀ(AX) for a thin X, added up in a tree; the driver only orthonormalises a terms x rank matrix.
-3. The windows of every document are projected and compared with every benchmark passage; windows at a cosine of ``COSINE``
-   or more are candidates.  A window around which too few answer words of any item stand would fail step 4 whatever its
+1. Every text is read once into the numbers of its words among the benchmark's terms (-1 for others), which are cut; all later
+   passes read these.  Inverse document frequencies come from all documents.
+2. A distributed randomised SVD of TF-IDF passages of ``WINDOW`` words (of all documents and the benchmark, equally weighted)
+   gives a latent space: tasks return Aᵀ(AX) for a thin X, added up in a tree, and the driver takes the eigenvectors of
+   the Nyström form of AᵀA from this one pass, a terms x rank matrix.
+3. Windows of every document, ``STRIDE`` words apart, are projected and compared with every benchmark passage; windows at a cosine of
+   ``COSINE`` or more are candidates.  A window around which too few answer words of any item stand would fail step 4 whatever its
    cosine, so it is not projected; this loses nothing.
 4. A candidate counts if the longest common subsequence with the item around the window has ``LCS`` of the item's words and
    the item's answer (the quarter of its words with most information) is there to ``ANSWER``: reordered function words alone never pass.
+5. Items under ``SHORTEST`` words have no passage to speak of: they count where all their words stand side by side; those under
+   three words only where they are the whole document.
 
 The benchmark is the stated query set.  It is taken in blocks of about ``BLOCK`` bytes, so what is broadcast is bounded
 however large it grows.  All passes are maps over Arrow batches; only term counts and thin matrices are shuffled.
 
-Defined results: null and wordless texts and items match nothing; items under ``SHORTEST`` words are skipped, since a few common
-words prove nothing; equal texts match equally; repeated ids keep a row each; extra columns are not read.
+Defined results: null and wordless texts and items match nothing; equal texts match equally; repeated ids keep a row
+each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from isoweave.runtime import cut, table
+from isoweave.runtime import column, cut_in_loop, table
 
-WINDOW, STRIDE, RANK, EXTRA, POWERS = 32, 16, 64, 10, 2
+WINDOW, STRIDE, RANK, EXTRA = 32, 16, 64, 16
 COSINE, LCS, ANSWER, SHORTEST = 0.4, 0.6, 0.6, 8
 #: bytes of benchmark text in a block, words and passages multiplied at once, thin matrices that are added or returned together
 BLOCK, WORDS, TASKS = 1 << 20, 1 << 15, 16
-CHUNK = 1 << 19
+#: words of documents that are compared at once, bytes of numbered words for a task
+CHUNK, SHARE = 1 << 17, 64 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -53,8 +59,17 @@ class Benchmark:
     """One block of items: terms, words, answers and passages."""
 
     def __init__(self, rows: list[tuple]):
-        self.items = [(i, w) for i, t in rows if len(w := words_of(t)) >= SHORTEST]
-        self.terms = {t: k for k, t in enumerate(sorted({t for _, w in self.items for t in w}))}
+        every = [(i, w) for i, t in rows if (w := words_of(t))]
+        self.items = [(i, w) for i, w in every if len(w) >= SHORTEST]
+        self.terms = {t: k for k, t in enumerate(sorted({t for _, w in every for t in w}))}
+        self.short: dict[tuple, list] = {}
+        for i, w in every:
+            if len(w) < SHORTEST:
+                self.short.setdefault(tuple(self.terms[t] for t in w), []).append(i)
+        self.heads: dict[int, list] = {}
+        for w in self.short:
+            if len(w) >= 3:
+                self.heads.setdefault(self._head(*w[:3]), []).append(w)
         self.passages = [(k, s) for k, (_, w) in enumerate(self.items) for s in starts_of(len(w))]
         self.masks = []
         for _, w in self.items:
@@ -63,8 +78,23 @@ class Benchmark:
                 mask[self.terms[t]] = mask.get(self.terms[t], 0) | 1 << at
             self.masks.append(mask)
 
-    def weigh(self, found: dict[str, int], documents: int) -> None:
-        df = np.array([found.get(t, 0) for t in self.terms], np.float64)
+    def _head(self, a, b, c):
+        """Three terms as one number."""
+        n = len(self.terms) + 1
+        return ((a + 1) * n + b + 1) * n + c + 1
+
+    def verbatim(self, ids: np.ndarray) -> list:
+        """Short items that a document holds word for word."""
+        found = [*self.short.get(tuple(ids.tolist()), [])] if 0 < len(ids) < 3 else []
+        if self.heads and len(ids) >= 3:
+            wide = ids.astype(np.int64)
+            heads = self._head(wide[:-2], wide[1:-1], wide[2:])
+            met = {w for at in np.isin(heads, list(self.heads)).nonzero()[0].tolist() for w in self.heads[int(heads[at])] if tuple(ids[at:at + len(w)].tolist()) == w}
+            found += [i for w in sorted(met) for i in self.short[w]]
+        return found
+
+    def weigh(self, found: dict[int, int], documents: int) -> None:
+        df = np.array([found.get(k, 0) for k in range(len(self.terms))], np.float64)
         self.idf = np.log((documents + 1) / (df + 1)) + 0.05
         self.answers = []
         for _, w in self.items:
@@ -90,11 +120,11 @@ class Benchmark:
 
 
 def _ids(text: str | None, terms: dict[str, int]) -> np.ndarray:
-    return np.fromiter(map(terms.get, words_of(text), repeat(-1)), np.int64)
+    return np.fromiter(map(terms.get, words_of(text), repeat(-1)), np.int32)
 
 
 def _passages(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Term and passage of every known word of a document's passages."""
+    """Term and window of every known word of a document's windows."""
     n = max(1, -(-(len(ids) - WINDOW) // STRIDE) + 1)
     at = (ids >= 0).nonzero()[0]
     last = np.minimum(at // STRIDE, n - 1)
@@ -105,93 +135,94 @@ def _passages(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), n
 
 
-def _thin(term: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(AX, AᵀAX) of unit-length TF-IDF passages."""
+def _thin(term: np.ndarray, row: np.ndarray, idf: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+    """Add AᵀAX of unit-length TF-IDF passages to ``out``."""
+    if not len(row):
+        return
     pairs, tf = np.unique(row * len(idf) + term, return_counts=True)
     row, term = pairs // len(idf), pairs % len(idf)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
     value = tf * idf[term]
-    value = value / np.sqrt(np.maximum(np.bincount(row, value ** 2, n), 1e-12))[row]
-    y, z = np.zeros((n, x.shape[1])), np.zeros_like(x)
-    if len(row):
-        first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
-        y[row[first]] = np.add.reduceat(value[:, None] * x[term], first, axis=0)
-        order = np.argsort(term, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
-        z[term[order][first]] = np.add.reduceat(value[order][:, None] * y[row[order]], first, axis=0)
-    return y, z
-
-
-def _product(docs: DataFrame, bench: Benchmark, x: np.ndarray, gram: bool) -> np.ndarray:
-    """AᵀAX over all documents and the benchmark, or with ``gram`` (AX)ᵀ(AX); the benchmark weighs as much as the documents."""
-    held = docs.sparkSession.sparkContext.broadcast((bench.terms, bench.idf, x))  # a block of terms x rank
+    size = np.diff(np.append(first, len(row)))
+    value = (value / np.sqrt(np.repeat(np.add.reduceat(value ** 2, first), size))).astype(np.float32)
+    y = np.repeat(np.add.reduceat(value[:, None] * x[term], first, axis=0), size, axis=0)
+    y *= value[:, None]
+    order = np.argsort(term, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
+    out[term[order][begin]] += np.add.reduceat(y[order], begin, axis=0)
+
+
+def _product(numbered: DataFrame, bench: Benchmark, x: np.ndarray) -> np.ndarray:
+    """AᵀAX over all documents and the benchmark; the benchmark weighs as much as the documents."""
+    held = numbered.sparkSession.sparkContext.broadcast((bench.idf, x))  # a block of terms x rank
     schema = "n long, part binary"
 
     def row(n: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "part"])
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, x = held.value
-        total, n = np.zeros((x.shape[1],) * 2 if gram else x.shape), 0
-        parts: list[tuple] = []
-
-        def add() -> int:
-            offsets = np.cumsum([0] + [p[2] for p in parts])
-            y, z = _thin(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + o for p, o in zip(parts, offsets)]), int(offsets[-1]), idf, x)
-            np.add(total, y.T @ y if gram else z, out=total)
-            parts.clear()
-            return int(offsets[-1])
-
-        size = 0
+        idf, x = held.value
+        total, n = np.zeros(x.shape), 0
+        term, passage, size = [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                parts.append(_passages(_ids(text, terms)))
-                size += len(parts[-1][0]) + parts[-1][2]
+            for body in batch.column(0).to_pylist():
+                ids = np.frombuffer(body, np.int32)
+                at = (ids >= 0).nonzero()[0]
+                term.append(ids[at])
+                passage.append(at // WINDOW + n)
+                n, size = n + max(1, -(-len(ids) // WINDOW)), size + len(at)
                 if size >= WORDS:
-                    n, size = n + add(), 0
-        if parts:
-            n += add()
+                    _thin(np.concatenate(term), np.concatenate(passage), idf, x, total)
+                    term, passage, size = [], [], 0
+        if term:
+            _thin(np.concatenate(term), np.concatenate(passage), idf, x, total)
         yield row(n, total)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, None
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, total = n + k, np.frombuffer(part) if total is None else total + np.frombuffer(part)
+                part = np.frombuffer(part, np.float32).astype(np.float64)
+                n, total = n + k, part if total is None else total + part
         if total is not None:
             yield row(n, total)
 
-    y, z = _thin(*bench.vectors(), bench.idf, x)
-    own, n, total = (y.T @ y if gram else z), 0, 0.0
-    sums = cut(docs.mapInArrow(run, schema))
+    own, n, total = np.zeros(x.shape), 0, 0.0
+    _thin(*bench.vectors()[:2], bench.idf, x, own)
+    sums = cut_in_loop(numbered.select("ids").mapInArrow(run, schema))
     while (count := sums.count()) > TASKS:  # a tree of partial sums
-        sums = cut(sums.repartition(-(-count // TASKS)).mapInArrow(summed, schema))
+        sums = cut_in_loop(sums.repartition(-(-count // TASKS)).mapInArrow(summed, schema))
     for r in sums.collect():  # TASKS thin matrices at most
         n += r.n
-        total = total + np.frombuffer(r.part).reshape(own.shape)
+        total = total + np.frombuffer(r.part, np.float32).reshape(own.shape)
+    held.destroy()
     return total + own * (max(1, n) / len(bench.passages))
 
 
-def fit(docs: DataFrame, bench: Benchmark, text: str) -> None:
+def fit(numbered: DataFrame, bench: Benchmark) -> None:
     """Document frequencies from all documents, then the latent space."""
-    terms = docs.sparkSession.sparkContext.broadcast(bench.terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = Counter(), 0
+        seen, n, size = Counter(), 0, 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(terms.value.keys() & set(words_of(t)))
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), n], pa.int64())], ["term", "n"])
-
-    counts = {r[0]: r[1] for r in docs.select(text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a block of terms
-    documents = counts.pop(None, 0)
+            for body in batch.column(0).to_pylist():
+                seen.update(set(np.frombuffer(body, np.int32).tolist()))
+                n, size = n + 1, size + len(body)
+        seen.pop(-1, None)
+        yield pa.RecordBatch.from_arrays([pa.array([*seen, -1, -2], pa.int32()), pa.array([*seen.values(), n, size], pa.int64())], ["term", "n"])
+
+    counts = {r[0]: r[1] for r in numbered.select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}  # a block of terms
+    documents, size = counts.pop(-1, 0), counts.pop(-2, 0)
     bench.weigh(counts, documents)
     width = min(RANK + EXTRA, len(bench.terms))
-    x = np.random.default_rng(8).standard_normal((len(bench.terms), width))
-    for _ in range(POWERS):
-        x = np.linalg.qr(_product(docs.select(text), bench, x, gram=False))[0]
-    values, turn = np.linalg.eigh(_product(docs.select(text), bench, x, gram=True))
-    bench.project(x @ turn[:, np.argsort(-values)[:RANK]])
+    x = np.linalg.qr(np.random.default_rng(8).standard_normal((len(bench.terms), width)))[0].astype(np.float32)
+    # a thin matrix for each task, so there are no more tasks than cores or shares of the words
+    tasks = max(numbered.sparkSession.sparkContext.defaultParallelism, size // SHARE)
+    z = _product(numbered.coalesce(tasks), bench, x).astype(np.float64)
+    # Nyström: AᵀA is close to Z (XᵀZ)⁻¹ Zᵀ, whose eigenvectors are the left singular vectors of Z C with C Cᵀ = (XᵀZ)⁻¹
+    values, turn = np.linalg.eigh((x.T @ z + z.T @ x) / 2)
+    good = values > 1e-6 * max(values.max(), 1e-12)
+    bench.project(np.linalg.svd(z @ (turn[:, good] / np.sqrt(values[good])), full_matrices=False)[0][:, :RANK])
 
 
 def lcs(mask: dict[int, int], n: int, region: np.ndarray) -> int:
@@ -240,9 +271,8 @@ def _candidates(parts: list[tuple], bench: Benchmark) -> Iterator[tuple[int, int
         yield from zip(doc.tolist(), (at[lo + w] - offsets[doc]).tolist(), of[p].tolist(), dot[w, p].tolist())
 
 
-def _matches(texts: list[str | None], bench: Benchmark) -> Iterator[tuple[int, int, float, float, float]]:
+def _matches(ids: list[np.ndarray], bench: Benchmark) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, lcs, answer, cosine): the best of each pair that passes the checks."""
-    ids = [_ids(t, bench.terms) for t in texts]
     pairs: dict[tuple[int, int], dict[int, float]] = {}
     for doc, window, item, cosine in _candidates([_open(x, bench) for x in ids], bench):
         near = pairs.setdefault((doc, item), {})
@@ -274,41 +304,60 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
         yield sorted(map(tuple, items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()), key=str)
 
 
+def _found(rows: list[np.ndarray], bench: Benchmark) -> Iterator[tuple[int, object, float, float, float]]:
+    """(row, item id, lcs, answer, cosine)."""
+    if bench.items:
+        yield from ((doc, bench.items[item][0], *rest) for doc, item, *rest in _matches(rows, bench))
+    if bench.short:
+        yield from ((doc, item, 1.0, 1.0, 1.0) for doc, ids in enumerate(rows) for item in bench.verbatim(ids))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """(key, item, lcs, answer, cosine): every pair of a document and a benchmark item that it holds."""
-    items = items.select(F.col(item).alias("item_id"), F.col("text")).where("text is not null")
-    key_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"`{key}` {key_kind}, item_id {item_kind}, lcs double, answer double, cosine double"
+    items = items.select(column(item).alias("item_id"), F.col("text")).where("text is not null")
+    docs = docs.select(column(key).alias("_key"), column(text).alias("_text"))
+    owner, kind = docs.schema["_key"], items.schema["item_id"]
+    scores = ["lcs", "answer", "cosine"]
+    schema = StructType([owner, kind, *[StructField(c, DoubleType()) for c in scores]])
     out = docs.sparkSession.createDataFrame([], schema)
     for rows in _blocks(items):
         bench = Benchmark(rows)
-        if not bench.items:
+        if not bench.terms:
             continue
-        fit(docs, bench, text)
+        terms = docs.sparkSession.sparkContext.broadcast(bench.terms)  # about BLOCK bytes
+
+        def number(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [_ids(t, terms.value).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["_key", "ids"])
+
+        numbered = cut_in_loop(docs.mapInArrow(number, StructType([owner, StructField("ids", BinaryType())])))
+        terms.destroy()
+        if bench.items:
+            fit(numbered, bench)
         held = docs.sparkSession.sparkContext.broadcast(bench)  # about BLOCK bytes of text and a thin matrix of its terms
-        item_arrow = pa.int64() if item_kind == "bigint" else None
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = held.value
+            bench, arrow = held.value, to_arrow_type(kind.dataType)
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                sizes = np.cumsum([len(t or "") for t in texts]) // CHUNK
-                for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
-                    if not len(part):
-                        continue
-                    got = list(_matches([texts[i] for i in part], bench))
-                    columns = [batch.column(0).take(pa.array([int(part[g[0]]) for g in got], pa.int64())), pa.array([bench.items[g[1]][0] for g in got], item_arrow)]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array([float(g[k]) for g in got], pa.float64()) for k in (2, 3, 4)], [key, "item_id", "lcs", "answer", "cosine"])
+                ids = [np.frombuffer(b, np.int32) for b in batch.column(1).to_pylist()]
+                sizes = np.cumsum([len(x) for x in ids]) // CHUNK
+                for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(sizes)) + 1):
+                    if len(part):
+                        got = list(_found([ids[i] for i in part], bench))
+                        columns = [batch.column(0).take(pa.array([int(part[g[0]]) for g in got], pa.int64())), pa.array([g[1] for g in got], arrow)]
+                        yield pa.RecordBatch.from_arrays(columns + [pa.array([float(g[k]) for g in got], pa.float64()) for k in (2, 3, 4)], schema.names)
 
-        out = out.union(docs.select(key, text).mapInArrow(run, schema))
-    return out
+        out = out.union(numbered.mapInArrow(run, schema))
+    return out.withColumnRenamed("_key", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that hold an item; other rows with the same id, or none, stay."""
-    named = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash")).alias("_row"), text)
-    bad = contaminated(named, items, text, "_row").select(F.col("_row.id").alias("_bad"), F.col("_row.hash").alias("_hash")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text]) == bad["_hash"]), "left_anti")
+    id, words = column(key), column(text)
+    named = docs.select(F.struct(id.alias("id"), F.xxhash64(words).alias("hash")).alias("_row"), words.alias("_words"))
+    bad = contaminated(named, items, "_words", "_row").select(F.col("_row.id").alias("_bad"), F.col("_row.hash").alias("_hash")).distinct()
+    return docs.join(bad, id.eqNullSafe(bad["_bad"]) & (F.xxhash64(words) == bad["_hash"]), "left_anti")
 
 
 def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
