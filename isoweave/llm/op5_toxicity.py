@@ -2,16 +2,18 @@
 
 1. Voters: every word of a lexicon, a few patterns, and word stems that the labelled rows single out.  A voter fires or abstains.
 2. The label model takes the voters' joint firing counts over all documents (one distributed sum of a voters x voters
-   matrix).  Firing rates given each class come from triplets of covariances, anchored by the labelled rows; pairs that fire
-   together more often than the two classes explain are correlated, and their evidence is divided accordingly.
-3. The posterior of each training row's votes is the label of a logistic regression over words and stems.
+   matrix).  Firing rates given each class come from all triplets of covariances, anchored by the voters' counts on labelled rows;
+   pairs that fire together more often than the two classes explain are correlated, and their evidence is divided accordingly.
+3. The posterior of each training document's votes is the label of a logistic regression over words and stems.  The training
+   documents are drawn from all documents, labelled or not, and no label of the table reaches this step.
 4. Scoring is a map over Arrow batches with the classifier's weights, which are bounded by ``FEATURES``.
 
-Learning uses at most about ``SAMPLE`` labelled rows, drawn by a hash of the text; the counts of step 2 cover every row.
+Voters are mined and anchored on about ``SAMPLE`` labelled rows at most, and the classifier learns from about ``SAMPLE`` different
+texts, both drawn by a hash of the text; the counts of step 2 cover every row.
 
 Defined results: a null or empty text has no feature and gets the bias as its score; rows with equal texts get equal
 scores; an id labelled twice counts as toxic if any label says so; without labelled rows the lexicon alone decides; other
-columns pass through except score and predicted, which are replaced.
+columns pass through, whatever their names, except score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,18 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from isoweave.llm.op1_langid import remainder
-from isoweave.runtime import cut, table
+from isoweave.runtime import column, cut, table
 
 #: labelled rows to learn from, mined stems, features of the classifier, the rows and the likelihood ratio that a feature needs
 SAMPLE, STEMS, FEATURES, SUPPORT, EVIDENCE = 20000, 64, 4096, 4, 14.0
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
-#: how far a label of the table is trusted as a voter
-GOLD = 0.97
-#: a missed toxic row costs this many times a false alarm
-MISS = 4
+#: documents that the covariances of a voter stand for beside its labelled rows, and the triplets at which they stand for half of them
+UNLABELLED, TRIPLETS = 200, 10
+#: numbers of firing voters that are told apart
+FIRINGS = 4
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Fixed word list of common insults.
@@ -55,7 +58,14 @@ PATTERNS = [
     r"\b(?:[a-z][*@#$!]+[a-z]+|1d10t|m0ron|l0ser|tr4sh|st[u\*]p[i1\*]d)\b",
     r"\b(?:piece of|full of) (?:trash|garbage|crap|shit|filth)\b",
 ]
-COMPILED = [re.compile(p) for p in PATTERNS]
+#: for each pattern, parts of which every match contains at least one
+GATES = [
+    ["you"], ["shut up", "go to hell", "drop dead", "get lost", "kill yourself", "nobody likes you"], ["i hate "], ["those ", "these ", "all "],
+    [*"*@#$!", "1d10t", "m0ron", "l0ser", "tr4sh", "stup"], ["piece of ", "full of "],
+]
+COMPILED = [(re.compile(p), g) for p, g in zip(PATTERNS, GATES, strict=True)]
+#: words whose features a task remembers
+WORDS = 1 << 17
 
 
 def tokens(text: str | None) -> set[str]:
@@ -70,6 +80,25 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
+class Lexer:
+    """Which of some features a text has; words are looked up once."""
+
+    def __init__(self, names):
+        self.names, self.known = frozenset(names), {}
+
+    def __call__(self, text: str | None) -> set[str]:
+        out: set[str] = set()
+        for w in tokens(text):
+            found = self.known.get(w)
+            if found is None:
+                if len(self.known) >= WORDS:
+                    self.known.clear()
+                found = self.known[w] = tuple(features({w}) & self.names)
+            if found:
+                out.update(found)
+        return out
+
+
 def _map(df: DataFrame, f, kinds: list[tuple[str, str, pa.DataType]]) -> DataFrame:
     """Rows that ``f(rows of the batch as tuples)`` yields."""
 
@@ -86,16 +115,14 @@ class Voters:
     """Names in order: lexicon, patterns, stems."""
 
     def __init__(self, stems: list[str]):
-        self.words = {w: i for i, w in enumerate(LEXICON)}
-        self.stems = {s: len(LEXICON) + len(PATTERNS) + i for i, s in enumerate(stems)}
+        self.words = {w: i for i, w in enumerate(LEXICON)} | {s: len(LEXICON) + len(PATTERNS) + i for i, s in enumerate(stems)}
         self.n = len(LEXICON) + len(PATTERNS) + len(stems)
 
     def __call__(self, text: str | None, found: set[str]) -> list[int]:
         """Voters that fire on a text with these features."""
         fired = [self.words[w] for w in found & self.words.keys()]
-        fired += [self.stems[s] for s in found & self.stems.keys()]
         lowered = (text or "").lower()
-        fired += [len(LEXICON) + i for i, p in enumerate(COMPILED) if p.search(lowered)]
+        fired += [len(LEXICON) + i for i, (p, gate) in enumerate(COMPILED) if any(g in lowered for g in gate) and p.search(lowered)]
         return sorted(fired)
 
 
@@ -117,9 +144,9 @@ def joint_counts(docs: DataFrame, voters: Voters, text: str) -> tuple[np.ndarray
     """The voters x voters matrix of joint firings over every row, and the number of rows."""
 
     def count(rows):
-        pairs, n = Counter(), 0
+        pairs, n, lexer = Counter(), 0, Lexer(voters.words)
         for (t,) in rows:
-            fired = voters(t, features(tokens(t)))
+            fired = voters(t, lexer(t))
             pairs.update((i, j) for i in fired for j in fired if i <= j)
             n += 1
         yield from ((i, j, c) for (i, j), c in pairs.items())
@@ -136,44 +163,56 @@ def joint_counts(docs: DataFrame, voters: Voters, text: str) -> tuple[np.ndarray
 
 
 class LabelModel:
-    """Firing rates ``a`` given toxic and ``b`` given clean, the share of toxic rows, and the voters' correlations."""
+    """Firing rates ``a`` given toxic and ``b`` given clean, the share of toxic rows, and the voters' correlations.
+
+    ``fired`` are the voters that fire on the labelled rows, ``gold`` their classes: counts of both anchor the rates.
+    """
 
-    def __init__(self, joint: np.ndarray, total: int, votes: np.ndarray, gold: np.ndarray):
+    def __init__(self, joint: np.ndarray, total: int, fired: list[np.ndarray], gold: np.ndarray):
         n1, n0, total = gold.sum(), (1 - gold).sum(), max(1, total)
         self.prior = float(np.clip((n1 + 1) / (n1 + n0 + 10), 0.01, 0.5))
         rate = np.diag(joint) / total
-        seen1, seen0 = votes[gold == 1].sum(0), votes[gold == 0].sum(0)
+        seen = [np.bincount(np.concatenate([*(f for f, y in zip(fired, gold) if y == c), np.zeros(0, np.int64)]).astype(np.int64), minlength=len(rate)) for c in (0, 1)]
         # the anchor: labelled rows, smoothed towards a voter of average use
         strength = 2.0
-        a0, b0 = (seen1 + strength * 0.2) / (n1 + strength), (seen0 + strength * 0.002) / (n0 + strength)
+        self.a, self.b = (seen[1] + strength * 0.2) / (n1 + strength), (seen[0] + strength * 0.002) / (n0 + strength)
         spread = np.sqrt((1 - self.prior) / self.prior)
         cov = joint / total - np.outer(rate, rate)
-        self.a, self.b = a0.copy(), b0.copy()
         for i in range(len(rate)):
-            partners = [j for j in np.argsort(-cov[i]) if j != i and cov[i, j] > 1e-9][:12]
-            found = [cov[i, j] * cov[i, k] / cov[j, k] for x, j in enumerate(partners) for k in partners[x + 1:] if cov[j, k] > 1e-9]
-            if found:
-                v = np.sqrt(np.median(found))
-                trust = min(1.0, len(found) / 10) * 0.5
-                self.a[i] = (1 - trust) * a0[i] + trust * np.clip(rate[i] + v * spread, 1e-4, 0.95)
-                self.b[i] = (1 - trust) * b0[i] + trust * np.clip(rate[i] - v / spread, 1e-5, 0.95)
-        silent = ~votes.any(1)
-        self.silence = float(np.log((silent[gold == 1].sum() + 0.5) / (n1 + 1)) - np.log((silent[gold == 0].sum() + 0.5) / (n0 + 1)))
+            partners = np.flatnonzero(cov[i] > 1e-9)
+            partners = partners[partners != i]
+            j, k = (partners[x] for x in np.triu_indices(len(partners), 1))
+            told = cov[j, k] > 1e-9
+            if told.any():
+                v = np.sqrt(np.median(cov[i, j[told]] * cov[i, k[told]] / cov[j[told], k[told]]))
+                rows = UNLABELLED * told.sum() / (told.sum() + TRIPLETS)
+                w1, w0 = (w / (w + n) for w, n in ((rows * self.prior, n1), (rows * (1 - self.prior), n0)))
+                self.a[i] = (1 - w1) * self.a[i] + w1 * np.clip(rate[i] + v * spread, 0.5 / total, 0.95)
+                self.b[i] = (1 - w0) * self.b[i] + w0 * np.clip(rate[i] - v / spread, 0.5 / total, 0.95)
         # joint firings beyond what the classes explain, as a correlation; the evidence of a clique counts once
         told = self.prior * np.outer(self.a, self.a) + (1 - self.prior) * np.outer(self.b, self.b)
         scale = np.sqrt(np.maximum(np.outer(rate, rate), 1e-12))
         self.correlation = np.clip((joint / total - told) / scale, 0, 1)
         np.fill_diagonal(self.correlation, 0)
         self.weight = 1 / (1 + self.correlation.sum(1))
-
-    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
-        """An abstaining voter says nothing (a lexicon of another language is silent on every text); total silence does.
-
-        ``gold`` labels are one more voter, right in the share ``GOLD`` of rows.
-        """
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ (np.log(self.a / self.b) * self.weight) + np.where(votes.any(1), 0.0, self.silence)
-        if gold is not None:
-            odds = odds + (2 * gold - 1) * np.log(GOLD / (1 - GOLD))
+        # how many voters fire is evidence of its own; what one says on average beyond the usual for their number is added to it
+        many, said = self._said(fired)
+        self.base, self.usual = np.zeros(FIRINGS), np.zeros(FIRINGS)
+        for k in range(FIRINGS):
+            own = many == k
+            p1, p0 = ((own & (gold == c)).sum() for c in (1, 0))
+            self.base[k] = np.log((p1 + 0.5) / (n1 + 1)) - np.log((p0 + 0.5) / (n0 + 1))
+            self.usual[k] = said[own].mean() if own.any() else 0.0
+
+    def _said(self, fired: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """How many voters fire on each row, and their mean evidence."""
+        told = np.log(self.a / self.b) * self.weight
+        return np.array([min(len(f), FIRINGS - 1) for f in fired], np.int64), np.array([told[f].mean() if len(f) else 0.0 for f in fired])
+
+    def posterior(self, fired: list[np.ndarray]) -> np.ndarray:
+        """A single silent voter says nothing (a lexicon of another language is silent on every text)."""
+        many, said = self._said(fired)
+        odds = np.log(self.prior / (1 - self.prior)) + self.base[many] + said - self.usual[many]
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -182,13 +221,12 @@ def regress(rows: list[np.ndarray], target: np.ndarray, n: int, steps: int = 300
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, momentum, bias, speed = np.zeros(n), np.zeros(n), 0.0, 0.0
-    cost = 1 + (MISS - 1) * target
     scale = 1 / np.sqrt(np.bincount(flat, minlength=n) / max(1, len(rows)) + 1e-3)
     sums, share = np.zeros(n), 1e-8
     for step in range(steps):
         ahead, ahead_bias = w + 0.9 * momentum, bias + 0.9 * speed
         z = np.bincount(owner, ahead[flat], minlength=len(rows)) + ahead_bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * cost
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
         slope = np.bincount(flat, error[owner], minlength=n) / len(rows) + ridge * ahead
         sums += slope ** 2
         share += error.mean() ** 2
@@ -200,12 +238,21 @@ def regress(rows: list[np.ndarray], target: np.ndarray, n: int, steps: int = 300
     return w, float(bias)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> tuple[dict[str, float], float]:
-    """(weights by feature, bias). ``labelled`` has the text and toxic (0 or 1) of the rows to learn from."""
-    rows = labelled.select(text, F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    n = rows.count()
-    draw = F.pmod(F.xxhash64(text, F.lit(5)), F.lit(1 << 30))
-    sample = cut(rows.where(draw < min(1 << 30, int(SAMPLE / max(1, n) * (1 << 30)))))
+def _drawn(rows: DataFrame, text: str, seed: int) -> DataFrame:
+    """About ``SAMPLE`` rows at most, drawn by a hash of the text; of equal texts one."""
+    n, draw = rows.count(), F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 30))
+    return rows.where(draw < min(1 << 30, int(SAMPLE / max(1, n) * (1 << 30)))).dropDuplicates([text])
+
+
+def fit(docs: DataFrame, labelled: DataFrame, pool: DataFrame | None = None, text: str = "text") -> tuple[dict[str, float], float]:
+    """(weights by feature, bias).
+
+    ``labelled`` has the text and toxic (0 or 1) of the rows to learn voters and anchors from; ``pool`` the documents to draw training
+    texts from, all of ``docs`` by default.
+    """
+    rows = labelled.select(column(text).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
+    docs, pool = docs.select(column(text).alias("text")), (docs if pool is None else pool).select(column(text).alias("text"))
+    sample = cut(_drawn(rows, "text", 5))
 
     def count(batch):
         seen = {0: Counter(), 1: Counter()}
@@ -224,50 +271,56 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> tuple[dict[
     if not n1 or not n0:
         return {w: 4.0 for w in LEXICON}, -3.0
     voters = Voters(mined(best, n1, n0))
-    joint, total = joint_counts(docs, voters, text)
+    joint, total = joint_counts(docs, voters, "text")
+
     names = sorted({k for k, _, _ in best} | set(LEXICON))
     index = {k: i for i, k in enumerate(names)}
 
-    def describe(batch):
+    def anchor(batch):
+        lexer = Lexer(voters.words)
         for t, y in batch:
-            found = features(tokens(t))
-            yield (1 if y else 0, np.array(voters(t, found), "<u2").tobytes(), np.array(sorted(index[k] for k in found & index.keys()), "<u2").tobytes())
-
-    drawn = _map(sample, describe, [("y", "int", pa.int32()), ("v", "binary", pa.binary()), ("x", "binary", pa.binary())]).collect()
-    drawn.sort(key=tuple)
-    votes = np.zeros((len(drawn), voters.n))
-    for i, r in enumerate(drawn):
-        votes[i, np.frombuffer(r.v, "<u2")] = 1
-    gold = np.array([r.y for r in drawn])
-    model = LabelModel(joint, total, votes, gold)
-    weights, bias = regress([np.frombuffer(r.x, "<u2") for r in drawn], model.posterior(votes, gold), len(names))
+            yield (1 if y else 0, np.array(voters(t, lexer(t)), "<u2").tobytes())
+
+    def describe(batch):
+        lexer = Lexer(voters.words.keys() | index.keys())
+        for (t,) in batch:
+            found = lexer(t)
+            yield (np.array(voters(t, found), "<u2").tobytes(), np.array(sorted(index[k] for k in found & index.keys()), "<u2").tobytes())
+
+    ids = lambda body: np.frombuffer(body, "<u2").astype(np.int64)
+    known = sorted(map(tuple, _map(sample, anchor, [("y", "int", pa.int32()), ("v", "binary", pa.binary())]).collect()))
+    model = LabelModel(joint, total, [ids(v) for _, v in known], np.array([y for y, _ in known]))
+    drawn = sorted(map(tuple, _map(_drawn(pool, "text", 7), describe, [("v", "binary", pa.binary()), ("x", "binary", pa.binary())]).collect()))
+    weights, bias = regress([ids(x) for _, x in drawn], model.posterior([ids(v) for v, _ in drawn]), len(names))
     return {k: float(w) for k, w in zip(names, weights) if abs(w) > 1e-3}, bias
 
 
 def predict(df: DataFrame, model: tuple[dict[str, float], float], text: str = "text") -> DataFrame:
     """``df`` with score and predicted."""
-    columns = [c for c in df.columns if c not in ("score", "predicted")]
+    added = StructType.fromDDL("score double, predicted int")
+    fields = [f for f in df.schema.fields if f.name not in added.names]
+    columns, names = [f.name for f in fields], [f.name for f in fields] + added.names
     held = df.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and the lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = held.value
+        lexer = Lexer(weights)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                odds = [bias + sum(sorted(weights[k] for k in features(tokens(t)) & weights.keys())) for t in part.column(at).to_pylist()]
+                odds = [bias + sum(sorted(map(weights.get, lexer(t)))) for t in part.column(at).to_pylist()]
                 scores = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
                 kept = [part.column(part.schema.get_field_index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [*columns, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names)
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(*columns).mapInArrow(run, f"{schema}, score double, predicted int")
+    return df.select(*map(column, columns)).mapInArrow(run, StructType([*fields, *added.fields]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """The model from the labelled rows of ``docs`` (doc_id, text) that are not held out."""
+    """The model from ``docs`` (doc_id, text); labels of held-out rows teach nothing, nor do their texts train the classifier."""
     known = labels.where("doc_id is not null and toxic is not null").where(remainder("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    return fit(docs, docs.select("doc_id", "text").join(known, "doc_id"), docs.where(remainder("doc_id", 4) != 2))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,10 +30,11 @@ def test_label_model_finds_accuracies_and_correlations():
     y = (rng.random(n) < 0.2).astype(int)
     votes = (rng.random((n, 5)) < np.where(y[:, None] == 1, a, b)).astype(float)
     votes = np.hstack([votes, votes[:, :1]])  # the last voter repeats the first
-    m = T.LabelModel(votes.T @ votes, n, votes[:2000], y[:2000])
+    fired = [np.flatnonzero(v) for v in votes]
+    m = T.LabelModel(votes.T @ votes, n, fired[:2000], y[:2000])
     assert np.abs(m.a[:5] - a).max() < 0.12 and np.abs(m.b[:5] - b).max() < 0.03
     assert m.correlation[0, 5] > 0.3 and m.correlation[1:5, 1:5].max() < 0.1
-    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.9
+    assert ((m.posterior(fired) > 0.5) == y).mean() > 0.9
 
 
 def test_nulls_ties_long_empty_and_no_labels(spark):
