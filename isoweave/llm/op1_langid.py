@@ -1,17 +1,18 @@
 """Language identification by compression: the language whose dictionary packs a text smallest.
 
-Training keeps, for every language, a bounded sample of distinct texts (``SAMPLE`` rows a language in hash order, ``DICTIONARY``
-bytes of their words) as a zstandard raw-content dictionary.  A text is reduced to its lower-case letters and compressed
-whole against each dictionary.  The smallest wins; the margin to the second is the evidence.  A text of
-few different words is mostly headers and repeats, so sizes tie; there the number of dictionary phrases that cover its
-different words (a Lempel-Ziv parse against the dictionary) decides instead.  A margin that is still narrow, or a text without a letter, is a rejection.
-
-Fitting reads the counts of all rows and collects at most ``2 * SAMPLE`` shortened rows a language and ``LANGUAGES`` languages;
-prediction is a map over Arrow batches without a shuffle.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; without a learned language
-every text is ``und``; equal sizes go to the language with more training rows, then by name; a null language teaches
-nothing; other columns pass through except the four that are added, which are replaced.
+Training keeps, for every language, a bounded sample of its texts (pieces of ``PIECE`` characters from anywhere in the whole texts, drawn
+by hash, up to ``DICTIONARY`` bytes of their words) as a zstandard raw-content dictionary.  A text is reduced to its
+lower-case letters and compressed whole against each dictionary, with the same settings at every length.  The smallest wins; the
+margin to the second is the evidence.  A margin that is narrow, or a text without a letter, is a rejection.
+
+Fitting reads the lengths of all rows and collects pieces of about twice the dictionaries' size.  The dictionaries together
+take ``MODEL`` bytes at most: where there are very many languages, each gets a smaller one, and none is left out.
+Prediction is a map over Arrow batches without a shuffle.
+
+Defined results: a letter is a character of a Unicode letter category; a null text, or one without a letter, is ``und`` with
+score 0 and is rejected; without a learned language every text is ``und``; equal sizes go to the language with more
+training text, then by name, and are narrow; a null language teaches nothing; other columns pass through, whatever their
+names, except the four that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,18 +24,19 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from isoweave.runtime import table
+from isoweave.runtime import column, table
 
-#: rows and bytes that a language's dictionary may take, bytes taken from one row, languages
-SAMPLE, DICTIONARY, PIECE, LANGUAGES = 1500, 192 << 10, 2048, 400
-#: short texts need the thorough level: only there do matches of three bytes count
-LEVEL, SHORT_LEVEL, SHORT, PARSED = 6, 19, 2048, 512
+#: bytes of a language's dictionary, of all dictionaries, and characters of a piece of training text
+DICTIONARY, MODEL, PIECE = 192 << 10, 64 << 20, 512
+#: matches of four bytes by binary trees over the whole dictionary: of the settings tried the most accurate, in a third of the highest level's time
+SETTINGS = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_BTLAZY2}
 #: narrower relative margins are rejected
 MARGIN = 0.001
 UNKNOWN = "und"
-NOT_LETTER = re.compile(r"[\W\d_]+")
-CHUNK = 1 << 20
+#: what is no letter: signs, digits, and the other numbers that Python counts as word characters
+NOT_LETTER = re.compile("[\\W\\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def letters(text: str | None) -> str:
@@ -45,77 +47,57 @@ def letters(text: str | None) -> str:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) in the order in which ties are settled. ``rows`` are the rows to learn from."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*")).collect()}
-    order = sorted(counts, key=lambda x: (-counts[x], x))[:LANGUAGES]
+    rows = rows.select(column(lang).alias("lang"), column(text).alias("text")).where("lang is not null and text is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text"))).collect()}  # a number for each language
+    order = sorted(counts, key=lambda x: (-counts[x], x))
     if not order:
         return []
-    draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30))
-    share = F.lit(0)
-    for x in order:
-        share = F.when(F.col("lang") == x, min(1 << 30, int(2 * SAMPLE / counts[x] * (1 << 30)))).otherwise(share)
-    taken = rows.where(draw < share).select("lang", draw.alias("draw"), F.substring("text", 1, PIECE).alias("piece")).distinct()
+    size = min(DICTIONARY, MODEL // len(order))
+    shares = rows.sparkSession.createDataFrame([(x, min(1 << 30, int(2 * size / max(1, counts[x]) * (1 << 30)))) for x in order], "lang string, share long")
+    draw = lambda i: F.pmod(F.xxhash64(F.col("hash"), i), F.lit(1 << 30))
+    pieces = F.sequence(F.lit(0), F.floor(F.length("text") / PIECE).cast("int"))
+    taken = rows.join(F.broadcast(shares), "lang").withColumn("hash", F.xxhash64("text", F.lit(1)))  # a row for each language
+    taken = taken.select("lang", "hash", "text", F.explode(F.filter(pieces, lambda i: draw(i) < F.col("share"))).alias("at"))
+    taken = taken.select("lang", draw(F.col("at")).alias("draw"), F.substring("text", F.col("at") * PIECE + 1, F.lit(PIECE)).alias("piece")).distinct()
     held: dict[str, list] = {x: [] for x in order}
     for x, at, piece in taken.collect():
         held[x].append((at, piece))
     out = []
     for x in order:
         # the text nearest to the end is cheapest to refer to, so the order is the same in every run
-        body = "".join(letters(p)[1:] for _, p in sorted(held[x])[:SAMPLE]).encode()
+        body = "".join(letters(p)[1:] for _, p in sorted(held[x])).encode()[-size:]
         if body:
-            out.append((x, body[-DICTIONARY:]))
+            out.append((x, body))
     return out
 
 
-def phrases(body: bytes, words: bytes) -> int:
-    """Pieces of a greedy parse of ``body`` into substrings of ``words`` and single bytes."""
-    at = n = 0
-    while at < len(body):
-        end = at + 1
-        while end < len(body) and body[at:end + 1] in words:
-            end += 1
-        at, n = end, n + 1
-    return n
-
-
 class Classifier:
     def __init__(self, model: list[tuple[str, bytes]]):
-        self.names, self.bodies = [x for x, _ in model], [b for _, b in model]
-        self.packers = {}
-        for level in (LEVEL, SHORT_LEVEL):
-            found = []
-            for _, body in model:
-                words = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                words.precompute_compress(level=level)
-                found.append(zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.packers[level] = found
+        settings = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **SETTINGS)
+        self.names, self.packers = [x for x, _ in model], []
+        for _, body in model:
+            words = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(compression_params=settings)
+            self.packers.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=words))
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
         body = letters(text).encode()
         if not body or not self.names:
             return UNKNOWN, 0.0, 0.0
-        sizes = [len(p.compress(body)) for p in self.packers[SHORT_LEVEL if len(body) <= SHORT else LEVEL]]
-        best, margin = self._best(sizes, len(body) + 16)
-        if margin < MARGIN:
-            once = b" " + b" ".join(dict.fromkeys(body.split())) + b" "
-            if len(once) <= PARSED:
-                best, margin = self._best([phrases(once, b) for b in self.bodies], len(once))
-        return self.names[best], 0.5 + 0.5 * min(1.0, margin / 0.1), margin
-
-    @staticmethod
-    def _best(sizes: list[int], alone: int) -> tuple[int, float]:
-        """The smallest size and its relative distance to the next; ``alone`` is what a single language is held against."""
+        sizes = [len(p.compress(body)) for p in self.packers]
         best = min(range(len(sizes)), key=sizes.__getitem__)
-        rest = min((n for i, n in enumerate(sizes) if i != best), default=alone)
-        return best, max(0.0, (rest - sizes[best]) / rest)
+        rest = min((n for i, n in enumerate(sizes) if i != best), default=len(body) + 16)  # a single language is held against no packing
+        margin = max(0.0, (rest - sizes[best]) / rest)
+        return self.names[best], 0.5 + 0.5 * min(1.0, margin / 0.1), margin
 
 
 def predict(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``df`` with lang_pred, score, margin and rejected."""
-    added = ["lang_pred", "score", "margin", "rejected"]
-    columns = [c for c in df.columns if c not in added]
-    held = df.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * DICTIONARY bytes
+    added = StructType.fromDDL("lang_pred string, score double, margin double, rejected boolean")
+    fields = [f for f in df.schema.fields if f.name not in added.names]
+    columns, names = [f.name for f in fields], [f.name for f in fields] + added.names
+    held = df.sparkSession.sparkContext.broadcast(model)  # at most MODEL bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(held.value)
@@ -124,13 +106,12 @@ def predict(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", m
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 got = [classify(t) for t in part.column(at).to_pylist()]
-                names, scores, margins = zip(*got)
+                found, scores, margins = zip(*got)
                 rejected = [n == UNKNOWN or m < margin for n, _, m in got]
                 kept = [part.column(part.schema.get_field_index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(scores), pa.array(margins), pa.array(rejected)], [*columns, *added])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found), pa.array(scores), pa.array(margins), pa.array(rejected)], names)
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(*columns).mapInArrow(run, f"{schema}, lang_pred string, score double, margin double, rejected boolean")
+    return df.select(*[column(c) for c in columns]).mapInArrow(run, StructType([*fields, *added.fields]))
 
 
 def remainder(key: str, parts: int) -> Column:
