@@ -2,8 +2,9 @@
 
 1. A slim pass keeps (id, SHA-1, bytes) of every page.  Among equal payloads of at least ``REVISIT`` bytes the largest id is
    the response and the others revisit it; the decision is an aggregate and a join on the slim rows.
-2. Shard boundaries come from exact byte counts of id bins, refined where a bin is heavy, so they depend on the data alone.
-3. Pages and decisions are range-partitioned by shard in one shuffle and sorted by id; the html moves once.
+2. Shard boundaries come from exact byte counts of id bins, refined where a bin is heavy, so they depend on the data alone.  Where one id,
+   or none, has many pages, these are divided further by their digests.
+3. Pages and decisions are sent to their shard's partition in one shuffle and sorted by id and digest; the html moves once.
 4. A task writes each record as its own gzip member with headers and digests made from the bytes at hand, and rolls to the
    next file by compressed size.  Files get temporary names of the task's attempt, so a lost or repeated task harms nothing.
 5. The attempts that succeeded are in the manifest; their files are moved to the final names, and the manifest is written
@@ -25,49 +26,81 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoweave.operators.joins import lookup
 from isoweave.runtime import checkpoint_root, cut, table
 
 REVISIT = 1000
-#: compressed bytes of a file, raw bytes of a shard, bins of one counting pass, and a date that keeps files repeatable
-ROLL, SHARD, BINS, DATE = 64 << 20, 64 << 20, 4096, "2024-01-01T00:00:00Z"
+#: compressed bytes of a file, raw bytes of a shard, and a date that keeps files repeatable
+ROLL, SHARD, DATE = 64 << 20, 64 << 20, "2024-01-01T00:00:00Z"
+#: leading bits of ids or digests in the first count and in each finer one; shards, beyond which they grow instead
+BITS, MORE, SHARDS = 12, 6, 1 << 16
 BATCH = 1 << 20
 MANIFEST = "name string, temporary string, shard int, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
-def _bins(slim: DataFrame, low: int, high: int, target: float) -> list[tuple[int, int]]:
-    """(first id, bytes) of consecutive bins between two ids; bins over ``target`` are counted again more finely."""
-    width = (high - low) // BINS + 1
-    at = F.floor((F.col("page_id") - F.lit(low)) / F.lit(width))
-    if high - low > 1 << 52:  # past exact doubles
-        at = F.expr(f"(page_id - {low}L) div {width}L")
-    rows = slim.where(F.col("page_id").between(low, high)).groupBy(at.cast("long").alias("bin")).agg(F.sum("bytes")).collect()
-    out = []
-    for b, n in sorted(map(tuple, rows)):
-        first = low + b * width
-        out += _bins(slim, first, min(high, first + width - 1), target) if n > 2 * target and width > 1 else [(first, n)]
-    return out
+def _counted(rows: DataFrame, *keys: Column) -> list[tuple]:
+    return [tuple(r) for r in rows.groupBy(*keys).agg(F.sum("bytes")).collect()]
+
 
+def bins(slim: DataFrame, target: float) -> list[tuple[int | None, int, int]]:
+    """(first id, first part, bytes) of consecutive bins; a null id comes first.
 
-def boundaries(slim: DataFrame, shards: int) -> list[int]:
-    """First ids of the shards after the first; at most ``shards - 1``."""
-    low, high, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    Bins are runs of ids with equal leading bits; those over ``target`` are counted again with more bits, all in one job.
+    A single id over ``target`` and the null id are divided by the leading bits of their digests.
+    """
+    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
+    part = F.shiftright("part", 32 - BITS)
+    out = [(None, p << 32 - BITS, n) for p, n in _counted(slim.where("page_id is null"), part.alias("p"))]
     if low is None:
-        return []
+        return sorted(out, key=lambda b: b[1])
+    shift, held, wide = max(0, (high - low).bit_length() - BITS), slim.where("page_id is not null"), []
+    while True:
+        found = _counted(held, F.shiftright("page_id", shift).alias("bin"))
+        heavy = [b for b, n in found if n > target]
+        wide += [(b << shift, 0, n) for b, n in found if n <= target]
+        if not heavy or not shift:
+            break
+        held, shift = held.where(F.shiftright("page_id", shift).isin(heavy)), max(0, shift - MORE)
+    if heavy:
+        held = held.where(F.shiftright("page_id", shift).isin(heavy))
+        wide += [(b, p << 32 - BITS, n) for b, p, n in _counted(held, F.col("page_id"), part.alias("p"))]
+    return sorted(out, key=lambda b: b[1]) + sorted(wide)
+
+
+def boundaries(slim: DataFrame, shards: int) -> list[tuple[int | None, int]]:
+    """First (id, part) of the shards after the first; at most ``shards - 1``."""
+    total = slim.agg(F.sum("bytes")).first()[0] or 0
     out, done, target = [], 0, total / shards
-    for first, n in _bins(slim, low, high, target):
+    for first, part, n in bins(slim, target / 4):
         if done >= target * (len(out) + 1) and len(out) < shards - 1:
-            out.append(first)
+            out.append((first, part))
         done += n
     return out
 
 
+def _shard(edges: list[tuple[int | None, int]]) -> Column:
+    """The number of boundaries at or before (page_id, part), looked up among every so many of them first."""
+    none, some = [p for i, p in edges if i is None], [e for e in edges if e[0] is not None]
+    words = lambda c: F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>")
+    first = F.size(F.filter(words(none), lambda p: p <= F.col("part"))) if none else F.lit(0)
+    if not some:
+        return F.when(F.col("page_id").isNull(), first).otherwise(F.lit(len(none)))
+    table, step = (lambda rows: F.arrays_zip(*[words(c) for c in zip(*rows)])), max(1, int(len(some) ** 0.5))
+    own = F.struct(F.col("page_id").alias("0"), F.col("part").alias("1"))
+    below = lambda keys: F.size(F.filter(keys, lambda e: e <= own))
+    near = below(table([some[min(i + step, len(some)) - 1] for i in range(0, len(some), step)])) * step
+    return F.when(F.col("page_id").isNull(), first).otherwise(F.lit(len(none)) + F.least(near + below(F.slice(table(some), near + 1, F.lit(step))), F.lit(len(some))))
+
+
 def decisions(slim: DataFrame, least: int = REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows that revisit another."""
-    groups = slim.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    return slim.join(groups, "digest").where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to")
+    """(page_id, part, digest, refers_to) of the rows that revisit another."""
+    large = slim.where(F.col("bytes") >= least)
+    groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    met = lookup(large.select("page_id", "part", "digest"), groups.select("digest", "refers_to"), "digest", groups.select("digest", "n"))
+    return met.where("refers_to is not null and (page_id is null or page_id < refers_to)").select("page_id", "part", "digest", "refers_to").distinct()
 
 
 def _lines(*pairs: tuple[str, object]) -> bytes:
@@ -125,20 +158,16 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll: int = ROL
     """Write ``pages`` (page_id, url, html) as WARC files under ``out``; returns the manifest."""
     spark = pages.sparkSession
     full = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    slim = cut(full.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes")))
+    part = lambda digest: F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("part")
+    slim = full.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes"))
+    slim = cut(slim.select("*", part(F.col("digest"))))
     if shards is None:
         total = slim.agg(F.sum("bytes")).first()[0] or 0
-        shards = min(BINS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD)))
+        shards = min(SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD)))
     edges = boundaries(slim, shards)
-    every = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
-    step = max(1, int(len(edges) ** 0.5))
-    coarse = F.split(F.lit(",".join(str(edges[min(i + step, len(edges)) - 1]) for i in range(0, len(edges), step))), ",").cast("array<bigint>")
-    below = lambda keys: F.size(F.filter(keys, lambda e: e <= F.col("page_id")))
-    near = below(coarse) * step
-    shard = F.coalesce(F.least(near + below(F.slice(every, near + 1, F.lit(step))), F.lit(len(edges))), F.lit(0)) if edges else F.lit(0)
-    said = decisions(slim).select("page_id", F.lit(0).alias("kind"), F.col("digest").alias("word"), "refers_to", F.lit(None).cast("binary").alias("payload"))
-    rows = said.union(full.select("page_id", F.lit(1), "url", F.lit(None).cast("long"), "payload")).withColumn("shard", shard)
-    rows = rows.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "kind", F.col("word").asc_nulls_first(), "payload")
+    said = decisions(slim).select("page_id", "part", F.lit(0).alias("kind"), F.col("digest").alias("word"), "refers_to", F.lit(None).cast("binary").alias("payload"))
+    rows = said.union(full.select("page_id", part(F.sha1("payload")), F.lit(1), "url", F.lit(None).cast("long"), "payload")).withColumn("shard", _shard(edges))
+    rows = rows.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "part", "kind", F.col("word").asc_nulls_first(), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(out)
@@ -149,8 +178,8 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll: int = ROL
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
                 for page_id, kind, word, refers, payload, number in zip(*(part[c] for c in ("page_id", "kind", "word", "refers_to", "payload", "shard"))):
-                    if page_id != of:
-                        known, of = {}, page_id
+                    if (page_id, kind) != of:
+                        known, of = known if of == (page_id, 0) else {}, (page_id, kind)
                     if kind == 0:
                         known[word] = refers
                         continue

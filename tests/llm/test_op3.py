@@ -68,7 +68,21 @@ def test_files_are_repeatable_rolled_and_plain_gzip(spark, tmp_path):
 
 
 def test_heavy_bins_are_refined(spark):
-    rows = [(i, 100) for i in range(1000)] + [(1 << 50, 1)]
-    slim = spark.createDataFrame(rows, "page_id long, bytes long")
+    rows = [(i, 100, 0) for i in range(1000)] + [(1 << 50, 1, 0)]
+    slim = spark.createDataFrame(rows, "page_id long, bytes long, part long")
     edges = W.boundaries(slim, 10)
-    assert len(edges) == 9 and all(abs(e - 100 * (i + 1)) <= 8 for i, e in enumerate(edges))
+    assert len(edges) == 9 and all(abs(e - 100 * (i + 1)) <= 25 and p == 0 for i, (e, p) in enumerate(edges))
+
+
+def test_a_hot_id_and_null_ids_are_divided_by_digest(spark, tmp_path):
+    rows = [(None, f"u{i}", f"null {i} " + "x" * 2000) for i in range(200)] + [(7, f"v{i}", f"seven {i} " + "y" * 2000) for i in range(200)]
+    rows += [(i, "w", f"own {i} " + "z" * 2000) for i in range(100, 250)] + [(300 + i, "c", rows[i][2]) for i in range(0, 40)] + [(7, "again", rows[250][2])] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = W.write(df, f"file://{tmp_path}/a", shards=8).collect()
+    shares = {}
+    for r in manifest:
+        shares[r.shard] = shares.get(r.shard, 0) + r.records
+    assert len(shares) == 8 and max(shares.values()) <= 1.5 * len(rows) / 8
+    assert columns(W.read(spark, f"file://{tmp_path}/a")) == brute([(i, h) for i, _, h in rows])
+    edges = W.boundaries(spark.createDataFrame([(-(1 << 63), 5, 0), ((1 << 63) - 1, 5, 0)], "page_id long, bytes long, part long"), 2)
+    assert edges in ([], [((1 << 63) - 1, 0)]) or len(edges) == 1
