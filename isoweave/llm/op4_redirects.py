@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from isoweave.operators.iterate import connected_components
 from isoweave.llm.op6_license import LOWER, UPPER
+from isoweave.operators.joins import lookup
 from isoweave.runtime import cut, table
 
 #: (host, path, verdict)
@@ -110,11 +111,13 @@ def filter_urls(
         F.max((F.col("_said") == "allow").cast("int")).alias("_allow"), F.max((F.col("_said") == "block").cast("int")).alias("_block"))
     forms = forms.join(members, forms["_plain"] == members["node"], "left").select(F.coalesce("component", "_plain").alias("_component"), "_allow", "_block")
     groups = forms.groupBy("_component").agg(F.max("_allow").alias("_allow"), F.max("_block").alias("_block")).where("_block = 1 and _allow = 0").select("_component", F.lit(True).alias("_spread"))
-    # Urls that a rule names need no lookup; the others ask by the component of their plain form.
+    # Every plain form that has aliases or a block to pass on, once.
+    alone = groups.join(members, groups["_component"] == members["node"], "left_anti").select(F.col("_component").alias("_plain"), F.col("_component").alias("_joined"), "_spread")
+    named_forms = members.join(groups, members["component"] == groups["_component"], "left").select(F.col("node").alias("_plain"), F.col("component").alias("_joined"), "_spread")
+    # Urls that a rule names need no lookup; the others ask by their plain form, of which a hot page may have many.
     settled = rows.where("_said is not null").withColumns({"verdict": F.col("_said"), "component": F.col("_plain")})
-    asking = rows.where("_said is null").join(members.withColumnRenamed("node", "_plain").withColumnRenamed("component", "_joined"), "_plain", "left")
-    asking = asking.withColumn("_component", F.coalesce("_joined", "_plain")).join(groups, "_component", "left")
-    asking = asking.withColumns({"verdict": F.when(F.col("_spread"), "block").otherwise("allow"), "component": F.col("_component")})
+    asking = lookup(rows.where("_said is null"), cut(named_forms.union(alone)), "_plain")
+    asking = asking.withColumns({"verdict": F.when(F.col("_spread"), "block").otherwise("allow"), "component": F.coalesce("_joined", "_plain")})
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "component")] + ["host", "path", "rule", "verdict", "component"]
     return settled.select(*keep).union(asking.select(*keep))
 
