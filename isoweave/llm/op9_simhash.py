@@ -28,9 +28,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from isoweave.operators.iterate import connected_components
-from isoweave.runtime import cut, table
+from isoweave.operators.joins import lookup
+from isoweave.runtime import column, cut, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWERED = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -63,7 +65,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle
             fps = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(column(key), column(text)).mapInArrow(run, StructType([df.schema[key], StructField("fp", LongType())]))
 
 
 def near(fps: np.ndarray, radius: int = RADIUS, words: int = 64) -> Iterator[tuple[int, np.ndarray]]:
@@ -184,11 +186,12 @@ def _pairs(fps: np.ndarray, starts: np.ndarray, radius: int, last: bool = False)
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(key, fp, component_id) of every row of ``df``."""
     docs = cut(fingerprints(df, text, key, shingle))
-    vertices = cut(docs.groupBy("fp").agg(F.min(key).alias("least")))
+    vertices = cut(docs.groupBy("fp").agg(F.min(column(key)).alias("least"), F.count("*").alias("n")))
     members = connected_components(links(vertices, radius))
     members = vertices.join(members, vertices["fp"] == members["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    return docs.join(members.join(least, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    # a group of copies may hold a third of the rows
+    return lookup(docs, members.join(least, "component").select("fp", "component_id"), "fp", vertices.select("fp", "n")).select(column(key), "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
