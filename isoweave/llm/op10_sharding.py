@@ -1,7 +1,8 @@
 """Sharding by sampled splitters, in DataFrame functions only.
 
-1. Rows get a key (hash of the text, hash of the id, hash of the whole row), so equal texts lie side by side and a hot
-   group of copies can still be cut inside.  Only these hashes, the size and the checksum go on, never the text.
+1. Rows get a key (hash of the text, hash of the id, hash of the whole row, place in the input), so equal texts lie side by side
+   and a hot group of copies, even of whole rows, can still be cut inside.  Only these numbers, the size and the checksum go
+   on, never the text.
 2. A size-weighted sample of keys is drawn: a row of s bytes is taken with probability min(1, s * samples / total).  The
    expected number of sampled keys is at most ``2 * samples`` whatever the table's size.
 3. Quantiles of the sample are splitters of ``ranges`` fine ranges; every row is counted into its range exactly.
@@ -12,9 +13,9 @@
 
 Law ``bytes``: shard sizes are near equal (a boundary is off by at most half a fine range).
 
-Defined results: a null text has size 1 and checksum 0; a null id is one more id; copies of a whole row are told
-apart by nothing, so they stay in one range; an empty table gives an empty result; extra columns pass through
-``shard_rows`` except ``size``, ``text_crc32``, ``shard`` and ``slot``, which are replaced.
+Defined results: a null text has size 1 and checksum 0; a null id is one more id; copies of a whole row are told apart by their place in the
+input alone; an empty table gives an empty result; ``shard_rows`` returns no other columns, ``write_shards`` keeps all but
+``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isoweave.runtime import cut, table
+from isoweave.runtime import column, cut, table
 
 #: fine ranges and sampled keys for each shard; both bound what the driver sees
-RANGES_A_SHARD, SAMPLES_A_RANGE, REFINEMENTS = 64, 16, 3
-KEY = ("_h1", "_h2", "_h3")
+RANGES_A_SHARD, SAMPLES_A_RANGE = 64, 16
+KEY = ("_h1", "_h2", "_h3", "_h4")
 
 
 def _uniform(*cols: Column) -> Column:
@@ -45,7 +46,7 @@ def _literal(rows: list[tuple]) -> Column:
 def _sample(rows: DataFrame, rate: float) -> list[tuple[tuple, float]]:
     """Keys with the bytes that each stands for, in key order."""
     taken = rows.where(_uniform(*KEY) < F.col("_weight") * F.lit(rate)).select(*KEY, "_weight").collect()
-    return sorted(((r[0], r[1], r[2]), max(float(r[3]), 1 / rate)) for r in taken)
+    return sorted((tuple(r[:-1]), max(float(r[-1]), 1 / rate)) for r in taken)
 
 
 def _quantiles(sample: list[tuple[tuple, float]], parts: int) -> list[tuple]:
@@ -76,10 +77,10 @@ def splitters_of(rows: DataFrame, ranges: int, samples: int) -> tuple[list[tuple
         return [], {}
     found = _quantiles(_sample(rows, samples / total), ranges)
     target = total / ranges
-    for left in range(REFINEMENTS, -1, -1):
+    while True:
         counts = {r[0]: (r[1], r[2]) for r in _ranged(rows, found).groupBy("_range").agg(F.sum("_weight"), F.count("*")).collect()}
-        full = sorted(k for k, (w, _) in counts.items() if w > 2 * target)
-        if not full or not left:
+        full = sorted(k for k, (w, n) in counts.items() if w > 2 * target and n > 1)
+        if not full:
             return found, counts
         inside = _ranged(rows, found).where(F.col("_range").isin(full))
         heavy, more = sum(counts[k][0] for k in full), []
@@ -91,7 +92,6 @@ def splitters_of(rows: DataFrame, ranges: int, samples: int) -> tuple[list[tuple
         if not set(more) - set(found):
             return found, counts
         found = sorted(set(found) | set(more))
-    return found, counts
 
 
 def cuts(counts: dict[int, tuple[int, int]], shards: int) -> dict[int, tuple[int, int]]:
@@ -115,38 +115,40 @@ def cuts(counts: dict[int, tuple[int, int]], shards: int) -> dict[int, tuple[int
     return out
 
 
-def shard_rows(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Id, size, checksum, shard and slot of every row of ``df``."""
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+def shard_rows(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """Id, size, checksum, shard and slot of every row of ``df``; with ``carry`` the whole row as a struct ``_row`` in place of the id."""
+    body = F.encode(F.coalesce(column(text), F.lit("")), "UTF-8")
+    whole = F.struct(*map(column, df.columns))
+    kept = whole.alias("_row") if carry else column(key).alias("_row")
     rows = df.select(
-        F.col(key),
+        kept,
         (F.length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        F.xxhash64(F.col(text)).alias("_h1"),
-        F.xxhash64(F.col(key)).alias("_h2"),
-        F.xxhash64(*df.columns).alias("_h3"),
+        F.xxhash64(column(text)).alias("_h1"),
+        F.xxhash64(column(key)).alias("_h2"),
+        F.xxhash64(*map(column, df.columns)).alias("_h3"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("_h4"),
     ).withColumn("_weight", F.col("size"))
     rows = cut(rows)
     found, counts = splitters_of(rows, shards * RANGES_A_SHARD, shards * RANGES_A_SHARD * SAMPLES_A_RANGE)
     places = cuts(counts, shards)
     if not places:
-        return rows.select(key, "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select(F.col("_row").alias("_row" if carry else key), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     # one entry for each fine range: at most shards * RANGES_A_SHARD and what the refinements add
     entries = [places.get(k, (0, 0)) for k in range(len(found) + 1)]
     at = F.get(_literal(entries), F.col("_range"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*KEY))
     out = _ranged(rows, found).withColumn("_rank", rank).withColumn("_at", at)
-    return out.select(key, "size", "text_crc32", F.col("_at.0").cast("int").alias("shard"), (F.col("_at.1") + F.col("_rank") - 1).alias("slot"))
+    return out.select(F.col("_row").alias("_row" if carry else key), "size", "text_crc32", F.col("_at.0").cast("int").alias("shard"), (F.col("_at.1") + F.col("_rank") - 1).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 16, text: str = "text", key: str = "doc_id") -> None:
-    """Range-partition whole records by (shard, slot) and write one folder for each shard.
-
-    Ids must be unique here, since they lead from the plan back to the record.
-    """
-    plan = shard_rows(df, shards, text, key).select(key, "shard", "slot")
-    placed = df.drop("shard", "slot").join(plan, key)
-    placed.repartitionByRange(max(shards, placed.rdd.getNumPartitions()), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Range-partition whole records by (shard, slot) and write one folder for each shard."""
+    plan = shard_rows(df, shards, text, key, carry=True)
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    parts = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = plan.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").select(*kept, "shard", "slot")
+    placed.write.partitionBy("shard").parquet(path)
 
 
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

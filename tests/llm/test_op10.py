@@ -48,6 +48,19 @@ def test_nulls_repeats_clashes_and_small_tables(spark):
     assert shard_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_whole_rows_are_cut_and_written_once(spark, tmp_path):
+    rows = [(7, "the same row again")] * 4000 + [(i, f"small {i}") for i in range(198)]
+    df = spark.createDataFrame(rows, "`my id` long, `a.text` string")
+    got = shard_rows(df, text="a.text", key="my id").collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 0.1 * max(sizes.values())
+    write_shards(df, f"{tmp_path}/out", 4, "a.text", "my id")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select("`my id`", "`a.text`").collect())) == sorted(rows)
+
+
 def test_repeatable(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     a, b = shard_rows(docs), shard_rows(docs.repartition(7))
