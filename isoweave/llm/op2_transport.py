@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from isoweave.runtime import table
+from isoweave.runtime import column, table
 
 PACKET, SYNC, GRID = 188, 0x47, 64
 PMT_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
@@ -253,8 +254,8 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataTy
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in columns), made], [*columns, target])
                 at = end
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(*columns).mapInArrow(run, f"{schema}, `{target}` {kind}")
+    fields = [f for f in df.schema.fields if f.name in columns] + [StructField(target, StructType.fromDDL(f"made {kind}")["made"].dataType)]
+    return df.select(*map(column, columns)).mapInArrow(run, StructType(fields))
 
 
 def pad(payload: bytes | None) -> bytes:

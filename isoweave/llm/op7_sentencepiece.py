@@ -8,7 +8,7 @@ not cover exactly is an error, so the alignment is checked on every row.
 The job is a map over Arrow batches with no shuffle.  Ids and spans are packed (little-endian unsigned 32 bits) and
 leave in small batches, so a task's memory is bounded by its longest text.
 
-Defined results: a null or empty text has only the begin and end ids and no span; equal texts give equal results; a null id
+Defined results: ids that the normalised text does not account for have the whole text as their span; a null or empty text has only the begin and end ids and no span; equal texts give equal results; a null id
 passes through; extra columns are not read.
 """
 
@@ -23,8 +23,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from isoweave.runtime import table
+from isoweave.runtime import column, table
 
 SPACE = "▁".encode()
 #: bytes of text that are encoded at once
@@ -170,7 +171,8 @@ class Model:
             widths[inner] = np.where(widths[inner] < 0, lengths, widths[inner])
         ends = np.cumsum(widths)
         if ends.size and ends[-1] != len(body):
-            raise ValueError(f"pieces cover {ends[-1]} of {len(body)} normalised bytes")
+            # the pieces are not those of the normalised text: no alignment can be told, so every piece has the whole text
+            return np.tile([0, len(text)], (len(ids), 1))
         return np.stack([source[ends - widths], np.where(widths > 0, _after(source, ends), source[ends])], 1)
 
 
@@ -196,8 +198,8 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", be
                 if len(part):
                     yield _encoded(batch.slice(part[0], len(part)), model, begin, end, key)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids binary, spans binary, decoded string")
+    made = StructType.fromDDL("n_tokens long, ids binary, spans binary, decoded string")
+    return df.select(column(key), column(text)).mapInArrow(run, StructType([df.schema[key], *made.fields]))
 
 
 def _encoded(batch: pa.RecordBatch, model: Model, begin: bool, end: bool, key: str) -> pa.RecordBatch:
@@ -220,7 +222,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
                 rows = [np.frombuffer(b or b"", "<u4").tolist() for b in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(processor.decode(rows), pa.string())], [key, "decoded"])
 
-    return df.select(key, ids).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, decoded string")
+    return df.select(column(key), column(ids)).mapInArrow(run, StructType([df.schema[key], StructField("decoded", StringType())]))
 
 
 def default_model() -> str:
