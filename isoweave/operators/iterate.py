@@ -5,8 +5,12 @@ Each round's table is cut with a reliable checkpoint; only counts reach the driv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from isoweave.runtime import cut, cut_in_loop
@@ -19,42 +23,78 @@ def terminal(pointers: DataFrame, id: str = "id", next: str = "next") -> DataFra
     move after 64 doublings are an error.
     """
     state = cut_in_loop(pointers.select(F.col(id).alias("id"), F.coalesce(next, id).alias("root")))
+    rows = state.count()
+    state = _tasks(state, rows)
     for _ in range(64):
         jump = state.select(F.col("id").alias("root"), F.col("root").alias("further"))
         moved = state.join(jump, "root", "left").select("id", F.coalesce("further", "root").alias("to"), (F.coalesce("further", "root") != F.col("root")).alias("moved"))
-        moved = cut_in_loop(moved)
+        moved = cut_in_loop(_tasks(moved, rows))
         state = moved.select("id", F.col("to").alias("root"))
         if moved.where("moved").isEmpty():
             return state
     raise ValueError("pointers form a loop")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: rows of a round's table for a task; edges that are finished in one task, a fixed bound
+SHARE, TAIL = 1 << 17, 1 << 13
+
+
+def _tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in few enough tasks for a table of this many rows; later rounds of a loop have ever fewer."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // SHARE))
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """(a, to): every vertex of at most ``TAIL`` edges and the least vertex that it reaches, by union and find in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+                a, b = top(a), top(b)
+                root[max(a, b)] = min(a, b)
+        if root:
+            yield pd.DataFrame({"a": list(root), "to": [top(x) for x in list(root)]})
+
+    kind = edges.schema["a"].dataType
+    return edges.select("a", "b").coalesce(1).mapInPandas(run, StructType([StructField("a", kind), StructField("to", kind)]))
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", tail: int = TAIL) -> DataFrame:
     """(node, component) of every vertex that has an edge to another one; ``component`` is the component's least vertex.
 
     Each round every vertex points to the least vertex, by a hash that changes every round, among itself and its neighbours, and
     edges are rewritten to the pointed-to vertices; a round removes a constant share of the vertices in expectation,
-    whatever the shape.  The pointers of all rounds are then composed, last round first.  Null ends and loops are no edges.
+    whatever the shape.  The last ``tail`` edges are finished at once in Python; with 0 all rounds are joins.  The pointers of
+    all rounds are then composed, last round first.  Null ends and loops are no edges.
     """
     left = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b")
     left = cut_in_loop(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pointers, turn = [], 0
-    while not left.isEmpty():
+    while (rows := left.count()) > tail:
+        left = _tasks(left, rows)
         both = left.union(left.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("hash"), F.col(c).alias("vertex"))  # noqa: E731, B023
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select("a", F.least(F.col("best"), rank("a"))["vertex"].alias("to"))
-        pointer = cut_in_loop(best)
+        pointer = cut_in_loop(_tasks(best, 2 * rows))
         pointers.append(pointer)
         moved = left.join(pointer, "a").select(F.col("to").alias("x"), "b")
         moved = moved.join(pointer.withColumnRenamed("a", "b"), "b").select("x", F.col("to").alias("y"))
-        left = cut_in_loop(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        moved = moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left = cut_in_loop(_tasks(moved, rows))
         turn += 1
-    if not pointers:
-        return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    root = pointers[-1]
-    for pointer in reversed(pointers[:-1]):
+    root = cut_in_loop(_finished(left)) if tail else left.select("a", F.col("b").alias("to"))
+    for i, pointer in enumerate(reversed(pointers)):
         further = root.select(F.col("a").alias("to"), F.col("to").alias("end"))
-        root = cut_in_loop(pointer.join(further, "to", "left").select("a", F.coalesce("end", "to").alias("to")))
+        root = pointer if not tail and i == 0 else cut_in_loop(_tasks(pointer.join(further, "to", "left").select("a", F.coalesce("end", "to").alias("to")), pointer.count()))
+    # the last rounds' ends are least by a hash or among what was left, so the least vertex of each component is taken now
     least = root.groupBy("to").agg(F.min("a").alias("component"))
     return root.join(least, "to").select(F.col("a").alias("node"), "component")
 
