@@ -98,7 +98,7 @@ def filter_urls(
     """``pages`` with host, path, rule, verdict and ``component`` (a name of the group of aliases, null for no url)."""
     if redirects is not None:
         named = judged(redirects.select(F.explode(F.array("from_url", "to_url")).alias(url)), rules, url)
-    members = cut(connected_components(edges_of(pages, url, html, redirects)))
+    members = cut(connected_components(edges_of(pages, url, html, redirects), tail=0))
     rows = judged(pages, rules, url).withColumn("_plain", plain_of(F.col(url)))
     known = rows.select("_plain", "_said")
     if redirects is not None:
