@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoweave.functions import calculus as C
 from isoweave.functions import grid as G
 from isoweave.operators import complex as M
+from isoweave.operators import geometry as L
 from isoweave.operators import gradient as D
 from isoweave.operators import iterate, lines, regions
 from isoweave.runtime import cut, table
@@ -236,21 +237,11 @@ def p11_metrics(spark: SparkSession, d: str) -> DataFrame:
     return found.select("line_id", *[F.round(c, 4).alias(c) for c in ("length", "mean_value", "mean_x", "mean_positive")])
 
 
-@query("p2_smooth")
-def p2_smooth(spark: SparkSession, d: str) -> DataFrame:
-    return lines.smooth(_lines(spark, d), 5)
-
-
 @query("p3_decimate")
 def p3_decimate(spark: SparkSession, d: str) -> DataFrame:
     return lines.decimate(_lines(spark, d), 5.0)
 
 
-@query("p9_slices")
-def p9_slices(spark: SparkSession, d: str) -> DataFrame:
-    return lines.slices(_lines(spark, d), 100.0)
-
-
 @query("p13_radius_join", """select a.p_partkey as p_partkey, count(*) as n, min(b.p_partkey) as first from part a join part b
     on abs(a.p_size - b.p_size) <= 2 and (a.p_size - b.p_size) ** 2 + (round(a.p_retailprice) - round(b.p_retailprice)) ** 2 <= 4 group by a.p_partkey""")
 def p13_radius(spark: SparkSession, d: str) -> DataFrame:
@@ -351,6 +342,127 @@ def l15_network(spark: SparkSession, d: str) -> DataFrame:
     return M.minimal_network(M.extremum_graph(arcs, nodes, raster.LQ, maxima=False), [0.0, 2e6, 4e6])
 
 
+#: every cell of the doubled lattice: (cid, cx, cy)
+CELL = "cell as (select g as cid, g % 91 as cx, g // 91 as cy from range(9009) t(g))"
+
+
+@query("g9_cells", f"with {CELL} select cid, cast(cx % 2 + cy % 2 as int) as dim, cast(cx in (0, 90) as int) + cast(cy in (0, 98) as int) as bnd, cx * 0.5::double as x, cy * 0.5::double as y, cast(2 - cx % 2 - cy % 2 as int) as dual_dim from cell")
+def g9_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells, boundary classes, centroids and dual dimensions of the grid that a field is on."""
+    cells = G.cells(spark, raster.LQ)
+    dual = G.dual(cells.select("cid", "dim"), raster.LQ).select("cid", F.col("dim").cast("int").alias("dual_dim"))
+    x, y, _ = G.centroid()
+    return cells.select("cid", "dim", "bnd", x.alias("x"), y.alias("y")).join(dual, "cid")
+
+
+def _incidence_sql(steps: str) -> str:
+    return f"""with {LQ}, {CELL}, value as (select c.cid, c.cx, c.cy, max(lq.v) as v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by 1, 2, 3)
+        select a.cid, count(*) as n, cast(sum(b.v) as bigint) as total from value a join value b on {steps} group by a.cid"""
+
+
+def _cell_values(spark: SparkSession, d: str) -> DataFrame:
+    found = G.cell_extremes(G.cells(spark, raster.LQ), raster.lineitem_field(spark, d), raster.LQ)
+    return cut(found.select("cid", F.col("max_value").alias("value")))
+
+
+def _incident(spark: SparkSession, d: str, relation, name: str) -> DataFrame:
+    values = _cell_values(spark, d)
+    pairs = relation(values.select("cid"), raster.LQ).join(values.withColumnRenamed("cid", name), name)
+    return pairs.groupBy("cid").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("g10_facets", _incidence_sql("(a.cx % 2 = 1 and abs(a.cx - b.cx) = 1 and a.cy = b.cy) or (a.cy % 2 = 1 and abs(a.cy - b.cy) = 1 and a.cx = b.cx)"))
+def g10_facets(spark: SparkSession, d: str) -> DataFrame:
+    return _incident(spark, d, G.facets, "fcid")
+
+
+@query("g11_cofacets", _incidence_sql("(a.cx % 2 = 0 and abs(a.cx - b.cx) = 1 and a.cy = b.cy) or (a.cy % 2 = 0 and abs(a.cy - b.cy) = 1 and a.cx = b.cx)"))
+def g11_cofacets(spark: SparkSession, d: str) -> DataFrame:
+    return _incident(spark, d, G.cofacets, "ccid")
+
+
+@query("g12_star", _incidence_sql("greatest(abs(a.cx - b.cx), abs(a.cy - b.cy)) = 1"))
+def g12_star(spark: SparkSession, d: str) -> DataFrame:
+    return _incident(spark, d, G.star, "acid")
+
+
+@query("g5_same_boundary", f"with {LQ}, {NEAR}, b as (select vid, cast(x in (0, 45) as int) + cast(y in (0, 49) as int) as bnd from lq) select n.vid, count(*) as n, cast(sum(nv) as bigint) as total from near n join b p on p.vid = n.vid join b q on q.vid = n.nvid where p.bnd = q.bnd group by n.vid")
+def g5_same_boundary(spark: SparkSession, d: str) -> DataFrame:
+    near = G.neighbours(raster.lineitem_field(spark, d), raster.LQ, same_boundary=True)
+    return near.groupBy("vid").agg(F.count("*").alias("n"), F.sum("nvalue").alias("total"))
+
+
+@query("g6_line_neighbours", f"with {LQ} select a.vid, count(*) as n, cast(sum(b.v) as bigint) as total from lq a join lq b on a.y = b.y and abs(a.x - b.x) <= 3 group by a.vid")
+def g6_line(spark: SparkSession, d: str) -> DataFrame:
+    return G.line_neighbours(raster.lineitem_field(spark, d), raster.LQ, 0, 3).groupBy("vid").agg(F.count("*").alias("n"), F.sum("nvalue").alias("total"))
+
+
+@query("g21_cell_mask", f"with {LQ}, {CELL} select c.cid from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by c.cid having min(lq.v) > (select avg(v) from lq)")
+def g21_mask(spark: SparkSession, d: str) -> DataFrame:
+    return G.cell_mask(G.cells(spark, raster.LQ), _mask(spark, d)[1], raster.LQ).select("cid")
+
+
+@query("f2_interpolated", f"with {LQ}, p as (select vid as pid, x, y from lq where x < 45 and y < 49) select pid, round(sum(lq.v * (case when lq.x = p.x then 0.375::double else 0.125::double end)), 2) as value from p join lq on lq.x in (p.x, p.x + 1) and lq.y in (p.y, p.y + 1) group by pid")
+def f2_interpolated(spark: SparkSession, d: str) -> DataFrame:
+    field = raster.lineitem_field(spark, d)
+    points = field.where("x < 45 and y < 49").select(F.col("vid").alias("pid"), (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.5).alias("py"), F.lit(0.0).alias("pz"))
+    return C.interpolate(points, field, raster.LQ).select("pid", F.round("value", 2).alias("value"))
+
+
+@query("m14_limits", f"with {LQ} select (max(v) - min(v)) * 0.1::double as cancel, (max(v) - min(v)) * 0.01::double as base from lq")
+def m14_limits(spark: SparkSession, d: str) -> DataFrame:
+    return M.default_limits(raster.lineitem_field(spark, d)).select(F.col("cancel").cast("double").alias("cancel"), F.col("base").cast("double").alias("base"))
+
+
+@query("p9_slices", f"""with {PL}, s as (select *, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as step from pl window w as (partition by line_id order by pos)),
+    a as (select *, sum(step) over (partition by line_id order by pos) as arc from s), l as (select line_id, arg_min(arc, struct_pack(y := y, pos := pos)) as anchor from a group by line_id),
+    n as (select line_id, pos, floor((arc - anchor) / 100.0) as slice from a join l using (line_id)), b as (select *, lag(slice) over (partition by line_id order by pos) as before from n)
+    select line_id, pos, cast(slice as bigint) as slice from b where before is null or before <> slice""")
+def p9_slices(spark: SparkSession, d: str) -> DataFrame:
+    return lines.slices(_lines(spark, d), 100.0).select("line_id", "pos", "slice")
+
+
+def _smoothed_sql(times: int) -> str:
+    steps = [f"s{k + 1} as (select line_id, pos, {', '.join(f'case when lag({c}) over w is null or lead({c}) over w is null then {c} else lag({c}) over w / 4 + {c} / 2 + lead({c}) over w / 4 end as {c}' for c in 'xy')} from s{k} window w as (partition by line_id order by pos))" for k in range(times)]
+    return f"with {PL}, s0 as (select * from pl), {', '.join(steps)} select line_id, pos, round(x, 3) as x, round(y, 3) as y from s{times}"
+
+
+@query("p2_smooth", _smoothed_sql(5))
+def p2_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return lines.smooth(_lines(spark, d), 5).select("line_id", "pos", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("m4_geometry")
+def m4_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Valley and ridge lines from every saddle, cell by cell."""
+    grad = _gradient(spark, d)[1]
+    return L.arc_geometry(grad, raster.LQ).withColumn("dim", F.lit(0)).union(L.arc_geometry(grad, raster.LQ, up=True).withColumn("dim", F.lit(1)))
+
+
+@query("l3_mean_along")
+def l3_mean(spark: SparkSession, d: str) -> DataFrame:
+    return L.mean_along(L.arc_geometry(_gradient(spark, d)[1], raster.LQ), _cell_values(spark, d))
+
+
+@query("t7_history")
+def t7_history(spark: SparkSession, d: str) -> DataFrame:
+    _, nodes, pairs = _pairs(spark, d)
+    return L.cancellation_history(cut(pairs), nodes.where("dim = 0").agg(F.count("*").alias("n")))
+
+
+@query("t11_persistence_pairs")
+def t11_pairs(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+    return L.persistence_pairs(M.ridge_arcs(arcs, raster.LQ), nodes, nodes)
+
+
+@query("m22_reasons")
+def m22_reasons(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return L.blocking_reasons(M.arcs(grad, field, raster.LQ), M.nodes(grad, field, raster.LQ))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
