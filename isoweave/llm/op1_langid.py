@@ -2,7 +2,7 @@
 
 Training keeps, for every language, a bounded sample of its texts (pieces of ``PIECE`` characters from anywhere in the whole texts, drawn
 by hash, up to ``DICTIONARY`` bytes of their words) as a zstandard raw-content dictionary.  A text is reduced to its
-lower-case letters and compressed whole against each dictionary, with the same settings at every length.  The smallest wins; the
+lower-case letters and compressed whole against each dictionary, at the same level at every length.  The smallest wins; the
 margin to the second is the evidence.  A margin that is narrow, or a text without a letter, is a rejection.
 
 Fitting reads the lengths of all rows and collects pieces of about twice the dictionaries' size.  The dictionaries together
@@ -30,8 +30,8 @@ from isoweave.runtime import column, table
 
 #: bytes of a language's dictionary, of all dictionaries, and characters of a piece of training text
 DICTIONARY, MODEL, PIECE = 192 << 10, 64 << 20, 512
-#: matches of four bytes by binary trees over the whole dictionary: of the settings tried the most accurate, in a third of the highest level's time
-SETTINGS = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_BTLAZY2}
+#: one compression level for every text: of those tried as accurate as any but one, which takes twice the time
+LEVEL = 6
 #: narrower relative margins are rejected
 MARGIN = 0.001
 UNKNOWN = "und"
@@ -73,12 +73,11 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[s
 
 class Classifier:
     def __init__(self, model: list[tuple[str, bytes]]):
-        settings = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **SETTINGS)
         self.names, self.packers = [x for x, _ in model], []
         for _, body in model:
             words = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(compression_params=settings)
-            self.packers.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=words))
+            words.precompute_compress(level=LEVEL)
+            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
