@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,18 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any names, which that method looks up by unquoted name."""
+    given, made = df.columns, schema.names
+    plain = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator) -> Iterator:
+        for batch in run(b.rename_columns(given) for b in batches):
+            yield batch.rename_columns(plain.names)
+
+    return df.toDF(*[f"_{i}" for i in range(len(given))]).mapInArrow(renamed, plain).toDF(*made)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
