@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from isoweave.runtime import column, table
+from isoweave.runtime import column, map_arrow, table
 
 #: bytes of a language's dictionary, of all dictionaries, and characters of a piece of training text
 DICTIONARY, MODEL, PIECE = 192 << 10, 64 << 20, 512
@@ -36,12 +36,35 @@ LEVEL = 6
 MARGIN = 0.001
 UNKNOWN = "und"
 #: what is no letter: signs, digits, and the other numbers that Python counts as word characters
+SIGNS = re.compile(r"[\W\d_]+")
 NOT_LETTER = re.compile("[\\W\\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
+#: tokens whose letters a task remembers
+TOKENS = 1 << 17
+
+
+class _Letters(dict):
+    """The letters of a token between spaces, looked up once."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= TOKENS:
+            self.clear()
+        found = token
+        if not token.isalpha():  # the short pattern suffices but for rare numbers
+            found = SIGNS.sub(" ", token).strip()
+            if not found.replace(" ", "").isalpha():
+                found = NOT_LETTER.sub(" ", found).strip()
+        self[token] = found
+        return found
+
+
+_KNOWN = _Letters()
+
+
 def letters(text: str | None) -> str:
     """Lower-case words without digits and signs, one space around each; empty without a letter."""
-    words = NOT_LETTER.sub(" ", (text or "").lower()).strip()
+    words = " ".join(filter(None, map(_KNOWN.__getitem__, (text or "").lower().split())))
     return f" {words} " if words else ""
 
 
@@ -110,7 +133,7 @@ def predict(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", m
                 kept = [part.column(part.schema.get_field_index(c)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found), pa.array(scores), pa.array(margins), pa.array(rejected)], names)
 
-    return df.select(*[column(c) for c in columns]).mapInArrow(run, StructType([*fields, *added.fields]))
+    return map_arrow(df.select(*map(column, columns)), run, StructType([*fields, *added.fields]))
 
 
 def remainder(key: str, parts: int) -> Column:

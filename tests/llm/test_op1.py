@@ -36,3 +36,18 @@ def test_nulls_ties_long_and_empty(spark):
     assert by[6].lang_pred == "en" and by[5].lang_pred == by[None].lang_pred == "fr" and not by[5].rejected
     assert {r.lang_pred for r in L.predict(df, []).collect()} == {"und"}
     assert L.predict(df.limit(0), L.fit(df.limit(0))).count() == 0
+
+
+def test_a_letter_is_of_a_unicode_letter_category(spark):
+    rows = [(1, "²"), (2, "½ ③ 12"), (3, "中文 字"), (4, "a²b"), (5, "¼" * 3000)]
+    df = spark.createDataFrame(rows, "`doc.id` long, `the text` string")
+    model = L.fit(spark.createDataFrame([("the cat and the dog", "en"), ("le chat est", "fr")], "text string, lang string"))
+    got = {r[0]: r.lang_pred for r in L.predict(df, model, "the text").collect()}
+    assert got[1] == got[2] == got[5] == "und" and got[3] != "und" and got[4] != "und"
+    assert L.letters("a²b  C-d") == " a b c d "
+
+
+def test_no_language_is_left_out(spark):
+    rows = spark.range(1200).selectExpr("concat('word', id, ' of language ', id) text", "concat('l', id) lang")
+    model = L.fit(rows)
+    assert len(model) == 1200 and sum(len(b) for _, b in model) <= L.MODEL
