@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from isoweave.runtime import column, table
+from isoweave.runtime import column, map_arrow, table
 
 PACKET, SYNC, GRID = 188, 0x47, 64
 PMT_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x100, 0x06, 0xBD
@@ -255,7 +255,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataTy
                 at = end
 
     fields = [f for f in df.schema.fields if f.name in columns] + [StructField(target, StructType.fromDDL(f"made {kind}")["made"].dataType)]
-    return df.select(*map(column, columns)).mapInArrow(run, StructType(fields))
+    return map_arrow(df.select(*map(column, columns)), run, StructType(fields))
 
 
 def pad(payload: bytes | None) -> bytes:

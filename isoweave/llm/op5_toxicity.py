@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from isoweave.llm.op1_langid import remainder
-from isoweave.runtime import column, cut, table
+from isoweave.runtime import column, cut, map_arrow, table
 
 #: labelled rows to learn from, mined stems, features of the classifier, the rows and the likelihood ratio that a feature needs
 SAMPLE, STEMS, FEATURES, SUPPORT, EVIDENCE = 20000, 64, 4096, 4, 14.0
@@ -64,7 +64,7 @@ GATES = [
     [*"*@#$!", "1d10t", "m0ron", "l0ser", "tr4sh", "stup"], ["piece of ", "full of "],
 ]
 COMPILED = [(re.compile(p), g) for p, g in zip(PATTERNS, GATES, strict=True)]
-#: words whose features a task remembers
+#: tokens between spaces whose features a task remembers
 WORDS = 1 << 17
 
 
@@ -88,12 +88,12 @@ class Lexer:
 
     def __call__(self, text: str | None) -> set[str]:
         out: set[str] = set()
-        for w in tokens(text):
+        for w in set((text or "").lower().split()):  # no word spans a space
             found = self.known.get(w)
             if found is None:
                 if len(self.known) >= WORDS:
                     self.known.clear()
-                found = self.known[w] = tuple(features({w}) & self.names)
+                found = self.known[w] = tuple(features(tokens(w)) & self.names)
             if found:
                 out.update(found)
         return out
@@ -314,7 +314,7 @@ def predict(df: DataFrame, model: tuple[dict[str, float], float], text: str = "t
                 kept = [part.column(part.schema.get_field_index(c)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names)
 
-    return df.select(*map(column, columns)).mapInArrow(run, StructType([*fields, *added.fields]))
+    return map_arrow(df.select(*map(column, columns)), run, StructType([*fields, *added.fields]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from isoweave.runtime import column, table
+from isoweave.runtime import column, map_arrow, table
 
 SPACE = "▁".encode()
 #: bytes of text that are encoded at once
@@ -199,7 +199,7 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", be
                     yield _encoded(batch.slice(part[0], len(part)), model, begin, end, key)
 
     made = StructType.fromDDL("n_tokens long, ids binary, spans binary, decoded string")
-    return df.select(column(key), column(text)).mapInArrow(run, StructType([df.schema[key], *made.fields]))
+    return map_arrow(df.select(column(key), column(text)), run, StructType([df.schema[key], *made.fields]))
 
 
 def _encoded(batch: pa.RecordBatch, model: Model, begin: bool, end: bool, key: str) -> pa.RecordBatch:
@@ -222,7 +222,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
                 rows = [np.frombuffer(b or b"", "<u4").tolist() for b in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(processor.decode(rows), pa.string())], [key, "decoded"])
 
-    return df.select(column(key), column(ids)).mapInArrow(run, StructType([df.schema[key], StructField("decoded", StringType())]))
+    return map_arrow(df.select(column(key), column(ids)), run, StructType([df.schema[key], StructField("decoded", StringType())]))
 
 
 def default_model() -> str:

@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from isoweave.operators.iterate import connected_components
 from isoweave.operators.joins import lookup
-from isoweave.runtime import column, cut, table
+from isoweave.runtime import column, cut, map_arrow, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWERED = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle
             fps = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
 
-    return df.select(column(key), column(text)).mapInArrow(run, StructType([df.schema[key], StructField("fp", LongType())]))
+    return map_arrow(df.select(column(key), column(text)), run, StructType([df.schema[key], StructField("fp", LongType())]))
 
 
 def near(fps: np.ndarray, radius: int = RADIUS, words: int = 64) -> Iterator[tuple[int, np.ndarray]]:

@@ -49,3 +49,12 @@ def test_run_is_registered_and_handles_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in C.run(spark, str(tmp_path)).collect()] == [3]
     assert op1_langid.MARGIN > 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "1 as `my col`", "'q' as `a.b`", "2 as `back``tick`")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and out.count() > 0.5 * docs.count(), name
+    assert stage is not C.STAGES[-1][1] and C.STAGES[-1][1](spark, docs, d).count() == docs.count()
