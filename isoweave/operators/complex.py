@@ -84,6 +84,7 @@ def merge_pairs(edges: DataFrame, extrema: DataFrame, maxima: bool = True) -> Da
     ``extrema`` has nid and value; the total order is (value, id).  An extremum whose best saddle leads to a more extreme neighbour
     dies there: no earlier saddle touches it, so it is still alone when its component meets the elder one.  All such
     extrema die in the same round; edges then move to the ends of the chains of ``into``, and parallel ones keep their best saddle.
+    ``into`` is the extremum across the saddle in the graph as given, so it does not depend on rounds.
     """
     sign = 1 if maxima else -1
     rank = lambda value, key: F.struct((F.col(value) * sign).alias("v"), (F.col(key) * sign).alias("i"))
@@ -91,17 +92,20 @@ def merge_pairs(edges: DataFrame, extrema: DataFrame, maxima: bool = True) -> Da
     live = edges.select("e1", "e2", rank("svalue", "sid").alias("key"))
     for end, name in (("e1", "a"), ("e2", "b")):
         live = live.join(order.select(F.col("nid").alias(end), F.col("rank").alias(name)), end)
-    live, out = cut_in_loop(live.select("a", "b", "key")), None
+    # best: the saddle's rank and the given ends on the side of a and of b
+    live, out = cut_in_loop(live.select("a", "b", F.struct("key", F.col("e1").alias("p"), F.col("e2").alias("q")).alias("best"))), None
+    turned = F.struct("best.key", F.col("best.q").alias("p"), F.col("best.p").alias("q"))
     while not live.isEmpty():
-        both = live.union(live.select("b", "a", "key"))
-        best = both.groupBy("a").agg(F.max(F.struct("key", "b")).alias("best")).select("a", F.col("best.b").alias("b"), F.col("best.key").alias("key"))
+        both = live.union(live.select("b", "a", turned))
+        best = both.groupBy("a").agg(F.max(F.struct("best", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.best").alias("best"))
         gone = cut_in_loop(best.where("a < b"))
-        dead = gone.select((F.col("a.i") * sign).alias("nid"), (F.col("b.i") * sign).alias("into"), (F.col("key.i") * sign).alias("sid"), F.abs(F.col("a.v") - F.col("key.v")).alias("persistence"))
+        dead = gone.select((F.col("a.i") * sign).alias("nid"), F.col("best.q").alias("into"), (F.col("best.key.i") * sign).alias("sid"), F.abs(F.col("a.v") - F.col("best.key.v")).alias("persistence"))
         out = dead if out is None else cut_in_loop(out.union(dead))
         to = terminal(gone, "a", "b")
         for end in ("a", "b"):
             live = live.join(to.select(F.col("id").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        live = cut_in_loop(live.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("key").alias("key")))
+        low_first = live.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("best")).otherwise(turned).alias("best"))
+        live = cut_in_loop(low_first.groupBy("a", "b").agg(F.max("best").alias("best")))
     if out is None:
         return extrema.sparkSession.createDataFrame([], "nid long, into long, sid long, persistence double")
     return out

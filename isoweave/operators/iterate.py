@@ -124,16 +124,20 @@ def nearest_source(edges: DataFrame, sources: DataFrame, limit: float | None = N
 
 
 def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """(pos, vertex, dist) of the shortest path from a set to a set, source first; no row where there is none."""
+    """(pos, vertex, dist) of the shortest path from a set to a set, source first; no row where there is none.
+
+    Pointers to earlier vertices double each round, and with them the part of the path that is known, counted from the target.
+    """
     found = nearest_source(edges, sources)
     reached = found.join(targets.select("vertex"), "vertex", "left_semi")
-    walk = cut_in_loop(reached.orderBy("dist", "vertex").limit(1).select("vertex", "prev", "dist"))
-    path = walk
-    while not walk.where("prev is not null").isEmpty():
-        walk = cut_in_loop(walk.select(F.col("prev").alias("vertex")).join(found, "vertex").select("vertex", "prev", "dist"))
-        path = path.union(walk)
-    # a path is one line of the graph; its rows are numbered by distance, ties by the order in which they were walked
-    return path.select((F.row_number().over(Window.orderBy("dist", "vertex")) - 1).alias("pos"), "vertex", "dist")
+    path = cut_in_loop(reached.orderBy("dist", "vertex").limit(1).select("vertex", F.lit(0).cast("long").alias("back")))
+    jump, step = cut_in_loop(found.where("prev is not null").select("vertex", "prev")), 1
+    while not (more := cut_in_loop(path.join(jump, "vertex").select(F.col("prev").alias("vertex"), (F.col("back") + step).alias("back")))).isEmpty():
+        path = path.union(more)
+        jump = cut_in_loop(jump.join(jump.select(F.col("vertex").alias("prev"), F.col("prev").alias("further")), "prev").select("vertex", F.col("further").alias("prev")))
+        step *= 2
+    length = path.agg(F.max("back").alias("last"))
+    return path.join(found.select("vertex", "dist"), "vertex").crossJoin(F.broadcast(length)).select((F.col("last") - F.col("back")).alias("pos"), "vertex", "dist")  # one row
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "dense_id") -> DataFrame:

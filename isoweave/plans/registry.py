@@ -13,6 +13,7 @@ from isoweave.operators import complex as M
 from isoweave.operators import geometry as L
 from isoweave.operators import gradient as D
 from isoweave.operators import iterate, lines, regions
+from isoweave.plans import complex_sql as S
 from isoweave.runtime import cut, table
 from isoweave.sources import raster
 
@@ -186,10 +187,11 @@ def r4_sub_volumes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r18_active_cells", f"""with {LQ}, cell as (select g as cid, g % 91 as cx, g // 91 as cy from range(9009) t(g)),
     vert as (select c.cid, lq.v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2))
-    select cid from vert group by cid having min(v) < 5000000 and max(v) >= 5000000""")
+    select cid from vert group by cid having min(v) < (select max(v) // 2 from lq) and max(v) >= (select max(v) // 2 from lq)""")
 def r18_active(spark: SparkSession, d: str) -> DataFrame:
-    found = G.cell_extremes(G.cells(spark, raster.LQ), raster.lineitem_field(spark, d), raster.LQ)
-    return regions.active_cells(found, 5000000).select("cid")
+    field = cut(raster.lineitem_field(spark, d))
+    level = field.agg(F.max("value")).first()[0] // 2  # one number
+    return regions.active_cells(G.cell_extremes(G.cells(spark, raster.LQ), field, raster.LQ), level).select("cid")
 
 
 #: one polyline for each user: (line_id, pos, x, y) with whole seconds and cents, so that products are exact
@@ -254,13 +256,15 @@ def _graph(spark: SparkSession, d: str) -> DataFrame:
     return cut(near.select(F.col("vid").alias("src"), F.col("nvid").alias("dst"), F.abs(F.col("value") - F.col("nvalue")).alias("weight")))
 
 
-@query("l14_nearest_source")
+@query("l14_nearest_source", f"with recursive {LQ}, {NEAR}, {S.nearest('select vid from lq where vid % 97 = 0')} select * from nearest")
 def l14_nearest(spark: SparkSession, d: str) -> DataFrame:
     edges = _graph(spark, d)
     return iterate.nearest_source(edges, edges.select(F.col("src").alias("vertex")).where("vertex % 97 = 0").distinct())
 
 
-@query("l12_shortest_path")
+@query("l12_shortest_path", f"""with recursive {LQ}, {NEAR}, {S.nearest('select min(vid) as vid from lq')},
+    back(vertex, hop) as (select max(vid), 0 from lq union all select n.prev, hop + 1 from back b join nearest n using (vertex) where n.prev is not null)
+    select (select max(hop) from back) - hop as pos, vertex, dist from back join nearest using (vertex)""")
 def l12_path(spark: SparkSession, d: str) -> DataFrame:
     edges = _graph(spark, d)
     ends = edges.agg(F.min("src").alias("a"), F.max("src").alias("b"))
@@ -272,7 +276,7 @@ def _gradient(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return field, cut(D.discrete_gradient(field, raster.LQ))
 
 
-@query("d4_gradient")
+@query("d4_gradient", f"with recursive {LQ}, {S.GRAD} select * from grad")
 def d4_gradient(spark: SparkSession, d: str) -> DataFrame:
     return D.discrete_gradient(raster.lineitem_field(spark, d), raster.LQ)
 
@@ -298,13 +302,13 @@ def r7_basins(spark: SparkSession, d: str) -> DataFrame:
     return M.ends_down(_gradient(spark, d)[1], raster.LQ)
 
 
-@query("m1_nodes")
+@query("m1_nodes", f"with recursive {LQ}, {S.GRAD}, {S.NODES} select * from nodes")
 def m1_nodes(spark: SparkSession, d: str) -> DataFrame:
     field, grad = _gradient(spark, d)
     return M.nodes(grad, field, raster.LQ)
 
 
-@query("m2_arcs")
+@query("m2_arcs", f"with recursive {LQ}, {S.COMPLEX} select * from arcs")
 def m2_arcs(spark: SparkSession, d: str) -> DataFrame:
     field, grad = _gradient(spark, d)
     return M.arcs(grad, field, raster.LQ)
@@ -318,28 +322,55 @@ def _pairs(spark: SparkSession, d: str, maxima: bool = False) -> tuple[DataFrame
     return grad, nodes, M.merge_pairs(edges, extrema, maxima)
 
 
-@query("r12_merge_pairs")
+@query("r12_merge_pairs", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()} select * from pairs")
 def r12_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)[2]
 
 
-@query("r9_relabel")
+@query("r12_merge_pairs_maxima", f"with recursive {LQ}, {S.COMPLEX}, {S.merges(maxima=True)} select * from pairs")
+def r12_pairs_maxima(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d, maxima=True)[2]
+
+
+#: merges up to a tenth of the field's range, the default limit of m14, and where each extremum ends
+LIMITED = "lim as (select (max(v) - min(v)) * 0.1::double as cancel from lq), chosen as (select * from pairs where persistence <= (select cancel from lim))"
+MERGED = "moved(nid, spot) as (select nid, nid from ext union select m.nid, c.into from moved m join chosen c on c.nid = m.spot), living as (select nid, spot as root from moved where spot not in (select nid from chosen))"
+
+
+def _cancel(spark: SparkSession, d: str) -> float:
+    return M.default_limits(raster.lineitem_field(spark, d)).first()["cancel"]  # one number
+
+
+@query("r9_relabel", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()}, {LIMITED}, {MERGED} select cid, root as label from ends join living on nid = label where cid % 91 % 2 = 0 and cid // 91 % 2 = 0")
 def r9_relabel(spark: SparkSession, d: str) -> DataFrame:
     grad, _, pairs = _pairs(spark, d)
-    return M.survivors(M.ends_down(grad, raster.LQ), cut(pairs), 2e6)
+    return M.survivors(M.ends_down(grad, raster.LQ), cut(pairs), _cancel(spark, d))
 
 
-@query("m12_living")
+@query("m12_living", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()}, {LIMITED} select * from nodes where nid not in (select nid from chosen) and nid not in (select sid from chosen)")
 def m12_living(spark: SparkSession, d: str) -> DataFrame:
     _, nodes, pairs = _pairs(spark, d)
-    return M.living(nodes, cut(pairs), 2e6)
+    return M.living(nodes, cut(pairs), _cancel(spark, d))
+
+
+@query("m18_constituents", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()}, {LIMITED}, {MERGED} select l.nid, root from living l join chosen using (nid)")
+def m18_constituents(spark: SparkSession, d: str) -> DataFrame:
+    return M.constituents(cut(_pairs(spark, d)[2]), _cancel(spark, d))
+
+
+@query("m7_arc_weights", f"with recursive {LQ}, {S.COMPLEX} select lower, upper, dim, mult, persistence, cast((sum(mult) over (partition by lower) - 1) * (sum(mult) over (partition by upper) - 1) as bigint) as weight from arcs")
+def m7_weights(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return M.arc_weight(cut(M.arcs(grad, field, raster.LQ)))
 
 
-@query("l15_min_network")
+@query("l15_min_network", f"""with recursive {LQ}, {S.COMPLEX}, {S.merges()}, best as (select r.e1, r.e2, s.sid, svalue, row_number() over (partition by r.e1, r.e2 order by svalue, s.sid) as n from sorted s join joined r using (sid)),
+    lim as (select unnest([0, 0.1, 0.3]) * max(v)::double as "limit" from lq) select "limit", e1, e2, sid, svalue from best join lim on svalue >= "limit" where n = 1""")
 def l15_network(spark: SparkSession, d: str) -> DataFrame:
+    high = float(C.value_range(raster.lineitem_field(spark, d)).first()["high"])  # one number
     field, grad = _gradient(spark, d)
     nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
-    return M.minimal_network(M.extremum_graph(arcs, nodes, raster.LQ, maxima=False), [0.0, 2e6, 4e6])
+    return M.minimal_network(M.extremum_graph(arcs, nodes, raster.LQ, maxima=False), [share * high for share in (0.0, 0.1, 0.3)])
 
 
 #: every cell of the doubled lattice: (cid, cx, cy)
@@ -432,32 +463,32 @@ def p2_smooth(spark: SparkSession, d: str) -> DataFrame:
     return lines.smooth(_lines(spark, d), 5).select("line_id", "pos", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("m4_geometry")
+@query("m4_geometry", f"with recursive {LQ}, {S.COMPLEX}, {S.LINES} select sid, side, pos, cid, cast(dim as int) as dim from line")
 def m4_geometry(spark: SparkSession, d: str) -> DataFrame:
     """Valley and ridge lines from every saddle, cell by cell."""
     grad = _gradient(spark, d)[1]
     return L.arc_geometry(grad, raster.LQ).withColumn("dim", F.lit(0)).union(L.arc_geometry(grad, raster.LQ, up=True).withColumn("dim", F.lit(1)))
 
 
-@query("l3_mean_along")
+@query("l3_mean_along", f"with recursive {LQ}, {S.COMPLEX}, {S.LINES}, {CELL}, value as (select c.cid, max(lq.v) as v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by 1) select sid, side, count(*) as n_cells, avg(v) as mean_value from line join value using (cid) where dim = 0 group by 1, 2")
 def l3_mean(spark: SparkSession, d: str) -> DataFrame:
     return L.mean_along(L.arc_geometry(_gradient(spark, d)[1], raster.LQ), _cell_values(spark, d))
 
 
-@query("t7_history")
+@query("t7_history", f"""with recursive {LQ}, {S.COMPLEX}, {S.merges()}, t as (select row_number() over (order by persistence, nid) - 1 as rank, nid, sid, persistence from pairs) select rank, nid, sid, persistence, persistence as cum_persistence, (select count(*) from ext) - rank - 1 as "left" from t""")
 def t7_history(spark: SparkSession, d: str) -> DataFrame:
     _, nodes, pairs = _pairs(spark, d)
     return L.cancellation_history(cut(pairs), nodes.where("dim = 0").agg(F.count("*").alias("n")))
 
 
-@query("t11_persistence_pairs")
+@query("t11_persistence_pairs", f"with recursive {LQ}, {S.COMPLEX} select lower, upper, a.value as lower_value, b.value as upper_value from arcs join nodes a on a.nid = lower join nodes b on b.nid = upper where arcs.dim = 1")
 def t11_pairs(spark: SparkSession, d: str) -> DataFrame:
     field, grad = _gradient(spark, d)
     nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
     return L.persistence_pairs(M.ridge_arcs(arcs, raster.LQ), nodes, nodes)
 
 
-@query("m22_reasons")
+@query("m22_reasons", f"with recursive {LQ}, {S.COMPLEX} select case when a.bnd <> b.bnd then 'boundary' when mult > 1 then 'multiplicity' else 'none' end as reason, count(*) as n from arcs join nodes a on a.nid = lower join nodes b on b.nid = upper group by 1")
 def m22_reasons(spark: SparkSession, d: str) -> DataFrame:
     field, grad = _gradient(spark, d)
     return L.blocking_reasons(M.arcs(grad, field, raster.LQ), M.nodes(grad, field, raster.LQ))
