@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from isoweave.functions.grid import GridMeta
 
 TILE = 256
 SCHEMA = "cid long, dim int, pair_cid long, is_critical boolean, owner long"
+OUT = pa.schema([("cid", pa.int64()), ("dim", pa.int32()), ("pair_cid", pa.int64()), ("is_critical", pa.bool_()), ("owner", pa.int64())])
 
 
 @lru_cache(maxsize=8)
@@ -89,6 +91,61 @@ def pair_stars(rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return inside, partner, np.concatenate([critical, minimum[:, None]], axis=1)
 
 
+#: the ring around a vertex of a plane: an edge, then the quad after it, and that quad's place among ties
+RING = (((1, 0), (1, 1), 7), ((0, 1), (-1, 1), 2), ((-1, 0), (-1, -1), 0), ((0, -1), (1, -1), 5))
+
+
+def pair_plane(rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(edge_in, quad_in, root, ahead, steep, spare) of the ring of every inner sample of a padded plane of ranks.
+
+    A run of the ring's cells in the star is paired outwards from its lowest edge, its ``root``: another edge goes with the quad ``ahead`` of it
+    on the ring or the one before, whichever is towards the root.  Where the whole ring is in the star, the quad with the largest lowest
+    vertex is left over (``spare``).  The vertex goes with the edge ``steep``, -1 where there is none.  The result is that of ``pair_stars``.
+    """
+    w, h = rank.shape[0] - 2, rank.shape[1] - 2
+    near = lambda o: rank[1 + o[0]:1 + o[0] + w, 1 + o[1]:1 + o[1] + h]
+    at, far = near((0, 0)), np.iinfo(np.int64).max
+    edges = np.stack([near(e) for e, _, _ in RING])
+    corner = np.stack([near(q) for _, q, _ in RING])
+    after = np.roll(edges, -1, 0)
+    edge_in, quad_in = edges < at, np.maximum(np.maximum(edges, after), corner) < at
+    lowest = np.where(quad_in, np.minimum(np.minimum(edges, after), corner) * 8 + np.array([n for _, _, n in RING])[:, None, None], -1)
+    spare = quad_in.all(0) & (lowest == lowest.max(0))
+    link = quad_in & ~spare
+    edges = np.where(edge_in, edges, far)
+    least = edges
+    for _ in range(3):
+        least = np.minimum(least, np.minimum(np.where(link, np.roll(least, -1, 0), far), np.roll(np.where(link, least, far), 1, 0)))
+    root = edge_in & (least == edges)
+    ahead = np.zeros_like(root)
+    for _ in range(3):
+        ahead = link & np.roll(root | ahead, -1, 0)
+    ahead &= ~root
+    return edge_in, quad_in, root, ahead, np.where(edge_in.any(0), edges.argmin(0), -1), spare
+
+
+def _plane_cells(rank: np.ndarray, ids: np.ndarray, x0: int, y0: int, meta: GridMeta) -> pa.Table:
+    """The cells of the inner samples of a padded block (x, y) whose first inner sample is at (x0, y0)."""
+    edge_in, quad_in, root, ahead, steep, spare = pair_plane(rank)
+    owner = ids[1:-1, 1:-1]
+    mx, my = meta.mesh[:2]
+    x, y = 2 * (np.arange(owner.shape[0]) + x0)[:, None], 2 * (np.arange(owner.shape[1]) + y0)[None, :]
+    name = lambda o: np.mod(x + o[0], mx) + mx * np.mod(y + o[1], my)
+    vertex, edge, quad = name((0, 0)), [name(e) for e, _, _ in RING], [name(q) for _, q, _ in RING]
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def emit(where: np.ndarray, dim: int, cid: np.ndarray, pair: np.ndarray, critical: np.ndarray) -> None:
+        parts.append((cid[where], np.full(int(where.sum()), dim, np.int32), pair[where], critical[where], owner[where]))
+
+    here = owner >= 0
+    emit(here, 0, vertex, np.choose(steep + 1, [vertex, *edge]), steep < 0)
+    for k in range(4):
+        own = root[k] & (steep != k)
+        emit(here & edge_in[k], 1, edge[k], np.where(steep == k, vertex, np.where(own, edge[k], np.where(ahead[k], quad[k], quad[k - 1]))), own)
+        emit(here & quad_in[k], 2, quad[k], np.where(spare[k], quad[k], np.where(ahead[k], edge[k], edge[(k + 1) % 4])), spare[k])
+    return pa.table({f: np.concatenate(c) for f, c in zip(("cid", "dim", "pair_cid", "is_critical", "owner"), zip(*parts))})
+
+
 def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
     """(cid, dim, pair_cid, is_critical, owner) of every cell whose vertices all have a sample.
 
@@ -107,13 +164,23 @@ def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> Dat
                 ok = ok & G.inside(c + d, n, False)
             at.append(F.floor(G.wrapped(c + d, n, p) / tile))
         homes.append(F.when(ok, at[0] + spans[0] * (at[1] + spans[1] * at[2])))
-    sent = field.select("vid", F.col("value").cast("double").alias("value"), F.explode(F.array_distinct(F.array_compact(F.array(*homes)))).alias("tile"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(key[0])
+    own_tile = [F.floor(c / tile) for c in xyz]
+    alone = F.lit(True)
+    for c, n in zip(xyz, meta.shape):
+        if n > 1:
+            alone = alone & (c % tile).between(1, tile - 2) & c.between(1, n - 2)
+    # a sample inside a tile is sent to that one only
+    tiles = F.when(alone, F.array(own_tile[0] + spans[0] * (own_tile[1] + spans[1] * own_tile[2]))).otherwise(F.array_distinct(F.array_compact(F.array(*homes))))
+    sent = field.select("vid", F.col("value").cast("double").alias("value"), F.explode(tiles).alias("tile"))
+    planar = meta.nx > 1 and meta.ny > 1 and meta.nz == 1
+
+    def run(key: tuple, pdf: pa.Table) -> pa.Table:
+        number = key[0].as_py()
         corner = [number % spans[0] * tile, number // spans[0] % spans[1] * tile, number // (spans[0] * spans[1]) * tile]
         size = [min(tile, n - c) for n, c in zip(meta.shape, corner)]
         vid, value = pdf["vid"].to_numpy(), pdf["value"].to_numpy()
+        if not len(vid):
+            return pa.Table.from_batches([], OUT)
         c = np.stack([vid % meta.nx, vid // meta.nx % meta.ny, vid // (meta.nx * meta.ny)], 1)
         place = np.lexsort((vid, value))
         rank = np.empty(len(vid), np.int64)
@@ -125,6 +192,8 @@ def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> Dat
             local = c + np.array(shift) - np.array(corner) + np.array(pad)
             fits = ((local >= 0) & (local < np.array(block.shape))).all(1)
             block[tuple(local[fits].T)], ids[tuple(local[fits].T)] = rank[fits], vid[fits]
+        if planar:
+            return _plane_cells(block[:, :, 0], ids[:, :, 0], corner[0], corner[1], meta)
         own = np.argwhere(ids >= 0)
         own = own[((own >= np.array(pad)) & (own < np.array(pad) + np.array(size))).all(1)]
         inside, partner, critical = pair_stars(block, own)
@@ -138,9 +207,9 @@ def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> Dat
         star = pd.DataFrame({"cid": names[rows, cell], "dim": dims[cell] if len(own) else cell, "pair_cid": np.where(mate == -2, names[rows, cell], names[rows, np.where(mate < 0, m, mate)]), "is_critical": critical[rows, cell], "owner": owner[rows]})
         steep = np.where((partner == -1).any(1), np.argmax(partner == -1, axis=1), m)
         vertex = pd.DataFrame({"cid": names[:, m], "dim": 0, "pair_cid": names[np.arange(len(own)), steep], "is_critical": critical[:, m], "owner": owner})
-        return pd.concat([vertex, star], ignore_index=True)
+        return pa.Table.from_pandas(pd.concat([vertex, star], ignore_index=True), OUT, preserve_index=False)
 
-    return sent.groupBy("tile").applyInPandas(run, SCHEMA)
+    return sent.groupBy("tile").applyInArrow(run, SCHEMA)
 
 
 def violations(grad: DataFrame) -> DataFrame:
