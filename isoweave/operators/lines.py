@@ -5,6 +5,7 @@ A polyline table is (line_id, pos, x, y, z[, ...]); windows run over one line, o
 
 from __future__ import annotations
 
+import heapq
 from itertools import product
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from isoweave.functions.grid import NAMES
+from isoweave.runtime import cut_in_loop
 
 
 def _line() -> WindowSpec:
@@ -46,39 +48,52 @@ def point_at(lines: DataFrame, at: Column) -> DataFrame:
 def smooth(lines: DataFrame, times: int, drift: float | None = None) -> DataFrame:
     """Weights 1/4, 1/2, 1/4 applied ``times`` times with fixed ends; ``drift`` bounds each coordinate's distance to the original.
 
-    A line is one group; each step is a handful of array operations.
+    A step is a window of three points; all steps keep the one partitioning and order by line, and the plan is cut every 20.
     """
-    schema = lines.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        first = pdf[list(NAMES)].to_numpy(float)
-        at = first.copy()
-        for _ in range(times):
-            at[1:-1] = at[:-2] / 4 + at[1:-1] / 2 + at[2:] / 4
+    at, given = lines.withColumns({f"_{n}": F.col(n) for n in NAMES}), lines.columns
+    for k in range(times):
+        made = {}
+        for n in NAMES:
+            before, after = F.lag(n).over(_line()), F.lead(n).over(_line())
+            made[n] = F.when(before.isNull() | after.isNull(), F.col(n)).otherwise(before / 4 + F.col(n) / 2 + after / 4)
             if drift is not None:
-                at = np.clip(at, first - drift, first + drift)
-        pdf[list(NAMES)] = at
-        return pdf
-
-    return lines.groupBy("line_id").applyInPandas(run, schema)
+                made[n] = F.greatest(F.least(made[n], F.col(f"_{n}") + drift), F.col(f"_{n}") - drift)
+        at = at.withColumns(made)
+        if k % 20 == 19 and k + 1 < times:
+            at = cut_in_loop(at)
+    return at.select(*given)
 
 
 def decimate(lines: DataFrame, limit: float) -> DataFrame:
-    """Drop, again and again, the inner point nearest to the chord of its neighbours while that is under ``limit``."""
+    """Drop, again and again, the inner point nearest to the line through its neighbours while that is under ``limit``.
+
+    Which point goes next depends on all before it, so a line is one group; a heap keeps its work at n log n.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        at, keep = pdf[list(NAMES)].to_numpy(float), list(range(len(pdf)))
-        gap = lambda a, b, c: float(np.linalg.norm(at[b] - at[a] - (at[c] - at[a]) * np.clip((at[b] - at[a]) @ (at[c] - at[a]) / max(((at[c] - at[a]) ** 2).sum(), 1e-300), 0, 1)))
-        gaps = [gap(*keep[i - 1:i + 2]) for i in range(1, len(keep) - 1)]
-        while gaps and min(gaps) < limit:
-            i = int(np.argmin(gaps))
-            del keep[i + 1], gaps[i]
-            for j in (i - 1, i):
-                if 0 <= j < len(gaps):
-                    gaps[j] = gap(*keep[j:j + 3])
-        return pdf.iloc[keep]
+        at, n = pdf[list(NAMES)].to_numpy(float), len(pdf)
+        before, after, kept = np.arange(n) - 1, np.arange(n) + 1, np.ones(n, bool)
+
+        def gap(i: int) -> float:
+            to, chord = at[i] - at[before[i]], at[after[i]] - at[before[i]]
+            return float(np.linalg.norm(to - chord * (to @ chord) / max(chord @ chord, 1e-300)))
+
+        gaps = np.array([gap(i) if 0 < i < n - 1 else np.inf for i in range(n)])
+        queue = [(g, i) for i, g in enumerate(gaps) if g < limit]
+        heapq.heapify(queue)
+        while queue:
+            g, i = heapq.heappop(queue)
+            if not kept[i] or g != gaps[i]:
+                continue
+            kept[i] = False
+            after[before[i]], before[after[i]] = after[i], before[i]
+            for j in (before[i], after[i]):
+                if 0 < j < n - 1:
+                    gaps[j] = gap(j)
+                    if gaps[j] < limit:
+                        heapq.heappush(queue, (gaps[j], int(j)))
+        return pdf[kept]
 
     return lines.groupBy("line_id").applyInPandas(run, lines.schema)
 
@@ -102,14 +117,17 @@ def centroids(lines: DataFrame) -> DataFrame:
 
 
 def curvature(lines: DataFrame, step: int = 10, smoothing: int = 0) -> DataFrame:
-    """(line_id, total, mean): angles between the chords ``step`` points back and ahead, where both exist and have length."""
+    """(line_id, total, mean): angles at every ``step``-th point between the chords to the points ``step`` back and ahead.
+
+    A point counts where both chords exist and have length; ``smoothing`` steps are applied first.
+    """
     at = smooth(lines, smoothing) if smoothing else lines
     back = [F.col(n) - F.lag(n, step).over(_line()) for n in NAMES]
     ahead = [F.lead(n, step).over(_line()) - F.col(n) for n in NAMES]
     norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
     dot = sum((p * q for p, q in zip(back, ahead)), F.lit(0.0))
-    w = at.select("line_id", dot.alias("dot"), (norm(back) * norm(ahead)).alias("size"))
-    angle = F.when(F.col("size") > 0, F.acos(F.greatest(F.least(F.col("dot") / F.col("size"), F.lit(1.0)), F.lit(-1.0))))
+    w = at.select("line_id", "pos", dot.alias("dot"), (norm(back) * norm(ahead)).alias("size"))
+    angle = F.when((F.col("size") > 0) & (F.col("pos") % step == 0), F.acos(F.greatest(F.least(F.col("dot") / F.col("size"), F.lit(1.0)), F.lit(-1.0))))
     return w.groupBy("line_id").agg(F.coalesce(F.sum(angle), F.lit(0.0)).alias("total"), F.avg(angle).alias("mean"))
 
 
@@ -146,11 +164,21 @@ def metrics(lines: DataFrame, positive: tuple[str, ...] = (), value: str = "valu
 
 
 def plane_patch(normals: DataFrame, n: int, m: int, radius: float) -> DataFrame:
-    """``normals`` (pid, x, y, z, nx, ny, nz, ux, uy, uz) with an n x m grid of points (i, j, px, py, pz) in the plane."""
-    right = [F.col("ny") * F.col("uz") - F.col("nz") * F.col("uy"), F.col("nz") * F.col("ux") - F.col("nx") * F.col("uz"), F.col("nx") * F.col("uy") - F.col("ny") * F.col("ux")]
-    out = normals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    s, t = ((2 * F.col(c) / max(1, k - 1) - 1) * radius for c, k in (("i", n), ("j", m)))
-    return out.withColumns({f"p{a}": F.col(a) + s * r + t * F.col(f"u{a}") for a, r in zip(NAMES, right)})
+    """``normals`` (pid, x, y, z, nx, ny, nz, ux, uy, uz) with an n x m grid of points (i, j, px, py, pz) in the plane.
+
+    The normal is scaled to length 1 and up made orthogonal to it; left is normal x up.  Point (0, 0) lies at up + left, i moves
+    against left and j against up.  No point where the normal is 0 or parallel to up.
+    """
+    unit = lambda v: [c / F.nullif(F.sqrt(sum((d * d for d in v), F.lit(0.0))), F.lit(0.0)) for c in v]
+    norm, up = (unit([F.col(k + a) for a in NAMES]) for k in "nu")
+    dot = sum((p * q for p, q in zip(norm, up)), F.lit(0.0))
+    base = normals.withColumns({f"_n{a}": c for a, c in zip(NAMES, norm)} | {f"_u{a}": q - p * dot for a, p, q in zip(NAMES, norm, up)})
+    norm, up = [F.col(f"_n{a}") for a in NAMES], unit([F.col(f"_u{a}") for a in NAMES])
+    left = [norm[(k + 1) % 3] * up[(k + 2) % 3] - norm[(k + 2) % 3] * up[(k + 1) % 3] for k in range(3)]
+    out = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    s, t = ((1 - 2 * F.col(c) / max(1, k - 1)) * radius for c, k in (("i", n), ("j", m)))
+    out = out.withColumns({f"p{a}": F.col(a) + s * p + t * q for a, p, q in zip(NAMES, left, up)})
+    return out.where("px is not null").drop(*[f"_{k}{a}" for k in "nu" for a in NAMES])
 
 
 def _bucketed(points: DataFrame, size: float, columns: tuple[str, ...]) -> DataFrame:

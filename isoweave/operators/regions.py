@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isoweave.functions import grid as G
 from isoweave.functions.grid import GridMeta
 from isoweave.operators.iterate import connected_components, dense_ids, terminal
-from isoweave.runtime import cut
+from isoweave.runtime import cut, cut_in_loop
 
 
 def extrema(field: DataFrame, meta: GridMeta, same_boundary: bool = False) -> DataFrame:
@@ -89,12 +89,17 @@ def separators(labels: DataFrame, meta: GridMeta) -> DataFrame:
 def boundary_map(labels: DataFrame, cell_df: DataFrame, meta: GridMeta) -> DataFrame:
     """(cid, dim, n_labels, is_boundary, kind) of every cell: how many regions its vertices lie in.
 
-    Kind 1: an edge between two regions, and what holds it; 2: a quad with over two regions; 3: a voxel with over three that
-    also has over two quads of kind 2.  Unlabelled vertices are skipped.
+    An edge between two regions is a boundary, and so is a quad with such an edge and a voxel with such a quad.  Kind 0: none; 1: a boundary;
+    2: a quad of the boundary with over two regions; 3: a voxel with over three that also has over two quads of kind 2.
+    Unlabelled vertices are skipped.
     """
     pairs = G.cell_vertices(cell_df.select("cid", "dim"), meta).join(labels.select("vid", "label"), "vid")
     seen = pairs.groupBy("cid", "dim").agg(F.countDistinct("label").alias("n_labels"))
-    base = seen.withColumn("kind", F.when(F.col("n_labels") < 2, 0).when((F.col("dim") >= 2) & (F.col("n_labels") > 2), 2).otherwise(1))
+    edges = cut_in_loop(seen.where("dim = 1 and n_labels = 2").select("cid"))
+    quads = G.cofacets(edges, meta).select(F.col("ccid").alias("cid")).distinct()
+    voxels = G.cofacets(quads, meta).select(F.col("ccid").alias("cid")).distinct()
+    seen = seen.join(edges.union(quads).union(voxels).withColumn("_on", F.lit(True)), "cid", "left")
+    base = seen.withColumn("kind", F.when(F.col("_on").isNull(), 0).when((F.col("dim") >= 2) & (F.col("n_labels") > 2), 2).otherwise(1))
     quads = base.where("dim = 2 and kind = 2")
     held = G.cofacets(quads.select("cid"), meta).groupBy(F.col("ccid").alias("cid")).agg(F.count("*").alias("n2"))
     out = base.join(held, "cid", "left").withColumn(

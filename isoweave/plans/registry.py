@@ -12,6 +12,7 @@ from isoweave.functions import grid as G
 from isoweave.operators import complex as M
 from isoweave.operators import geometry as L
 from isoweave.operators import gradient as D
+from isoweave.operators import hierarchy as H
 from isoweave.operators import iterate, lines, regions
 from isoweave.plans import complex_sql as S
 from isoweave.runtime import cut, table
@@ -225,11 +226,16 @@ def p5_centroid(spark: SparkSession, d: str) -> DataFrame:
     return lines.centroids(_lines(spark, d)).select("line_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("p6_curvature", f"""with {PL}, w as (select line_id, x - lag(x, 10) over w as bx, y - lag(y, 10) over w as b_y, lead(x, 10) over w - x as ax, lead(y, 10) over w - y as ay from pl window w as (partition by line_id order by pos)),
-    a as (select line_id, case when (bx * bx + b_y * b_y) * (ax * ax + ay * ay) > 0 then acos(greatest(least((bx * ax + b_y * ay) / (sqrt(bx * bx + b_y * b_y) * sqrt(ax * ax + ay * ay)), 1), -1)) end as angle from w)
+def _smoothed_sql(times: int) -> str:
+    steps = [f"s{k + 1} as (select line_id, pos, {', '.join(f'case when lag({c}) over w is null or lead({c}) over w is null then {c} else lag({c}) over w / 4 + {c} / 2 + lead({c}) over w / 4 end as {c}' for c in 'xy')} from s{k} window w as (partition by line_id order by pos))" for k in range(times)]
+    return f"{PL}, s0 as (select * from pl), {', '.join(steps)}"
+
+
+@query("p6_curvature", f"""with {_smoothed_sql(5)}, w as (select line_id, pos, x - lag(x, 10) over w as bx, y - lag(y, 10) over w as b_y, lead(x, 10) over w - x as ax, lead(y, 10) over w - y as ay from s5 window w as (partition by line_id order by pos)),
+    a as (select line_id, case when pos % 10 = 0 and (bx * bx + b_y * b_y) * (ax * ax + ay * ay) > 0 then acos(greatest(least((bx * ax + b_y * ay) / (sqrt(bx * bx + b_y * b_y) * sqrt(ax * ax + ay * ay)), 1), -1)) end as angle from w)
     select line_id, round(coalesce(sum(angle), 0), 3) as total, round(avg(angle), 3) as mean from a group by line_id""")
 def p6_curvature(spark: SparkSession, d: str) -> DataFrame:
-    return lines.curvature(_lines(spark, d)).select("line_id", F.round("total", 3).alias("total"), F.round("mean", 3).alias("mean"))
+    return lines.curvature(_lines(spark, d), smoothing=5).select("line_id", F.round("total", 3).alias("total"), F.round("mean", 3).alias("mean"))
 
 
 @query("p11_metrics", f"""with {PL}, s as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from pl window w as (partition by line_id order by pos))
@@ -453,12 +459,7 @@ def p9_slices(spark: SparkSession, d: str) -> DataFrame:
     return lines.slices(_lines(spark, d), 100.0).select("line_id", "pos", "slice")
 
 
-def _smoothed_sql(times: int) -> str:
-    steps = [f"s{k + 1} as (select line_id, pos, {', '.join(f'case when lag({c}) over w is null or lead({c}) over w is null then {c} else lag({c}) over w / 4 + {c} / 2 + lead({c}) over w / 4 end as {c}' for c in 'xy')} from s{k} window w as (partition by line_id order by pos))" for k in range(times)]
-    return f"with {PL}, s0 as (select * from pl), {', '.join(steps)} select line_id, pos, round(x, 3) as x, round(y, 3) as y from s{times}"
-
-
-@query("p2_smooth", _smoothed_sql(5))
+@query("p2_smooth", f"with {_smoothed_sql(5)} select line_id, pos, round(x, 3) as x, round(y, 3) as y from s5")
 def p2_smooth(spark: SparkSession, d: str) -> DataFrame:
     return lines.smooth(_lines(spark, d), 5).select("line_id", "pos", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
@@ -494,6 +495,45 @@ def m22_reasons(spark: SparkSession, d: str) -> DataFrame:
     return L.blocking_reasons(M.arcs(grad, field, raster.LQ), M.nodes(grad, field, raster.LQ))
 
 
+def _hierarchy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    field, grad = _gradient(spark, d)
+    nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+    return nodes, *H.hierarchy(arcs, nodes, _cancel(spark, d))
+
+
+@query("m9_hierarchy")
+def m9_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d)[1]
+
+
+@query("m15_living_arcs")
+def m15_living_arcs(spark: SparkSession, d: str) -> DataFrame:
+    return _hierarchy(spark, d)[2].select("lower", "upper", "dim", "mult", "persistence")
+
+
+@query("m3_saddle_arcs")
+def m3_saddle_arcs(spark: SparkSession, d: str) -> DataFrame:
+    return H.saddle_arcs(cut(D.discrete_gradient(raster.lineitem_volume(spark, d), raster.LQD)), raster.LQD)
+
+
+@query("m24_grouped_hierarchy")
+def m24_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """Cancellations inside blocks of 16 x 16 samples, with the ends of arcs between blocks frozen."""
+    field, grad = _gradient(spark, d)
+    nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+    groups = nodes.select("nid", (F.floor(F.col("x") / 16) + 4 * F.floor(F.col("y") / 16)).alias("group"))
+    return H.grouped_hierarchy(arcs, nodes, groups, _cancel(spark, d))[0]
+
+
+@query("r5_boundary_map", f"""with recursive {PEAKS}, {CELL}, corner as (select c.cid, c.cx, c.cy, cx % 2 + cy % 2 as dim, p.label from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) join peak p using (vid)),
+    seen as (select cid, cx, cy, dim, count(distinct label) as n_labels from corner group by all), e as (select cx, cy from seen where dim = 1 and n_labels = 2),
+    marked as (select s.*, dim > 0 and exists (select 1 from e where (e.cx = s.cx and e.cy = s.cy) or (s.dim = 2 and abs(e.cx - s.cx) + abs(e.cy - s.cy) = 1)) as is_boundary from seen s)
+    select cid, cast(dim as int) as dim, n_labels, is_boundary, cast(case when not is_boundary then 0 when dim = 2 and n_labels > 2 then 2 else 1 end as int) as kind from marked""")
+def r5_boundary_map(spark: SparkSession, d: str) -> DataFrame:
+    labels = cut(regions.basins(raster.lineitem_field(spark, d), raster.LQ))
+    return regions.boundary_map(labels, G.cells(spark, raster.LQ), raster.LQ).select("cid", "dim", "n_labels", "is_boundary", "kind")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
