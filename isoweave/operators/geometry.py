@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from isoweave.functions import grid as G
 from isoweave.functions.grid import GridMeta
 from isoweave.operators import complex as M
-from isoweave.operators.iterate import dense_ids
+from isoweave.operators.iterate import connected_components, dense_ids
 from isoweave.runtime import cut_in_loop
 
 
@@ -101,3 +101,60 @@ def numbered(geometry: DataFrame) -> DataFrame:
     lines = dense_ids(geometry.select(line.alias("line")), "line", "line_id")
     pos = F.row_number().over(Window.partitionBy("line_id").orderBy("pos")) - 1
     return geometry.withColumn("line", line).join(lines, "line").select("line_id", pos.cast("long").alias("pos"), "cid")
+
+
+def mesh_graph(soup: DataFrame, meta: GridMeta, forced: DataFrame | None = None) -> DataFrame:
+    """(cid, degree, is_vertex, edge_id) of a set of cells (cid) as a graph.
+
+    Two cells of the set are joined where one is a facet of the other.  Cells of a degree other than 2, and those in ``forced`` (cid), are
+    vertices; the other cells form chains, and ``edge_id`` is the least cell of a chain.  Null for vertices.
+    """
+    own = cut_in_loop(soup.select("cid").distinct())
+    met = G.facets(own, meta).join(own.withColumnRenamed("cid", "fcid"), "fcid", "left_semi")
+    met = cut_in_loop(met.select(F.col("cid").alias("a"), F.col("fcid").alias("b")))
+    degree = met.select(F.col("a").alias("cid")).union(met.select("b")).groupBy("cid").agg(F.count("*").alias("degree"))
+    cells = own.join(degree, "cid", "left").select("cid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree")).withColumn("is_vertex", F.col("degree") != 2)
+    if forced is not None:
+        cells = cells.join(forced.select("cid").distinct().withColumn("_forced", F.lit(True)), "cid", "left").select("cid", "degree", (F.col("is_vertex") | F.col("_forced").isNotNull()).alias("is_vertex"))
+    cells = cut_in_loop(cells)
+    inner = cells.where("not is_vertex").select("cid")
+    links = met.join(inner.withColumnRenamed("cid", "a"), "a", "left_semi").join(inner.withColumnRenamed("cid", "b"), "b", "left_semi")
+    chains = connected_components(links, "a", "b").select(F.col("node").alias("cid"), "component")
+    return cells.join(chains, "cid", "left").select("cid", "degree", "is_vertex", F.when(~F.col("is_vertex"), F.coalesce("component", "cid")).alias("edge_id"))
+
+
+def forced_vertices(geometry: DataFrame, values: DataFrame, cuts: list[float]) -> DataFrame:
+    """(cid): both ends of every line, and the cells at which a line's value passes one of a few cut points."""
+    w = Window.partitionBy("sid", "side").orderBy("pos")
+    met = geometry.join(values.select("cid", "value"), "cid").withColumns({"_before": F.lag("value").over(w), "_end": F.lag("pos").over(w).isNull() | F.lead("pos").over(w).isNull()})
+    passes = F.lit(False)
+    for c in cuts:
+        passes = passes | ((F.col("_before") < c) != (F.col("value") < c))
+    return met.where(F.col("_end") | (F.col("_before").isNotNull() & passes)).select("cid").distinct()
+
+
+def graph_edges(graph: DataFrame, meta: GridMeta) -> DataFrame:
+    """(edge_id, n_cells, vertex1, vertex2) of the chains of ``mesh_graph``; the vertices are null for a closed chain."""
+    cells = cut_in_loop(graph)
+    ends = cells.where("is_vertex").select("cid")
+    near = G.facets(cells.select("cid"), meta).select(F.col("cid").alias("a"), F.col("fcid").alias("b"))
+    near = near.union(near.select("b", "a"))
+    chain = cells.where("not is_vertex").select(F.col("cid").alias("a"), "edge_id")
+    touched = near.join(chain, "a").join(ends.withColumnRenamed("cid", "b"), "b", "left_semi").groupBy("edge_id").agg(F.min("b").alias("vertex1"), F.max("b").alias("vertex2"))
+    size = chain.groupBy("edge_id").agg(F.count("*").alias("n_cells"))
+    return size.join(touched, "edge_id", "left").select("edge_id", "n_cells", "vertex1", "vertex2")
+
+
+def death_records(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sid, nid, saddle_value, value, persistence): the saddle and the extremum of each merge with their values."""
+    at = nodes.select("nid", "value")
+    out = pairs.select("nid", "sid", "persistence").join(at, "nid").join(at.select(F.col("nid").alias("sid"), F.col("value").alias("saddle_value")), "sid")
+    return out.select("sid", "nid", "saddle_value", "value", "persistence")
+
+
+def sampled_soup(soup: DataFrame, fields: dict[str, DataFrame]) -> DataFrame:
+    """(cid, one column for each field): the cells of a soup with the values (cid, value) of several fields."""
+    out = soup.select("cid").distinct()
+    for name, values in fields.items():
+        out = out.join(values.select("cid", F.col("value").alias(name)), "cid", "left")
+    return out

@@ -534,6 +534,54 @@ def r5_boundary_map(spark: SparkSession, d: str) -> DataFrame:
     return regions.boundary_map(labels, G.cells(spark, raster.LQ), raster.LQ).select("cid", "dim", "n_labels", "is_boundary", "kind")
 
 
+#: the cells of all valley lines as a graph: cells joined where one is a facet of the other
+SOUP = """soup as (select distinct cid, cid % 91 as cx, cid // 91 as cy from line where dim = 0),
+met as (select a.cid as a, b.cid as b from soup a join soup b on (b.cy = a.cy and abs(b.cx - a.cx) = 1) or (b.cx = a.cx and abs(b.cy - a.cy) = 1)),
+deg as (select s.cid, count(m.b) as degree from soup s left join met m on m.a = s.cid group by 1),
+inner_cell as (select cid from deg where degree = 2),
+link as (select a, b from met where a in (select cid from inner_cell) and b in (select cid from inner_cell)),
+walked(cid, spot) as (select cid, cid from inner_cell union select w.cid, l.b from walked w join link l on l.a = w.spot),
+chain as (select cid, min(spot) as edge_id from walked group by 1)"""
+
+
+def _valley_graph(spark: SparkSession, d: str) -> DataFrame:
+    lines_of = cut(L.arc_geometry(_gradient(spark, d)[1], raster.LQ))
+    return L.mesh_graph(L.line_soup(lines_of), raster.LQ)
+
+
+@query("l4_mesh_graph", f"with recursive {LQ}, {S.COMPLEX}, {S.LINES}, {SOUP} select cid, degree, degree <> 2 as is_vertex, edge_id from deg left join chain using (cid)")
+def l4_mesh_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _valley_graph(spark, d)
+
+
+@query("l6_graph_edges", f"""with recursive {LQ}, {S.COMPLEX}, {S.LINES}, {SOUP}, ends_of as (select edge_id, min(b) as vertex1, max(b) as vertex2 from met join chain on chain.cid = a where b not in (select cid from inner_cell) group by 1)
+    select edge_id, n_cells, vertex1, vertex2 from (select edge_id, count(*) as n_cells from chain group by 1) left join ends_of using (edge_id)""")
+def l6_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return L.graph_edges(_valley_graph(spark, d), raster.LQ)
+
+
+@query("l5_forced_vertices", f"""with recursive {LQ}, {S.COMPLEX}, {S.LINES}, {CELL}, value as (select c.cid, max(lq.v) as v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by 1),
+    w as (select cid, v, lag(v) over o as before, lead(v) over o as later from line join value using (cid) where dim = 0 window o as (partition by sid, side order by pos)), c as (select max(v) // 2 as level from lq)
+    select distinct cid from w cross join c where before is null or later is null or (before < level) <> (v < level)""")
+def l5_forced(spark: SparkSession, d: str) -> DataFrame:
+    level = float(C.value_range(raster.lineitem_field(spark, d)).first()["high"] // 2)  # one number
+    return L.forced_vertices(L.arc_geometry(_gradient(spark, d)[1], raster.LQ), _cell_values(spark, d), [level])
+
+
+@query("t8_death_records", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()} select sid, p.nid, s.value as saddle_value, m.value as value, persistence from pairs p join nodes s on s.nid = sid join nodes m on m.nid = p.nid")
+def t8_deaths(spark: SparkSession, d: str) -> DataFrame:
+    _, nodes, pairs = _pairs(spark, d)
+    return L.death_records(cut(pairs), nodes)
+
+
+@query("t10_sampled_soup", f"""with recursive {LQ}, {S.COMPLEX}, {S.LINES} select c.cid, max(lq.v) as high, min(lq.v) as low from (select distinct cid, cid % 91 as cx, cid // 91 as cy from line where dim = 1) c
+    join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by 1""")
+def t10_soup(spark: SparkSession, d: str) -> DataFrame:
+    found = cut(G.cell_extremes(G.cells(spark, raster.LQ), raster.lineitem_field(spark, d), raster.LQ))
+    soup = L.line_soup(L.arc_geometry(_gradient(spark, d)[1], raster.LQ, up=True))
+    return L.sampled_soup(soup, {"high": found.select("cid", F.col("max_value").alias("value")), "low": found.select("cid", F.col("min_value").alias("value"))})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
