@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +56,31 @@ def ends_up(grad: DataFrame, meta: GridMeta) -> DataFrame:
     return terminal(_up(grad, meta)).where("root >= 0").select(F.col("id").alias("cid"), F.col("root").alias("label"))
 
 
-def arcs(grad: DataFrame, field: DataFrame, meta: GridMeta) -> DataFrame:
-    """(lower, upper, dim, mult, persistence): arcs of minima with 1-saddles and of top saddles with maxima."""
+def arcs(grad: DataFrame, field: DataFrame, meta: GridMeta, low: bool = True, high: bool = True) -> DataFrame:
+    """(lower, upper, dim, mult, persistence): arcs of minima with 1-saddles (``low``) and of top saddles with maxima (``high``)."""
+    if not low and not high:
+        raise ValueError("no kind of arcs is chosen")
     top = len(meta.axes)
+    return _with_persistence([part for wanted, part in ((low, _low_arcs), (high, _high_arcs)) if wanted], grad, field, meta, top)
+
+
+def _low_arcs(grad: DataFrame, meta: GridMeta, top: int) -> DataFrame:
     saddles = grad.where("is_critical and dim = 1").select("cid")
     low = G.facets(saddles, meta).join(ends_down(grad, meta).withColumnRenamed("cid", "fcid"), "fcid")
     low = low.groupBy(F.col("label").alias("lower"), F.col("cid").alias("upper")).agg(F.count("*").alias("mult")).withColumn("dim", F.lit(0))
+    return low.select("lower", "upper", "dim", "mult")
+
+
+def _high_arcs(grad: DataFrame, meta: GridMeta, top: int) -> DataFrame:
     saddles = grad.where(F.col("is_critical") & (F.col("dim") == top - 1)).select("cid")
     high = G.cofacets(saddles, meta).join(ends_up(grad, meta).withColumnRenamed("cid", "ccid"), "ccid")
     high = high.groupBy(F.col("cid").alias("lower"), F.col("label").alias("upper")).agg(F.count("*").alias("mult")).withColumn("dim", F.lit(top - 1))
-    value = nodes(grad, field, meta).select("nid", "value", "bnd")
-    out = low.select("lower", "upper", "dim", "mult").union(high.select("lower", "upper", "dim", "mult"))
+    return high.select("lower", "upper", "dim", "mult")
+
+
+def _with_persistence(parts: list, grad: DataFrame, field: DataFrame, meta: GridMeta, top: int) -> DataFrame:
+    value = nodes(grad, field, meta).select("nid", "value")
+    out = reduce(DataFrame.union, [part(grad, meta, top) for part in parts])
     out = out.join(value.select(F.col("nid").alias("lower"), F.col("value").alias("_l")), "lower").join(value.select(F.col("nid").alias("upper"), F.col("value").alias("_u")), "upper")
     return out.select("lower", "upper", "dim", "mult", (F.col("_u") - F.col("_l")).alias("persistence"))
 
@@ -135,6 +151,13 @@ def limit_for_extrema(pairs: DataFrame, keep: int, total: int) -> DataFrame:
     return pairs.orderBy("persistence").limit(max(0, total - keep)).agg(F.coalesce(F.max("persistence"), F.lit(0.0)).alias("limit"))
 
 
+def arc_values(arc_df: DataFrame, node_df: DataFrame) -> DataFrame:
+    """Arcs with value, boundary class and position of both ends."""
+    for end in ("lower", "upper"):
+        arc_df = arc_df.join(node_df.select(F.col("nid").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("value", "bnd", "x", "y", "z")]), end)
+    return arc_df
+
+
 def summary(node_df: DataFrame) -> DataFrame:
     return node_df.groupBy("dim").agg(F.count("*").alias("n"))
 

@@ -582,6 +582,83 @@ def t10_soup(spark: SparkSession, d: str) -> DataFrame:
     return L.sampled_soup(soup, {"high": found.select("cid", F.col("max_value").alias("value")), "low": found.select("cid", F.col("min_value").alias("value"))})
 
 
+def _complex(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    field, grad = _gradient(spark, d)
+    return cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+
+
+@query("d12_violations", f"with recursive {LQ}, {S.GRAD} select a.* from grad a left join grad b on b.cid = a.pair_cid where not coalesce(case when a.is_critical then a.pair_cid = a.cid else b.pair_cid = a.cid and abs(a.dim - b.dim) = 1 end, false)")
+def d12_violations(spark: SparkSession, d: str) -> DataFrame:
+    grad = _gradient(spark, d)[1]
+    return D.violations(grad).select(*grad.columns)
+
+
+@query("d14_critical_counts", f"with recursive {LQ}, {S.GRAD}, {S.NODES} select dim, bnd, count(*) as n from nodes group by dim, bnd")
+def d14_counts(spark: SparkSession, d: str) -> DataFrame:
+    return D.critical_counts(_gradient(spark, d)[1], raster.LQ)
+
+
+@query("m5_ridge_arcs_only", f"with recursive {LQ}, {S.COMPLEX} select * from arcs where dim = 1")
+def m5_ridges_only(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return M.arcs(grad, field, raster.LQ, low=False)
+
+
+@query("m13_limit", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()} select cast(coalesce(max(persistence), 0) as double) as \"limit\" from (select persistence from pairs order by 1 limit greatest((select count(*) from ext) - 100, 0))")
+def m13_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The least persistence at which 100 minima are left."""
+    _, nodes, pairs = _pairs(spark, d)
+    return M.limit_for_extrema(pairs, 100, nodes.where("dim = 0").count()).select(F.col("limit").cast("double").alias("limit"))
+
+
+@query("m17_saddle_ends", f"with recursive {LQ}, {S.COMPLEX} select upper as sid, count(*) as n, min(lower) as first, max(lower) as last from arcs where dim = 0 group by 1")
+def m17_saddle_ends(spark: SparkSession, d: str) -> DataFrame:
+    found = M.saddle_ends(_complex(spark, d)[1], 0)
+    return found.select("sid", F.size("ends").cast("long").alias("n"), F.array_min("ends").alias("first"), F.array_max("ends").alias("last"))
+
+
+@query("m20_manifolds", f"with recursive {LQ}, {S.COMPLEX} select label as nid, ends.cid from ends join nodes on nodes.nid = label where nodes.dim = 2")
+def m20_manifolds(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return L.manifold(M.ends_up(grad, raster.LQ), M.nodes(grad, field, raster.LQ).where("dim = 2"))
+
+
+@query("m21_summary", f"with recursive {LQ}, {S.GRAD}, {S.NODES} select dim, count(*) as n from nodes group by dim")
+def m21_summary(spark: SparkSession, d: str) -> DataFrame:
+    field, grad = _gradient(spark, d)
+    return M.summary(M.nodes(grad, field, raster.LQ))
+
+
+@query("m23_endpoints", f"with recursive {LQ}, {S.COMPLEX} select lower, upper, cast(sum(mult) as bigint) as n from arcs group by lower, upper")
+def m23_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    return L.endpoint_histogram(_complex(spark, d)[1])
+
+
+@query("m26_incident_arcs", f"with recursive {LQ}, {S.COMPLEX} select n.nid, a.lower, a.upper, a.dim, a.mult, a.persistence from arcs a join nodes n on n.nid in (a.lower, a.upper) where n.dim = 1 and n.bnd = 0")
+def m26_incident(spark: SparkSession, d: str) -> DataFrame:
+    nodes, arcs = _complex(spark, d)
+    return M.incident(arcs, nodes.where("dim = 1 and bnd = 0"))
+
+
+@query("m27_arc_values", f"with recursive {LQ}, {S.COMPLEX} select a.lower, a.upper, a.dim, a.persistence, p.value as lower_value, q.value as upper_value, p.bnd as lower_bnd, q.bnd as upper_bnd, p.x as lower_x, p.y as lower_y, q.x as upper_x, q.y as upper_y from arcs a join nodes p on p.nid = lower join nodes q on q.nid = upper")
+def m27_values(spark: SparkSession, d: str) -> DataFrame:
+    nodes, arcs = _complex(spark, d)
+    return M.arc_values(arcs, nodes).drop("mult", "lower_z", "upper_z")
+
+
+@query("m29_representatives", f"with recursive {LQ}, {S.COMPLEX}, {S.merges()} select r.e1, r.e2, arg_min(s.sid, (svalue, s.sid)) as sid, min(svalue) as svalue from sorted s join joined r using (sid) group by 1, 2")
+def m29_representatives(spark: SparkSession, d: str) -> DataFrame:
+    nodes, arcs = _complex(spark, d)
+    return M.representative_saddles(M.extremum_graph(arcs, nodes, raster.LQ, maxima=False))
+
+
+@query("l2_filtered_arcs", f"with recursive {LQ}, {S.COMPLEX} select lower, upper, p.value as lower_value, q.value as upper_value from arcs join nodes p on p.nid = lower join nodes q on q.nid = upper where p.value >= (select max(v) // 4 from lq)")
+def l2_filtered(spark: SparkSession, d: str) -> DataFrame:
+    nodes, arcs = _complex(spark, d)
+    low = C.value_range(raster.lineitem_field(spark, d)).first()["high"] // 4  # one number
+    return M.filtered_arcs(arcs, nodes, low=low).select("lower", "upper", "lower_value", "upper_value")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
