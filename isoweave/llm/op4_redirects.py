@@ -96,6 +96,10 @@ def filter_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", redirects: DataFrame | None = None
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict and ``component`` (a name of the group of aliases, null for no url)."""
+    names = pages.columns
+    rest, added = [f"_{i}" for i in range(len(names))], ["host", "path", "rule", "verdict", "component"]
+    pages, html = pages.toDF(*rest), rest[names.index(html)]  # no name of theirs can meet one of ours
+    url = rest[names.index(url)]
     if redirects is not None:
         named = judged(redirects.select(F.explode(F.array("from_url", "to_url")).alias(url)), rules, url)
     members = cut(connected_components(edges_of(pages, url, html, redirects), tail=0))
@@ -118,8 +122,8 @@ def filter_urls(
     settled = rows.where("_said is not null").withColumns({"verdict": F.col("_said"), "component": F.col("_plain")})
     asking = lookup(rows.where("_said is null"), cut(named_forms.union(alone)), "_plain")
     asking = asking.withColumns({"verdict": F.when(F.col("_spread"), "block").otherwise("allow"), "component": F.coalesce("_joined", "_plain")})
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "component")] + ["host", "path", "rule", "verdict", "component"]
-    return settled.select(*keep).union(asking.select(*keep))
+    keep = [(c, n) for c, n in zip(rest, names) if n not in added] + [(c, c) for c in added]
+    return settled.select(*[c for c, _ in keep]).union(asking.select(*[c for c, _ in keep])).toDF(*[n for _, n in keep])
 
 
 def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:

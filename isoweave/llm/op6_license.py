@@ -218,8 +218,11 @@ def _kept(found: Column) -> Column:
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, detections, labels and score.
 
-    ``detections`` holds the surviving intervals (character offsets in the words joined by one space).
+    ``detections`` holds the surviving intervals (character offsets in the words joined by one space).  Columns of these names are replaced.
     """
+    names = df.columns
+    rest = [f"_{i}" for i in range(len(names))]
+    df, text = df.toDF(*rest), rest[names.index(text)]  # no name of theirs can meet one of ours
     every = _rule_array()
     keys = sorted({k for _, _, k, _ in rules()})
     words = F.col("_words")
@@ -249,7 +252,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         "labels": F.array_join(F.array_sort(F.array_union("_base", F.transform("_detections", lambda d: d["label"]))), ","),
         "score": F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("_base") > 0, CONFIDENCE[MENTION]).otherwise(0.0)),
     })
-    return out.drop("_words", "_detections", "_base")
+    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score"]
+    keep = [(c, n) for c, n in zip(rest, names) if n not in added] + [(c, c) for c in added]
+    return out.select(*[c for c, _ in keep]).toDF(*[n for _, n in keep])
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,13 @@ def test_long_redirect_chains_against_brute_force(spark):
 def test_no_python(spark):
     plan = U.op4_redirect_equivalence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_any_column_names(spark):
+    odd = {"a.b": "1", "_hot": "true", "_said": "'z'", "_plain": "'p'", "_spread": "2", "`": "3", "verdict": "4"}
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    given = df.selectExpr("*", *[f"{v} as `{k.replace('`', '``')}`" for k, v in odd.items()]).withColumnRenamed("url", "u.rl").withColumnRenamed("html", "_allow")
+    got = U.filter_urls(given, url="u.rl", html="_allow").collect()
+    want = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.filter_urls(df).collect()}
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
+    assert {tuple(r[k] for k in odd if k != "verdict") for r in got} == {(1, True, "z", "p", 2, 3)}

@@ -88,3 +88,9 @@ def test_no_match_is_dropped_by_its_keyword(spark):
     assert not [(k, m) for t in texts for k, m in ungated(t) if k not in m]
     df = spark.createDataFrame([(t,) for t in SPELT_APART], "text string")
     assert {r.text: r.labels for r in scan(df).collect()} == SPELT_APART
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([("MIT License", 1, 2, 3)], "`a.b` string, _words int, _base int, score int")
+    got = scan(df, "a.b").collect()[0].asDict()
+    assert (got["a.b"], got["_words"], got["_base"]) == ("MIT License", 1, 2) and "mit" in got["labels"] and isinstance(got["score"], float)
