@@ -162,7 +162,8 @@ def _spaces(text: Column) -> Column:
 def _n_places(words: Column, phrase: str) -> Column:
     """Places of a phrase; neighbours may share the space between them, so every space is doubled first."""
     doubled, wanted = F.replace(words, F.lit(" "), F.lit("  ")), f" {phrase.replace(' ', '  ')} "
-    return ((F.length(doubled) - F.length(F.replace(doubled, F.lit(wanted), F.lit("")))) / len(wanted)).cast("long")
+    n = ((F.length(doubled) - F.length(F.replace(doubled, F.lit(wanted), F.lit("")))) / len(wanted)).cast("long")
+    return F.when(F.contains(words, F.lit(f" {phrase} ")), n).otherwise(F.lit(0).cast("long"))
 
 
 def _first_place(words: Column, phrase: str) -> Column:
@@ -175,7 +176,7 @@ def _last_place(words: Column, phrase: str) -> Column:
     turned = F.reverse(words)
     at = F.instr(turned, f" {phrase[::-1]} ")
     after = _spaces(F.substring(turned, F.lit(1), at)) - 1
-    return F.when(at > 0, _spaces(words) - 1 - after - (phrase.count(" ") + 1))
+    return F.when(F.contains(words, F.lit(f" {phrase} ")), _spaces(words) - 1 - after - (phrase.count(" ") + 1))
 
 
 def _rule_array() -> Column:
