@@ -44,29 +44,38 @@ def complex_of(spark, shape, seed):
     return meta, grad, cut(M.nodes(grad, field, meta)), cut(M.arcs(grad, field, meta))
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(1, 25.0), (2, 60.0)])
-def test_hierarchy_equals_a_serial_one(spark, seed, limit):
+@pytest.mark.parametrize(("seed", "limit", "tail"), [(1, 25.0, 0), (2, 60.0, 60), (2, 1e9, None)])
+def test_hierarchy_equals_a_serial_one(spark, seed, limit, tail):
     meta, _, nodes, arcs = complex_of(spark, (12, 9, 1), seed)
     known = {r["nid"]: (r["value"], r["bnd"]) for r in nodes.collect()}
     given = {(r["lower"], r["upper"]): r["mult"] for r in arcs.collect()}
-    gone, live, parts = H.hierarchy(arcs, nodes, limit)
+    gone, live, parts, made = H.hierarchy(arcs, nodes, limit, tail=tail)
     got = [(r["lower"], r["upper"]) for r in gone.collect()]
     want, left = cancel_one_by_one(given, known, limit)
     assert got and sorted(got) == sorted(want)
+    times, high = {}, 0.0
+    for low, up in want:
+        high = max(high, known[up][0] - known[low][0])
+        times[low, up] = high
+    assert {(r["lower"], r["upper"]): r["time"] for r in gone.collect()} == times
+    order = [(r["lower"], r["upper"]) for r in gone.orderBy("time", "round", "persistence").collect()]
+    assert order == want
+    assert all(r["time"] == times[r["via_lower"], r["via_upper"]] for r in made.collect())
     assert {(r["lower"], r["upper"]): r["mult"] for r in live.collect()} == left
     euler = lambda df: sum((-1) ** r["dim"] for r in df.collect())
     assert euler(H.living_nodes(nodes, gone)) == euler(nodes) == 1
     assert {r["part"] for r in parts.collect()} <= {n for pair in want for n in pair}
 
 
-def test_frozen_nodes_stay_and_groups_keep_their_borders(spark):
+@pytest.mark.parametrize("tail", [0, None])
+def test_frozen_nodes_stay_and_groups_keep_their_borders(spark, tail):
     meta, _, nodes, arcs = complex_of(spark, (12, 9, 1), 3)
     groups = nodes.select("nid", (F.col("x") >= 6).cast("int").alias("group"))
     side = {r["nid"]: r["group"] for r in groups.collect()}
     known = {r["nid"]: (r["value"], r["bnd"]) for r in nodes.collect()}
     given = {(r["lower"], r["upper"]): r["mult"] for r in arcs.collect()}
     frozen = {n for pair in given for n in pair if side[pair[0]] != side[pair[1]]}
-    gone, live, _ = H.grouped_hierarchy(arcs, nodes, groups, 50.0)
+    gone, live, *_ = H.grouped_hierarchy(arcs, nodes, groups, 50.0, tail=tail)
     got = sorted((r["lower"], r["upper"]) for r in gone.collect())
     want, left = cancel_one_by_one(given, known, 50.0, frozen)
     assert got == sorted(want) and not frozen & {n for p in got for n in p}
@@ -94,12 +103,16 @@ def test_arcs_of_saddles_equal_all_walks(spark):
     found = H.saddle_arcs(grad, meta)
     assert {(r["lower"], r["upper"]): r["mult"] for r in found.collect()} == dict(want) and want
     all_arcs = arcs.select("lower", "upper", "dim", "mult").union(found)
-    gone, _, _ = H.hierarchy(all_arcs, nodes, 30.0, guarded=True, weighted=False)
-    assert sum((-1) ** r["dim"] for r in H.living_nodes(nodes, gone).collect()) == 1
+    both = []
+    for tail in (0, None):
+        gone, live, *_ = H.hierarchy(all_arcs, nodes, 30.0, guarded=True, weighted=False, tail=tail)
+        assert sum((-1) ** r["dim"] for r in H.living_nodes(nodes, gone).collect()) == 1
+        both.append((sorted((r["lower"], r["upper"]) for r in gone.collect()), sorted((r["lower"], r["upper"], r["mult"]) for r in live.collect())))
+    assert both[0] == both[1] and both[0][0]
 
 
 def test_no_arcs(spark):
     arcs = spark.createDataFrame([], "lower long, upper long, dim int, mult long")
     nodes = spark.createDataFrame([(1, 2.0, 0)], "nid long, value double, bnd int")
-    gone, live, parts = H.hierarchy(arcs, nodes, 1.0)
-    assert gone.count() == live.count() == parts.count() == 0
+    for tail in (0, None):
+        assert [df.count() for df in H.hierarchy(arcs, nodes, 1.0, tail=tail)] == [0] * 4
