@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from isoweave.functions import grid as G
 from isoweave.functions.grid import GridMeta
@@ -260,6 +261,49 @@ def living_nodes(nodes: DataFrame, cancellations: DataFrame) -> DataFrame:
     return nodes.join(gone, "nid", "left_anti")
 
 
+def until(gone: DataFrame, limit: float) -> DataFrame:
+    """The cancellations that a threshold up to the hierarchy's own includes; nothing is computed again."""
+    return gone.where(F.col("time") <= limit)
+
+
+def living_arcs(arcs: DataFrame, nodes: DataFrame, found: Hierarchy, limit: float) -> DataFrame:
+    """(lower, upper, dim, mult, persistence) at a threshold: arcs given or made until then whose ends both live longer."""
+    gone = until(found.gone, limit)
+    dead = gone.select(F.col("lower").alias("n")).union(gone.select("upper"))
+    every = arcs.select("lower", "upper", F.col("dim").cast("int").alias("dim"), F.col("mult").cast("long").alias("mult")).union(found.made.where(F.col("time") <= limit).select("lower", "upper", "dim", "mult"))
+    for end in ("lower", "upper"):
+        every = every.join(dead.withColumnRenamed("n", end), end, "left_anti")
+    out = every.groupBy("lower", "upper", "dim").agg(F.sum("mult").alias("mult"))
+    for end in ("lower", "upper"):
+        out = out.join(nodes.select(F.col("nid").alias(end), F.col("value").alias(f"_{end}")), end)
+    return out.select("lower", "upper", "dim", "mult", (F.col("_upper") - F.col("_lower")).alias("persistence"))
+
+
+def history(gone: DataFrame, nodes: DataFrame, dims: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """(rank, lower, upper, dim, persistence, time, left0, left1, ...): cancellations in order and the nodes of each dimension left after each.
+
+    A cancellation of dimension d takes a node of d and one of d + 1.  Running counts are counts inside range partitions plus the totals of
+    those before, so no window spans the table.
+    """
+    total = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one number a dimension
+    order = ["time", "round", "persistence", "lower", "upper"]
+    parts = int(gone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_in_loop(gone.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("dim") == k, 1)).alias(f"n{k}") for k in dims])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", *[f"n{k}" for k in dims])])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), "part").withColumns({f"_r{k}": F.count(F.when(F.col("dim") == k, 1)).over(inside) + F.col(f"_n{k}") for k in dims} | {"rank": F.count("*").over(inside) + F.col("_n") - 1})
+    left = [(F.lit(total.get(k, 0)) - F.col(f"_r{k}") - (F.col(f"_r{k - 1}") if k - 1 in dims else F.lit(0))).alias(f"left{k}") for k in dims]
+    return out.select("rank", "lower", "upper", "dim", "persistence", "time", *left)
+
+
+def limit_for(gone: DataFrame, nodes: DataFrame, dim: int, keep: int) -> DataFrame:
+    """One row: the least persistence at which at most ``keep`` nodes of a dimension are left; 0 where that never comes."""
+    told = history(gone, nodes, tuple(range(dim + 1)))
+    return told.where(F.col(f"left{dim}") <= keep).agg(F.coalesce(F.min("time"), F.lit(0.0)).alias("limit"))
+
+
 def grouped_hierarchy(arcs: DataFrame, nodes: DataFrame, groups: DataFrame, limit: float, tail: int | None = None) -> Hierarchy:
     """``hierarchy`` inside each group of ``groups`` (nid, group): ends of arcs between groups are frozen.  All groups share the rounds."""
     met = arcs.select("lower", "upper")

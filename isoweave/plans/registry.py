@@ -495,34 +495,81 @@ def m22_reasons(spark: SparkSession, d: str) -> DataFrame:
     return L.blocking_reasons(M.arcs(grad, field, raster.LQ), M.nodes(grad, field, raster.LQ))
 
 
-def _hierarchy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _hierarchy(spark: SparkSession, d: str, share: float = 0.1) -> tuple[DataFrame, DataFrame, H.Hierarchy]:
+    """Gradient, nodes and the hierarchy up to a share of the field's range."""
     field, grad = _gradient(spark, d)
     nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
-    return nodes, *H.hierarchy(arcs, nodes, _cancel(spark, d))
+    return grad, nodes, H.hierarchy(arcs, nodes, 10 * share * _cancel(spark, d))
 
 
-@query("m9_hierarchy")
+HIER = f"with recursive {LQ}, {S.COMPLEX}, {S.hierarchy()}"
+
+
+@query("m9_hierarchy", f"{HIER} select * from gone")
 def m9_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d)[1]
+    return _hierarchy(spark, d)[2].gone
+
 
+@query("m9_hierarchy_whole", f"with recursive {LQ}, {S.COMPLEX}, {S.hierarchy(1.0)} select dim, count(*) as n, sum(round) as rounds, max(time) as time, sum(lower) as lowers, sum(upper) as uppers from gone group by dim")
+def m9_hierarchy_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The hierarchy up to the whole range of the field, summed up by dimension."""
+    gone = _hierarchy(spark, d, 1.0)[2].gone
+    return gone.groupBy("dim").agg(F.count("*").alias("n"), F.sum("round").alias("rounds"), F.max("time").alias("time"), F.sum("lower").alias("lowers"), F.sum("upper").alias("uppers"))
 
-@query("m15_living_arcs")
+
+@query("m15_living_arcs", f"{HIER} select lower, upper, dim, mult, persistence from alive")
 def m15_living_arcs(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d)[2].select("lower", "upper", "dim", "mult", "persistence")
+    return _hierarchy(spark, d)[2].live.select("lower", "upper", "dim", "mult", "persistence")
 
 
-@query("m3_saddle_arcs")
-def m3_saddle_arcs(spark: SparkSession, d: str) -> DataFrame:
-    return H.saddle_arcs(cut(D.discrete_gradient(raster.lineitem_volume(spark, d), raster.LQD)), raster.LQD)
+@query("m12_living_at", f"{HIER} select n.* from nodes n where nid not in (select lower from gone where time <= (select cancel / 2 from lim) union all select upper from gone where time <= (select cancel / 2 from lim))")
+def m12_living_at(spark: SparkSession, d: str) -> DataFrame:
+    """Living nodes of all dimensions at half of the limit that the hierarchy was built to."""
+    _, nodes, found = _hierarchy(spark, d)
+    return H.living_nodes(nodes, H.until(found.gone, _cancel(spark, d) / 2))
+
+
+@query("m15_living_arcs_at", f"""{HIER}, stop as (select count(*) as n from gone where time <= (select cancel / 2 from lim))
+    select low as lower, up as upper, dim, mult, uv - lv as persistence from hier where kind = 0 and step = (select n from stop)""")
+def m15_living_arcs_at(spark: SparkSession, d: str) -> DataFrame:
+    """Living arcs at half of the limit, from the history alone."""
+    field, grad = _gradient(spark, d)
+    nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
+    found, limit = H.hierarchy(arcs, nodes, _cancel(spark, d)), _cancel(spark, d) / 2
+    return H.living_arcs(arcs, nodes, found, limit).select("lower", "upper", "dim", "mult", "persistence")
 
 
-@query("m24_grouped_hierarchy")
+@query("t7_history_all", f"""{HIER}, total as (select count(*) filter (dim = 0) as n0, count(*) filter (dim = 1) as n1, count(*) filter (dim = 2) as n2 from nodes)
+    select round - 1 as rank, lower, upper, dim, persistence, time, n0 - count(*) filter (dim = 0) over w as left0, n1 - round as left1, n2 - count(*) filter (dim = 1) over w as left2 from gone cross join total window w as (order by round)""")
+def t7_history_all(spark: SparkSession, d: str) -> DataFrame:
+    """Cancellations in order with the running largest persistence and the nodes of each dimension that are left."""
+    _, nodes, found = _hierarchy(spark, d)
+    return H.history(found.gone, nodes, (0, 1, 2))
+
+
+@query("m13_limit_maxima", f"""{HIER}, left_at as (select time, (select count(*) from nodes where dim = 2) - count(*) filter (dim = 1) over (order by round) as n from gone)
+    select coalesce(min(time), 0) as "limit" from left_at where n <= 0.9 * (select count(*) from nodes where dim = 2)""")
+def m13_limit_maxima(spark: SparkSession, d: str) -> DataFrame:
+    """The least persistence at which nine tenths of the maxima are left."""
+    _, nodes, found = _hierarchy(spark, d)
+    return H.limit_for(found.gone, nodes, 2, int(0.9 * nodes.where("dim = 2").count()))
+
+
+BLOCKS = "select a.nid from (select lower, upper from arcs) e join nodes a on a.nid in (e.lower, e.upper) join nodes l on l.nid = e.lower join nodes u on u.nid = e.upper where floor(l.x / 16) + 4 * floor(l.y / 16) <> floor(u.x / 16) + 4 * floor(u.y / 16)"
+
+
+@query("m24_grouped_hierarchy", f"with recursive {LQ}, {S.COMPLEX}, {S.hierarchy(frozen=BLOCKS)} select * from gone")
 def m24_grouped(spark: SparkSession, d: str) -> DataFrame:
     """Cancellations inside blocks of 16 x 16 samples, with the ends of arcs between blocks frozen."""
     field, grad = _gradient(spark, d)
     nodes, arcs = cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
     groups = nodes.select("nid", (F.floor(F.col("x") / 16) + 4 * F.floor(F.col("y") / 16)).alias("group"))
-    return H.grouped_hierarchy(arcs, nodes, groups, _cancel(spark, d))[0]
+    return H.grouped_hierarchy(arcs, nodes, groups, _cancel(spark, d)).gone
+
+
+@query("m3_saddle_arcs")
+def m3_saddle_arcs(spark: SparkSession, d: str) -> DataFrame:
+    return H.saddle_arcs(cut(D.discrete_gradient(raster.lineitem_volume(spark, d), raster.LQD)), raster.LQD)
 
 
 @query("r5_boundary_map", f"""with recursive {PEAKS}, {CELL}, corner as (select c.cid, c.cx, c.cy, cx % 2 + cy % 2 as dim, p.label from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) join peak p using (vid)),
