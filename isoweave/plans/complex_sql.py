@@ -95,3 +95,23 @@ hier(step, kind, low, up, dim, mult, born, lv, uv, same) as (select 0, 0, * from
     union all select step + 1, 1, pl, pu, dim, 1, time, lv, uv, true from pick)),
 gone as (select step as round, low as lower, up as upper, dim, cast(uv - lv as double) as persistence, born as time from hier where kind = 1),
 alive as (select low as lower, up as upper, dim, mult, born, uv - lv as persistence from hier where kind = 0 and step = (select coalesce(max(round), 0) from gone))"""
+
+
+#: Lines of living arcs, from the upper node to the lower one, after ``hier``, ``gone``, ``alive`` and ``line``.  The ways of two nodes are their given lines and,
+#: for each cancellation, the product of the ways that it joined; a line is taken apart until only given lines are left, and steps back are dropped.
+MERGED_LINES = """
+given as (select dim, sid, side, arg_max(cid, pos) as fin, max(pos) as top from line group by all having arg_max(cid, pos) in (select nid from nodes)),
+base as (select case when g.dim = 0 then fin else g.sid end as lower, case when g.dim = 0 then g.sid else fin end as upper, g.side, case when g.dim = 0 then list(l.cid order by l.pos) else list(l.cid order by l.pos desc) end as cells
+    from given g join line l on l.dim = g.dim and l.sid = g.sid and l.side = g.side group by g.dim, g.sid, g.side, fin),
+grown_arcs as (select g.round, w.low as lower, x.up as upper, w.mult * x.mult as n, g.lower as vl, g.upper as vu, w.mult as inside
+    from gone g join hier x on x.kind = 0 and x.step = g.round - 1 and x.low = g.lower and x.up <> g.upper join hier w on w.kind = 0 and w.step = g.round - 1 and w.up = g.upper and w.low <> g.lower),
+options as (select *, coalesce(sum(n) over (partition by lower, upper order by round, side, vl, vu rows between unbounded preceding and 1 preceding), 0) as begun from
+    (select -1 as round, lower, upper, 1 as n, side, null::bigint as vl, null::bigint as vu, null::bigint as inside from base union all select round, lower, upper, n, null, vl, vu, inside from grown_arcs)),
+tokens(lower, upper, number, place, a, b, way, ahead) as (select lower, upper, i, []::integer[], lower, upper, i, true from (select lower, upper, unnest(range(mult)) as i from alive)
+    union all select t.lower, t.upper, t.number, list_append(t.place, case when t.ahead then k else 2 - k end), case k when 2 then t.a else o.vl end, case k when 0 then t.b else o.vu end,
+        case k when 0 then (t.way - o.begun) // o.inside when 1 then 0 else (t.way - o.begun) % o.inside end, case k when 1 then not t.ahead else t.ahead end
+    from tokens t join options o on o.lower = t.a and o.upper = t.b and t.way >= o.begun and t.way < o.begun + o.n and o.side is null cross join (values (0), (1), (2)) k(k)),
+walked_lines as (select t.lower, t.upper, t.number, flatten(list(case when t.ahead then b.cells else list_reverse(b.cells) end order by t.place)) as cells
+    from tokens t join options o on o.lower = t.a and o.upper = t.b and t.way = o.begun and o.side is not null join base b on b.lower = t.a and b.upper = t.b and b.side = o.side group by t.lower, t.upper, t.number),
+short_lines as (select lower, upper, number, list_reduce(list_prepend([]::bigint[], list_transform(cells, lambda c: [c])), lambda acc, c: case when acc[-1] = c[1] then acc when len(acc) > 1 and acc[-2] = c[1] then acc[:-2] else list_concat(acc, c) end) as cells from walked_lines),
+merged as (select lower, upper, number, generate_subscripts(cells, 1) - 1 as pos, unnest(cells) as cid from short_lines)"""

@@ -13,7 +13,7 @@ from isoweave.operators import complex as M
 from isoweave.operators import geometry as L
 from isoweave.operators import gradient as D
 from isoweave.operators import hierarchy as H
-from isoweave.operators import iterate, lines, regions
+from isoweave.operators import iterate, lines, merged, regions
 from isoweave.plans import complex_sql as S
 from isoweave.runtime import cut, table
 from isoweave.sources import raster
@@ -567,6 +567,44 @@ def m24_grouped(spark: SparkSession, d: str) -> DataFrame:
     return H.grouped_hierarchy(arcs, nodes, groups, _cancel(spark, d)).gone
 
 
+@query("m19_merged_lines", f"{HIER}, {S.LINES}, {S.MERGED_LINES} select lower, upper, number, pos, cid from merged")
+def m19_merged_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of every living arc."""
+    grad, _, found = _hierarchy(spark, d)
+    return merged.merged_lines(cut(merged.base_lines(grad, raster.LQ)), found, found.live)
+
+
+#: nodes that each node has taken over: (nid, part, descending), through all events
+TAKEN = """taken as (select x.up as nid, g.upper as part, true as descending from gone g join hier x on x.kind = 0 and x.step = g.round - 1 and x.low = g.lower and x.up <> g.upper
+    union all select w.low, g.lower, false from gone g join hier w on w.kind = 0 and w.step = g.round - 1 and w.up = g.upper and w.low <> g.lower),
+living as (select nid, dim from nodes where nid not in (select lower from gone union all select upper from gone)),
+part_of(nid, part, descending) as (select nid, nid, b from living cross join (values (true), (false)) t(b) union select p.nid, t.part, p.descending from part_of p join taken t on t.nid = p.part and t.descending = p.descending)"""
+
+
+@query("m18_parts", f"{HIER}, {TAKEN} select nid, part, descending from part_of")
+def m18_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes, saddles too, whose manifolds belong to each living node."""
+    _, nodes, found = _hierarchy(spark, d)
+    return merged.constituents(found.parts, H.living_nodes(nodes, found.gone))
+
+
+@query("m20_saddle_manifolds", f"{HIER}, {TAKEN}, {S.LINES} select distinct p.nid, l.cid from part_of p join living v on v.nid = p.nid and v.dim = 1 join line l on l.sid = p.part and l.dim = 0 where p.descending and (l.cid % 91 + l.cid // 91) % 2 = 1")
+def m20_saddle_manifolds(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the descending manifolds of living saddles, with those of the saddles that they have taken over."""
+    grad, nodes, found = _hierarchy(spark, d)
+    living = H.living_nodes(nodes, found.gone).where("dim = 1")
+    owned = merged.constituents(found.parts, living).where("descending")
+    return merged.living_manifolds(merged.flow_manifolds(grad, raster.LQ, 1), owned)
+
+
+@query("l2_living_soup", f"{HIER}, {S.LINES}, {S.MERGED_LINES} select distinct merged.cid from merged join nodes p on p.nid = lower where p.dim = 1")
+def l2_living_soup(spark: SparkSession, d: str) -> DataFrame:
+    """The different cells of the living ridge lines."""
+    grad, _, found = _hierarchy(spark, d)
+    lines_of = merged.merged_lines(cut(merged.base_lines(grad, raster.LQ)), found, found.live.where("dim = 1"))
+    return L.line_soup(lines_of)
+
+
 @query("m3_saddle_arcs")
 def m3_saddle_arcs(spark: SparkSession, d: str) -> DataFrame:
     return H.saddle_arcs(cut(D.discrete_gradient(raster.lineitem_volume(spark, d), raster.LQD)), raster.LQD)
