@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from isoweave.functions import grid as G
 from isoweave.functions.grid import GridMeta
+from isoweave.runtime import cut_in_loop
 
 TILE = 256
 SCHEMA = "cid long, dim int, pair_cid long, is_critical boolean, owner long"
@@ -33,9 +34,11 @@ def _stencil(flat: tuple[bool, ...]) -> tuple[list[tuple[int, ...]], np.ndarray,
     return cells, dims, facet
 
 
-def pair_stars(rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair_stars(rank: np.ndarray, own: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(in_star, partner, critical) for each vertex of ``own`` (index triples) and each star cell.
 
+    ``classes`` has a number for each star cell and, last, the vertex: a cell then only pairs with a cell of its own class.
+
     ``rank`` is the order of the padded block's samples; missing samples have the largest rank, so cells with one are in no star.
     ``partner`` is a cell number, -1 for the vertex itself, -2 where there is none.
     """
@@ -56,9 +59,11 @@ def pair_stars(rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     partner = np.full((n, m), -2)
     critical = np.zeros((n, m), bool)
     done = ~inside
-    edges = dims == 1
-    first = np.argmin(np.where(edges[None, :], order, far), axis=1)
-    has = inside[np.arange(n), first] & edges[first]
+    edges = np.broadcast_to(dims == 1, (n, m))
+    if classes is not None:
+        edges = edges & (classes[:, :m] == classes[:, m:])
+    first = np.argmin(np.where(edges, order, far), axis=1)
+    has = inside[np.arange(n), first] & edges[np.arange(n), first]
     partner[has.nonzero()[0], first[has]] = -1
     done[has.nonzero()[0], first[has]] = True
     minimum = ~has
@@ -70,13 +75,20 @@ def pair_stars(rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not len(live):
             break
         open_ = open_[left]
-        unpaired = open_.astype(np.int16) @ facet.T.astype(np.int16)
+        if classes is None:
+            unpaired = open_.astype(np.int16) @ facet.T.astype(np.int16)
+        else:
+            alike = classes[live][:, :m, None] == classes[live][:, None, :m]
+            unpaired = (alike & facet[None] & open_[:, None, :]).sum(2)
         ready = open_ & (unpaired == 1) & (dims > 1)[None, :]
         key = np.where(ready, order[live], far)
         pick = np.argmin(key, axis=1)
         some = ready[np.arange(len(live)), pick]
         rows, cell = live[some], pick[some]
-        mate = np.argmax(facet[cell] & ~done[rows], axis=1)
+        mates = facet[cell] & ~done[rows]
+        if classes is not None:
+            mates &= classes[rows, :m] == classes[rows, cell][:, None]
+        mate = np.argmax(mates, axis=1)
         partner[rows, cell], partner[rows, mate] = mate, cell
         done[rows, cell] = done[rows, mate] = True
         # nothing to pair: the lowest cell of the lowest dimension left is critical
@@ -146,15 +158,14 @@ def _plane_cells(rank: np.ndarray, ids: np.ndarray, x0: int, y0: int, meta: Grid
     return pa.table({f: np.concatenate(c) for f, c in zip(("cid", "dim", "pair_cid", "is_critical", "owner"), zip(*parts))})
 
 
-def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
-    """(cid, dim, pair_cid, is_critical, owner) of every cell whose vertices all have a sample.
+def _tiles(meta: GridMeta, tile: int) -> tuple[int, list[int]]:
+    """The side of a tile and the number of tiles along each axis."""
+    tile = min(tile, 64) if meta.nz > 1 else tile
+    return tile, [max(1, -(-n // tile)) for n in meta.shape]
 
-    ``owner`` is the highest vertex of the cell.  A vertex pairs with its steepest edge; then, again and again, the cell with the
-    lowest lowest-vertex among those with one unpaired facet pairs with it; else the lowest cell left is critical.
-    """
-    if meta.nz > 1:
-        tile = min(tile, 64)
-    spans = [max(1, -(-n // tile)) for n in meta.shape]
+
+def _dealt(field: DataFrame, meta: GridMeta, tile: int, spans: list[int]) -> DataFrame:
+    """(vid, value, tile): every sample in its tile and in those whose halo it is in."""
     xyz = G.coordinates(F.col("vid"), meta.shape)
     homes = []
     for o in product(*[(-1, 0, 1) if n > 1 else (0,) for n in meta.shape]):
@@ -171,45 +182,129 @@ def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> Dat
             alone = alone & (c % tile).between(1, tile - 2) & c.between(1, n - 2)
     # a sample inside a tile is sent to that one only
     tiles = F.when(alone, F.array(own_tile[0] + spans[0] * (own_tile[1] + spans[1] * own_tile[2]))).otherwise(F.array_distinct(F.array_compact(F.array(*homes))))
-    sent = field.select("vid", F.col("value").cast("double").alias("value"), F.explode(tiles).alias("tile"))
+    return field.select("vid", F.col("value").cast("double").alias("value"), F.explode(tiles).alias("tile"))
+
+
+def _block(pdf: pa.Table, number: int, meta: GridMeta, tile: int, spans: list[int]) -> tuple[np.ndarray, np.ndarray, list[int], list[int], list[int]]:
+    """(ranks, vertex ids, first sample, samples, padding) of a tile's padded block; missing samples have the largest rank and id -1."""
+    corner = [number % spans[0] * tile, number // spans[0] % spans[1] * tile, number // (spans[0] * spans[1]) * tile]
+    size = [min(tile, n - c) for n, c in zip(meta.shape, corner)]
+    vid, value = pdf["vid"].to_numpy(), pdf["value"].to_numpy()
+    c = np.stack([vid % meta.nx, vid // meta.nx % meta.ny, vid // (meta.nx * meta.ny)], 1)
+    place = np.lexsort((vid, value))
+    rank = np.empty(len(vid), np.int64)
+    rank[place] = np.arange(len(vid))
+    pad = [1 if n > 1 else 0 for n in meta.shape]
+    block = np.full([s + 2 * p for s, p in zip(size, pad)], np.iinfo(np.int64).max)
+    ids = np.full(block.shape, -1)
+    for shift in product(*[(0, n, -n) if p else (0,) for n, p in zip(meta.shape, meta.periodic)]):
+        local = c + np.array(shift) - np.array(corner) + np.array(pad)
+        fits = ((local >= 0) & (local < np.array(block.shape))).all(1)
+        block[tuple(local[fits].T)], ids[tuple(local[fits].T)] = rank[fits], vid[fits]
+    return block, ids, corner, size, pad
+
+
+def _star_cells(block: np.ndarray, ids: np.ndarray, corner: list[int], size: list[int], pad: list[int], meta: GridMeta, labels: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    """The cells of the inner samples of a block, by their stars; ``labels`` has cell ids in order and their classes (-1 for others)."""
+    own = np.argwhere(ids >= 0)
+    own = own[((own >= np.array(pad)) & (own < np.array(pad) + np.array(size))).all(1)]
+    if not len(own):
+        return pa.Table.from_batches([], OUT)
+    cells, dims, _ = _stencil(tuple(n == 1 for n in block.shape))
+    mesh = meta.mesh
+    base = 2 * (own - np.array(pad) + np.array(corner))
+    names = np.stack([sum(np.mod(base[:, a] + o[a], mesh[a]) * int(np.prod(mesh[:a])) for a in range(3)) for o in [*cells, (0, 0, 0)]], 1)
+    classes = None
+    if labels is not None:
+        at = np.searchsorted(labels[0], names).clip(0, max(0, len(labels[0]) - 1))
+        classes = np.where(labels[0][at] == names, labels[1][at], -1) if len(labels[0]) else np.full(names.shape, -1)
+    inside, partner, critical = pair_stars(block, own, classes)
+    m, owner = len(cells), ids[tuple(own.T)]
+    rows, cell = inside.nonzero()
+    mate = partner[rows, cell]
+    star = pd.DataFrame({"cid": names[rows, cell], "dim": dims[cell], "pair_cid": np.where(mate == -2, names[rows, cell], names[rows, np.where(mate < 0, m, mate)]), "is_critical": critical[rows, cell], "owner": owner[rows]})
+    steep = np.where((partner == -1).any(1), np.argmax(partner == -1, axis=1), m)
+    vertex = pd.DataFrame({"cid": names[:, m], "dim": 0, "pair_cid": names[np.arange(len(own)), steep], "is_critical": critical[:, m], "owner": owner})
+    return pa.Table.from_pandas(pd.concat([vertex, star], ignore_index=True), OUT, preserve_index=False)
+
+
+def discrete_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
+    """(cid, dim, pair_cid, is_critical, owner) of every cell whose vertices all have a sample.
+
+    ``owner`` is the highest vertex of the cell.  A vertex pairs with its steepest edge; then, again and again, the cell with the
+    lowest lowest-vertex among those with one unpaired facet pairs with it; else the lowest cell left is critical.
+    """
+    tile, spans = _tiles(meta, tile)
     planar = meta.nx > 1 and meta.ny > 1 and meta.nz == 1
 
     def run(key: tuple, pdf: pa.Table) -> pa.Table:
-        number = key[0].as_py()
-        corner = [number % spans[0] * tile, number // spans[0] % spans[1] * tile, number // (spans[0] * spans[1]) * tile]
-        size = [min(tile, n - c) for n, c in zip(meta.shape, corner)]
-        vid, value = pdf["vid"].to_numpy(), pdf["value"].to_numpy()
-        if not len(vid):
+        if not len(pdf):
             return pa.Table.from_batches([], OUT)
-        c = np.stack([vid % meta.nx, vid // meta.nx % meta.ny, vid // (meta.nx * meta.ny)], 1)
-        place = np.lexsort((vid, value))
-        rank = np.empty(len(vid), np.int64)
-        rank[place] = np.arange(len(vid))
-        pad = [1 if n > 1 else 0 for n in meta.shape]
-        block = np.full([s + 2 * p for s, p in zip(size, pad)], np.iinfo(np.int64).max)
-        ids = np.full(block.shape, -1)
-        for shift in product(*[(0, n, -n) if p else (0,) for n, p in zip(meta.shape, meta.periodic)]):
-            local = c + np.array(shift) - np.array(corner) + np.array(pad)
-            fits = ((local >= 0) & (local < np.array(block.shape))).all(1)
-            block[tuple(local[fits].T)], ids[tuple(local[fits].T)] = rank[fits], vid[fits]
+        block, ids, corner, size, pad = _block(pdf, key[0].as_py(), meta, tile, spans)
         if planar:
             return _plane_cells(block[:, :, 0], ids[:, :, 0], corner[0], corner[1], meta)
-        own = np.argwhere(ids >= 0)
-        own = own[((own >= np.array(pad)) & (own < np.array(pad) + np.array(size))).all(1)]
-        inside, partner, critical = pair_stars(block, own)
-        cells, dims, _ = _stencil(tuple(n == 1 for n in block.shape)) if len(own) else ([], np.zeros(0, int), None)
-        mesh = meta.mesh
-        base = 2 * (own - np.array(pad) + np.array(corner))
-        names = np.stack([sum(np.mod(base[:, a] + o[a], mesh[a]) * int(np.prod(mesh[:a])) for a in range(3)) for o in [*cells, (0, 0, 0)]], 1) if len(own) else np.zeros((0, 1), np.int64)
-        m, owner = len(cells), ids[tuple(own.T)]
-        rows, cell = inside.nonzero()
-        mate = partner[rows, cell]
-        star = pd.DataFrame({"cid": names[rows, cell], "dim": dims[cell] if len(own) else cell, "pair_cid": np.where(mate == -2, names[rows, cell], names[rows, np.where(mate < 0, m, mate)]), "is_critical": critical[rows, cell], "owner": owner[rows]})
-        steep = np.where((partner == -1).any(1), np.argmax(partner == -1, axis=1), m)
-        vertex = pd.DataFrame({"cid": names[:, m], "dim": 0, "pair_cid": names[np.arange(len(own)), steep], "is_critical": critical[:, m], "owner": owner})
-        return pa.Table.from_pandas(pd.concat([vertex, star], ignore_index=True), OUT, preserve_index=False)
-
-    return sent.groupBy("tile").applyInArrow(run, SCHEMA)
+        return _star_cells(block, ids, corner, size, pad, meta)
+
+    return _dealt(field, meta, tile, spans).groupBy("tile").applyInArrow(run, SCHEMA)
+
+
+def classed_gradient(field: DataFrame, classes: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
+    """``discrete_gradient`` with every lower star split by the class of its cells: no pair joins two classes.
+
+    ``classes`` (cid, label) has a number for each cell; cells without one are a class of their own.  A class without the vertex begins
+    with a critical cell.  Labels go to the tiles of the vertices around their cell.
+    """
+    tile, spans = _tiles(meta, tile)
+    at = G.coordinates(F.col("cid"), meta.mesh)
+    homes = []
+    for pick in product(*[(0, 1) if n > 1 else (0,) for n in meta.shape]):
+        near = [F.floor(G.wrapped(F.floor((c + d) / 2), n, p) / tile) for c, d, n, p in zip(at, pick, meta.shape, meta.periodic)]
+        homes.append(near[0] + spans[0] * (near[1] + spans[1] * near[2]))
+    told = classes.select("cid", F.col("label").cast("long").alias("label"), F.explode(F.array_distinct(F.array(*homes))).alias("tile"))
+
+    def run(key: tuple, pdf: pa.Table, named: pa.Table) -> pa.Table:
+        if not len(pdf):
+            return pa.Table.from_batches([], OUT)
+        block, ids, corner, size, pad = _block(pdf, key[0].as_py(), meta, tile, spans)
+        cid, label = named["cid"].to_numpy(), named["label"].to_numpy()
+        order = np.argsort(cid)
+        return _star_cells(block, ids, corner, size, pad, meta, (cid[order], label[order]))
+
+    return _dealt(field, meta, tile, spans).groupBy("tile").cogroup(told.groupBy("tile")).applyInArrow(run, SCHEMA)
+
+
+def by_labels(field: DataFrame, labels: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
+    """The gradient that respects a labelling of the cells (cid, label): classes are labels and boundary classes together."""
+    bnd = G.boundary_of(G.coordinates(F.col("cid"), meta.mesh), meta, meta.mesh)
+    return classed_gradient(field, labels.select("cid", (F.col("label") * 4 + bnd).alias("label")), meta, tile)
+
+
+def by_second_field(field: DataFrame, other: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
+    """The gradient of a pair of fields: only cells with the same highest vertex in both fields pair."""
+    cells = G.cells(field.sparkSession, meta).select("cid")
+    return classed_gradient(field, G.cell_extremes(cells, other, meta).select("cid", F.col("vmax").alias("label")), meta, tile)
+
+
+def ascending_dimensions(grad: DataFrame, meta: GridMeta) -> DataFrame:
+    """(cid, asc_dim): the smallest dimension of an ascending manifold that each cell lies in.
+
+    Marks go up from the critical cells of each dimension k, from a cell to its cofacets and on to the cells that these are paired with, and
+    say top - k.  Maxima have 0, cells without a mark the full dimension.  All critical cells of a dimension go up together, a step a round.
+    """
+    top, out = len(meta.axes), None
+    for k in range(1, top):
+        gates = grad.where((F.col("dim") == k + 1) & ~F.col("is_critical")).select(F.col("cid").alias("gate"), F.col("pair_cid").alias("next"))
+        seen = front = cut_in_loop(grad.where(F.col("is_critical") & (F.col("dim") == k)).select("cid", F.lit(True).alias("tip")))
+        while not front.isEmpty():
+            met = G.cofacets(front.where("tip").select("cid"), meta, "cid", "gate").join(gates, "gate").where("next != cid")
+            reached = met.select(F.explode(F.array(F.struct(F.col("gate").alias("cid"), F.lit(False).alias("tip")), F.struct(F.col("next").alias("cid"), F.lit(True).alias("tip")))).alias("r")).select("r.*")
+            front = cut_in_loop(reached.groupBy("cid").agg(F.max("tip").alias("tip")).join(seen, ["cid", "tip"], "left_anti"))
+            seen = cut_in_loop(seen.union(front))
+        part = seen.select("cid", F.lit(top - k).alias("asc_dim"))
+        out = part if out is None else out.union(part)
+    peaks = grad.where(F.col("is_critical") & (F.col("dim") == top)).select("cid", F.lit(0).alias("asc_dim"))
+    marks = (peaks if out is None else out.union(peaks)).groupBy("cid").agg(F.min("asc_dim").alias("asc_dim"))
+    return grad.select("cid").join(marks, "cid", "left").fillna(top, ["asc_dim"])
 
 
 def violations(grad: DataFrame) -> DataFrame:

@@ -314,14 +314,17 @@ def grouped_hierarchy(arcs: DataFrame, nodes: DataFrame, groups: DataFrame, limi
     return hierarchy(arcs, nodes, limit, frozen=cut_in_loop(frozen), tail=tail)
 
 
-def saddle_arcs(grad: DataFrame, meta: GridMeta) -> DataFrame:
+def saddle_arcs(grad: DataFrame, meta: GridMeta, marks: DataFrame | None = None) -> DataFrame:
     """(lower, upper, dim, mult): arcs of 1-saddles with 2-saddles of a volume, with the number of paths.
 
     All paths go down together from the 2-saddles, from a quad through an edge to the quad paired with it; paths that meet are
-    added up, so a round has at most one row for each 2-saddle and quad.
+    added up, so a round has at most one row for each 2-saddle and quad.  ``marks`` (cid, asc_dim) leaves out the quads from which no 1-saddle
+    can be reached, those outside every ascending manifold.
     """
     edges = cut_in_loop(grad.where("dim = 1").select("cid", "pair_cid", "is_critical"))
     quads = grad.where("dim = 2").select("cid")
+    if marks is not None:
+        quads = quads.join(marks.where(F.col("asc_dim") < len(meta.axes)), "cid", "left_semi")
     facets = G.facets(quads, meta).join(edges.withColumnRenamed("cid", "fcid"), "fcid")
     own = grad.where("dim = 2").select("cid", F.col("pair_cid").alias("_own"))
     # ways from a quad: to a critical edge, or through an edge to another quad

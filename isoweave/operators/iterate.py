@@ -35,6 +35,25 @@ def terminal(pointers: DataFrame, id: str = "id", next: str = "next") -> DataFra
     raise ValueError("pointers form a loop")
 
 
+def loops(pointers: DataFrame, id: str = "id", next: str = "next") -> DataFrame:
+    """(id, loop, on_loop): the rows whose chain never ends, and the least member of the loop that it runs into.
+
+    A row that points to itself, to null or outside the table is an end.  Steps double each round, and with them the least row that a
+    chain has met; after log2(rows) rounds what has not ended is on a loop.
+    """
+    given = pointers.select(F.col(id).alias("id"), F.col(next).alias("to"))
+    state = cut_in_loop(given.where("to is not null and to != id").withColumn("least", F.col("id")))
+    rows = state.count()
+    for _ in range(max(1, rows.bit_length())):
+        jump = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("least").alias("_least"))
+        # a chain that meets an end is gone
+        state = cut_in_loop(_tasks(state.join(jump, "to").select("id", F.col("further").alias("to"), F.least("least", "_least").alias("least")), rows))
+    on = state.select(F.col("to").alias("id")).distinct().join(state.select("id", F.col("least").alias("loop")), "id")
+    on = cut_in_loop(on)
+    named = state.join(on.select(F.col("id").alias("to"), "loop"), "to").select("id", "loop")
+    return named.join(on.select("id", F.lit(True).alias("_on")), "id", "left").select("id", "loop", F.col("_on").isNotNull().alias("on_loop"))
+
+
 #: rows of a round's table for a task; edges that are finished in one task, a fixed bound
 SHARE, TAIL = 1 << 17, 1 << 13
 

@@ -166,3 +166,81 @@ def crossings(field: DataFrame, meta: GridMeta, iso: float) -> DataFrame:
     a, b = (G.coordinates(F.col(c), meta.shape) for c in ("vid", "nvid"))
     return pairs.select("vid", "nvid", *[(p + share * (q - p)).alias(n) for p, q, n in zip(a, b, ("px", "py", "pz"))])
 
+
+def restricted_regions(edges: DataFrame, meta: GridMeta, certain: bool = False) -> DataFrame:
+    """(cid, label) of a set of edges (cid, value): regions that grow from the highest edge down, inside the set alone.
+
+    Edges of a quad are neighbours; the order is (value, id).  The highest edge without a region takes that of its highest neighbour that has
+    one, or begins a new one.  So each edge points to its highest higher neighbour, and all regions grow at once by pointer doubling.
+    ``certain`` keeps the edges whose higher neighbours are all certain and of one region.
+    """
+    own = cut(edges.select("cid", "value"))
+    near = G.cofacets(own.select(F.col("cid").alias("a")), meta, "a", "quad")
+    near = G.facets(near, meta, "quad", "cid").where("a != cid").select("a", "cid").distinct()
+    met = near.join(own, "cid").join(own.select(F.col("cid").alias("a"), F.col("value").alias("_v")), "a")
+    higher = cut(met.where(F.struct("value", "cid") > F.struct(F.col("_v").alias("value"), F.col("a").alias("cid"))).select("a", "cid", "value"))
+    best = higher.groupBy("a").agg(F.max(F.struct("value", "cid"))["cid"].alias("next"))
+    labels = terminal(own.select(F.col("cid").alias("id")).join(best.withColumnRenamed("a", "id"), "id", "left")).select(F.col("id").alias("cid"), F.col("root").alias("label"))
+    if not certain:
+        return labels
+    labels = cut(labels)
+    links = cut(higher.select("a", "cid").join(labels, "cid").join(labels.select(F.col("cid").alias("a"), F.col("label").alias("_l")), "a"))
+    doubt = front = cut(links.where("label != _l").select(F.col("a").alias("cid")).distinct())
+    while not front.isEmpty():
+        front = cut_in_loop(links.join(front, "cid").select(F.col("a").alias("cid")).distinct().join(doubt, "cid", "left_anti"))
+        doubt = cut_in_loop(doubt.union(front))
+    return labels.join(doubt, "cid", "left_anti")
+
+
+def region_graph(labels: DataFrame, meta: GridMeta) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions as a graph: nodes (label, area), edges (label1, label2, n_edges) and the cells of the border of each two (label1, label2, cid)."""
+    border = cut(separators(labels, meta).select("label1", "label2", "cid"))
+    return region_sizes(labels).select("label", "area"), border.groupBy("label1", "label2").agg(F.count("*").alias("n_edges")), border
+
+
+def stratified_skeleton(boundary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(skeleton, forced) cells (cid) of a boundary map: where over two regions meet, and where over three do."""
+    return boundary.where("kind >= 2").select("cid"), boundary.where("kind >= 3").select("cid")
+
+
+def geodesic_density(seeds: DataFrame, field: DataFrame, meta: GridMeta, budget: float, least: float, solid: float, slow: float = 1.0) -> DataFrame:
+    """(seed, volume, free, density): samples that a walk from each seed (vid) reaches within a budget, and their share of a free ball's.
+
+    Steps go to all neighbours and cost their length times one plus a slowdown, which is 0 where both samples are at least ``solid`` and rises
+    to ``slow`` for one at ``least``; samples at or under ``least`` cannot be entered.  All seeds walk together; a round sends on what got cheaper.
+    """
+    grid = field.select("vid", F.col("value").cast("double").alias("value")).where(F.col("value") > least)
+    offers = []
+    base = G.coordinates(F.col("vid"), meta.shape)
+    for o in G.offsets(meta, "full"):
+        at = [G.wrapped(b + d, n, p) for b, d, n, p in zip(base, o, meta.shape, meta.periodic)]
+        ok = F.lit(True)
+        for b, d, n, p in zip(base, o, meta.shape, meta.periodic):
+            ok = ok & (G.inside(b + d, n, p) if d and not p else F.lit(True))
+        offers.append(F.when(ok, F.struct(G.index(meta.shape, *at).alias("nvid"), F.lit(float(sum(map(abs, o)) ** 0.5)).alias("step"))))
+    every = F.explode(F.array_compact(F.array(*offers))).alias("s")
+    met = grid.select("vid", "value", every).select("vid", "value", "s.nvid", "s.step").join(grid.select(F.col("vid").alias("nvid"), F.col("value").alias("nvalue")), "nvid")
+    low = F.least("value", "nvalue", F.lit(float(solid)))
+    cost = F.col("step") * (1 + slow * (solid - low) / (solid - least))
+    edges = cut(met.select("vid", "nvid", cost.alias("cost")))
+    begun = seeds.select("vid").distinct().join(grid, "vid", "left_semi").select(F.col("vid").alias("seed"), "vid", F.lit(0.0).alias("dist"))
+    state = front = cut_in_loop(begun)
+    while not front.isEmpty():
+        sent = front.join(edges, "vid").select("seed", F.col("nvid").alias("vid"), (F.col("dist") + F.col("cost")).alias("dist")).where(F.col("dist") <= budget)
+        best = sent.groupBy("seed", "vid").agg(F.min("dist").alias("dist"))
+        front = cut_in_loop(best.join(state.withColumnRenamed("dist", "_old"), ["seed", "vid"], "left").where("_old is null or dist < _old").select("seed", "vid", "dist"))
+        state = cut_in_loop(state.join(front.select("seed", "vid"), ["seed", "vid"], "left_anti").union(front))
+    free = len(_ball(len(meta.axes), budget))
+    return state.groupBy("seed").agg(F.count("*").alias("volume")).select("seed", "volume", F.lit(free).alias("free"), (F.col("volume") / free).alias("density"))
+
+
+def _ball(dims: int, budget: float) -> set[tuple[int, ...]]:
+    """Offsets that free steps to all neighbours reach within a budget: as many diagonal steps as possible, longest first."""
+    from itertools import product
+
+    reach, out = int(budget), set()
+    for o in product(range(-reach, reach + 1), repeat=dims):
+        sizes = sorted(map(abs, o), reverse=True) + [0] * (3 - dims)
+        if sizes[2] * 3 ** 0.5 + (sizes[1] - sizes[2]) * 2 ** 0.5 + (sizes[0] - sizes[1]) <= budget + 1e-9:
+            out.add(o)
+    return out
