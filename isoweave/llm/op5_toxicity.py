@@ -64,8 +64,8 @@ GATES = [
     [*"*@#$!", "1d10t", "m0ron", "l0ser", "tr4sh", "stup"], ["piece of ", "full of "],
 ]
 COMPILED = [(re.compile(p), g) for p, g in zip(PATTERNS, GATES, strict=True)]
-#: tokens between spaces whose features a task remembers
-WORDS = 1 << 17
+#: tokens between spaces whose features a task remembers; letters by which a word is told apart, marks around a word
+WORDS, HEAD, MARKS = 1 << 17, min(PREFIXES), ".,;:!?()[]\"'"
 
 
 def tokens(text: str | None) -> set[str]:
@@ -85,6 +85,7 @@ class Lexer:
 
     def __init__(self, names):
         self.names, self.known = frozenset(names), {}
+        self.heads = {n.rstrip("-")[:HEAD] for n in names}  # no stem is shorter, so a word that begins otherwise has no feature
 
     def __call__(self, text: str | None) -> set[str]:
         out: set[str] = set()
@@ -93,7 +94,9 @@ class Lexer:
             if found is None:
                 if len(self.known) >= WORDS:
                     self.known.clear()
-                found = self.known[w] = tuple(features(tokens(w)) & self.names)
+                bare = w.strip(MARKS)
+                plain = bare.isalpha() and bare[:HEAD] not in self.heads
+                found = self.known[w] = () if plain else tuple(features(tokens(w)) & self.names)
             if found:
                 out.update(found)
         return out
