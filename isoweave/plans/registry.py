@@ -744,6 +744,89 @@ def l2_filtered(spark: SparkSession, d: str) -> DataFrame:
     return M.filtered_arcs(arcs, nodes, low=low).select("lower", "upper", "lower_value", "upper_value")
 
 
+#: cells with their highest vertex, lowest vertex, dimension and boundary class
+OWNED = f"""{CELL}, owned as (select c.cid, cx % 2 + cy % 2 as dim, cast(cx in (0, 90) as int) + cast(cy in (0, 98) as int) as bnd, arg_max(lq.vid, (lq.v, lq.vid)) as vmax, arg_max(lq.vid, (-lq.v, lq.vid)) as gmax
+    from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by c.cid, cx, cy)"""
+
+
+def _split(grad: DataFrame, classes: DataFrame) -> DataFrame:
+    """(owner, label, n_cells, euler, crossings): each class of each star, the alternating sum of its critical cells, and pairs that leave it."""
+    other = classes.select(F.col("cid").alias("pair_cid"), F.col("label").alias("_other"))
+    met = grad.join(classes, "cid").join(other, "pair_cid")
+    sign = F.when(F.col("dim") % 2 == 0, 1).otherwise(-1)
+    return met.groupBy("owner", "label").agg(F.count("*").alias("n_cells"), F.coalesce(F.sum(F.when(F.col("is_critical"), sign)), F.lit(0)).alias("euler"), F.sum((F.col("label") != F.col("_other")).cast("int")).alias("crossings"))
+
+
+@query("d6_label_gradient", f"""with recursive {PEAKS}, {OWNED}, seen as (select c.cid, count(distinct p.label) > 1 as wide from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) join peak p using (vid) group by 1)
+    select vmax as owner, cast(wide as int) * 4 + bnd as label, count(*) as n_cells, cast(sum(case when dim = 1 then -1 else 1 end) as bigint) as euler, 0 as crossings from owned join seen using (cid) group by 1, 2""")
+def d6_label_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """The gradient that keeps apart the cells on the borders of the peak regions and those inside; sums of critical cells by class."""
+    field = cut(raster.lineitem_field(spark, d))
+    cells = G.cells(spark, raster.LQ)
+    wide = cut(regions.boundary_map(cut(regions.basins(field, raster.LQ)), cells, raster.LQ).select("cid", (F.col("n_labels") > 1).cast("int").alias("label")))
+    grad = D.by_labels(field, wide, raster.LQ)
+    return _split(grad, wide.join(cells.select("cid", "bnd"), "cid").select("cid", (F.col("label") * 4 + F.col("bnd")).alias("label")))
+
+
+@query("d7_two_fields", f"with {LQ}, {OWNED} select vmax as owner, gmax as label, count(*) as n_cells, cast(sum(case when dim = 1 then -1 else 1 end) as bigint) as euler, 0 as crossings from owned group by 1, 2")
+def d7_two_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The gradient of the field and its negative at once; sums of critical cells by class."""
+    field = cut(raster.lineitem_field(spark, d))
+    other = cut(C.negate(field))
+    classes = G.cell_extremes(G.cells(spark, raster.LQ).select("cid"), other, raster.LQ).select("cid", F.col("vmax").alias("label"))
+    return _split(D.by_second_field(field, other, raster.LQ), classes)
+
+
+@query("d11_ascending_dimensions", f"with recursive {LQ}, {S.COMPLEX}, {S.LINES}, marked as (select distinct cid from line where dim = 1) select g.cid, cast(case when g.is_critical and g.dim = 2 then 0 when m.cid is not null then 1 else 2 end as int) as asc_dim from grad g left join marked m using (cid)")
+def d11_ascending(spark: SparkSession, d: str) -> DataFrame:
+    return D.ascending_dimensions(_gradient(spark, d)[1], raster.LQ)
+
+
+@query("d13_loops", f"""with recursive {LQ}, {NEAR}, best as (select vid, nvid, row_number() over (partition by vid order by nv desc, nvid desc) as r from near), ptr as (select vid, nvid as next from best where r = 1),
+    ring as (select p.vid, least(p.vid, p.next) as loop from ptr p join ptr q on q.vid = p.next and q.next = p.vid),
+    walk(vid, spot) as (select vid, vid from ptr union select w.vid, p.next from walk w join ptr p on p.vid = w.spot where w.spot not in (select vid from ring))
+    select w.vid as id, r.loop, w.vid in (select vid from ring) as on_loop from walk w join ring r on r.vid = w.spot""")
+def d13_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample pointing to its highest neighbour: all chains run into pairs that point to each other."""
+    near = G.neighbours(raster.lineitem_field(spark, d), raster.LQ)
+    best = near.groupBy("vid").agg(F.max(G.order_of("nvalue", "nvid"))["i"].alias("next"))
+    return iterate.loops(best.select(F.col("vid").alias("id"), "next"))
+
+
+@query("r19_restricted_regions", f"""with recursive {LQ}, {CELL}, value as (select c.cid, c.cx, c.cy, max(lq.v) as v from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) where c.cx % 2 + c.cy % 2 = 1 group by 1, 2, 3),
+    e as (select * from value where v > (select avg(v) from lq)),
+    link as (select a.cid, b.cid as ncid, row_number() over (partition by a.cid order by b.v desc, b.cid desc) as r from e a join e b on a.cid <> b.cid and (b.v, b.cid) > (a.v, a.cid) and
+        ((abs(a.cx - b.cx) = 1 and abs(a.cy - b.cy) = 1) or (a.cx = b.cx and abs(a.cy - b.cy) = 2 and a.cx % 2 = 1) or (a.cy = b.cy and abs(a.cx - b.cx) = 2 and a.cy % 2 = 1))),
+    up as (select e.cid, coalesce(l.ncid, e.cid) as next from e left join link l on l.cid = e.cid and l.r = 1),
+    walk(cid, spot) as (select cid, cid from up union select w.cid, u.next from walk w join up u on u.cid = w.spot) select w.cid, w.spot as label from walk w join up u on u.cid = w.spot and u.next = u.cid""")
+def r19_restricted(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of the edges above the mean, grown inside these edges alone."""
+    field = cut(raster.lineitem_field(spark, d))
+    mean = field.agg(F.avg("value").alias("mean"))
+    found = G.cell_extremes(G.cells(spark, raster.LQ, [1]), field, raster.LQ).select("cid", F.col("max_value").alias("value"))
+    return regions.restricted_regions(found.join(F.broadcast(mean), F.col("value") > F.col("mean")).select("cid", "value"), raster.LQ)  # one row
+
+
+@query("l7_region_graph", f"with recursive {PEAKS}, s as (select label, count(*) as area from peak group by 1), b as (select a.label as label1, b.label as label2, count(*) as n_edges from near n join peak a on a.vid = n.vid join peak b on b.vid = n.nvid where a.label < b.label group by 1, 2) select label1, label2, n_edges, p.area as area1, q.area as area2 from b join s p on p.label = label1 join s q on q.label = label2")
+def l7_region_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The peak regions as a graph: each two with a common border, its length and both areas."""
+    areas, edges, _ = regions.region_graph(cut(regions.basins(raster.lineitem_field(spark, d), raster.LQ)), raster.LQ)
+    for i in (1, 2):
+        edges = edges.join(areas.select(F.col("label").alias(f"label{i}"), F.col("area").alias(f"area{i}")), f"label{i}")
+    return edges.select("label1", "label2", "n_edges", "area1", "area2")
+
+
+@query("p14_geodesic_density", f"""with recursive {LQ}, m as (select avg(v)::double as mean from lq), open as (select vid, x, y, v::double as v from lq, m where v > mean / 2),
+    step as (select a.vid, b.vid as nvid, sqrt(abs(a.x - b.x) + abs(a.y - b.y)) * (1 + (mean - least(a.v, b.v, mean)) / (mean / 2)) as cost from open a join open b on greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 cross join m),
+    walk(seed, vid, dist) as (select vid, vid, 0::double from open where vid % 23 = 0 union all select w.seed, s.nvid, w.dist + s.cost from walk w join step s on s.vid = w.vid where w.dist + s.cost <= 3.0)
+    select seed, count(distinct vid) as volume, 29 as free, count(distinct vid) / 29.0::double as density from walk group by seed""")
+def p14_density(spark: SparkSession, d: str) -> DataFrame:
+    """How much a walk of length 3 reaches through samples over half the mean, slowed down under the mean."""
+    field = cut(raster.lineitem_field(spark, d))
+    mean = float(field.agg(F.avg("value")).first()[0])  # one number
+    return regions.geodesic_density(field.where("vid % 23 = 0").select("vid"), field, raster.LQ, 3.0, mean / 2, mean)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 
