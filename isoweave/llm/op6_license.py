@@ -230,11 +230,13 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     gate = F.lit(False)
     for k in keys:
         gate = gate | F.contains(words, F.lit(k))
-    candidates = F.filter(every, lambda r: F.contains(words, r["keyword"]))
+    # keywords that occur, once for all rules that they gate; read twice below, so that it stays a column of its own
+    present = F.when(gate, F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(words, k))).otherwise(F.expr("cast(array() as array<string>)"))
+    candidates = F.filter(every, lambda r: F.array_contains("_present", r["keyword"]))
     found = F.flatten(F.transform(candidates, lambda r: _intervals(words, r)))
     empty = F.expr("cast(array() as array<struct<start:int,stop:int,priority:int,rule:int,label:string>>)")
-    out = df.withColumn("_words", _spaced(F.col(text)))
-    out = out.withColumn("_detections", F.when(gate, _kept(found)).otherwise(empty))
+    out = df.withColumn("_words", _spaced(F.col(text))).withColumn("_present", present)
+    out = out.withColumn("_detections", F.when(F.size("_present") > 0, _kept(found)).otherwise(empty))
     places = [_n_places(words, p) for p in BASE]
     firsts, lasts = [_first_place(words, p) for p in BASE], [_last_place(words, p) for p in BASE]
     base = F.array_compact(F.array(*[F.when(F.contains(words, F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()]))
