@@ -16,24 +16,28 @@ from isoweave.runtime import cut_in_loop
 def arc_geometry(grad: DataFrame, meta: GridMeta, up: bool = False) -> DataFrame:
     """(sid, side, pos, cid): the cells of each arc from its saddle to the extremum, 1-saddles to minima or top saddles to maxima.
 
-    All arcs advance together, one pair of cells a round, so there are as many rounds as the longest path has steps; only the
-    tips move.  A path that leaves the grid ends at its last cell.
+    Every cell of a path is reached by jumps of 1, 2, 4, ... steps that double each round, so there are as many rounds as the longest
+    path's length has binary digits.  A path that leaves the grid ends at its last cell.
     """
     top = len(meta.axes)
     pointers = (M._up if up else M._down)(grad, meta).join(grad.select(F.col("cid").alias("id"), F.col("pair_cid").alias("via")), "id")
-    pointers = cut_in_loop(pointers.select("id", "via", "next"))
+    pointers = cut_in_loop(pointers.where("next != id").select("id", "via", "next"))
     saddles = grad.where(F.col("is_critical") & (F.col("dim") == (top - 1 if up else 1))).select(F.col("cid").alias("sid"), "cid")
     first = (G.cofacets(saddles, meta, name="tip") if up else G.facets(saddles, meta, name="tip")).select("sid", "tip")
     # both sides of a saddle may lead to the same cell only across a period, so the tip tells the sides apart
-    front = cut_in_loop(first.select("sid", F.col("tip").alias("side"), F.lit(1).cast("long").alias("pos"), "tip"))
-    out = front.select("sid", "side", F.lit(0).cast("long").alias("pos"), F.col("sid").alias("cid")).union(front.select("sid", "side", "pos", F.col("tip").alias("cid")))
-    while not front.isEmpty():
-        moved = front.join(pointers, front["tip"] == pointers["id"]).where("next != id")
-        moved = cut_in_loop(moved.select("sid", "side", "pos", "via", "next"))
-        inside = moved.where("next >= 0")
-        out = out.union(moved.select("sid", "side", F.col("pos") + 1, F.col("via"))).union(inside.select("sid", "side", F.col("pos") + 2, F.col("next")))
-        front = inside.select("sid", "side", (F.col("pos") + 2).alias("pos"), F.col("next").alias("tip"))
-    return out
+    known = cut_in_loop(first.select("sid", F.col("tip").alias("side"), F.lit(0).cast("long").alias("n"), "tip"))
+    saddle = known.select("sid", "side", F.lit(0).cast("long").alias("pos"), F.col("sid").alias("cid"))
+    jump, step = pointers.where("next >= 0").select("id", "next"), 1
+    while True:
+        more = cut_in_loop(known.join(jump, known["tip"] == jump["id"]).select("sid", "side", (F.col("n") + step).alias("n"), F.col("next").alias("tip")))
+        if more.isEmpty():
+            break
+        known = cut_in_loop(known.union(more))
+        further = jump.select(F.col("id").alias("next"), F.col("next").alias("_to"))
+        jump, step = cut_in_loop(jump.join(further, "next").select("id", F.col("_to").alias("next"))), 2 * step
+    tips = known.select("sid", "side", (2 * F.col("n") + 1).alias("pos"), F.col("tip").alias("cid"))
+    between = known.join(pointers, known["tip"] == pointers["id"]).select("sid", "side", (2 * F.col("n") + 2).alias("pos"), F.col("via").alias("cid"))
+    return saddle.union(tips).union(between)
 
 
 def manifold(labels: DataFrame, extrema: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ root as (select vid, k, src, via from (select *, row_number() over (partition by
 steep as (select vid, k, cid from (select *, row_number() over (partition by vid order by low) as n from e) where n = 1),
 edge_pair as (select e.vid, e.cid, case when root.src = e.k then case when s.k = e.k then a.x * 2 + 91 * a.y * 2 else e.cid end else root.via end as pair_cid
     from e join root on root.vid = e.vid and root.k = e.k join steep s on s.vid = e.vid join ranked a on a.vid = e.vid),
-grad as (select a.x * 2 + 91 * a.y * 2 as cid, 0 as dim, coalesce(s.cid, a.x * 2 + 91 * a.y * 2) as pair_cid, s.cid is null as is_critical, a.vid as owner from ranked a left join steep s on s.vid = a.vid
+grad as materialized (select a.x * 2 + 91 * a.y * 2 as cid, 0 as dim, coalesce(s.cid, a.x * 2 + 91 * a.y * 2) as pair_cid, s.cid is null as is_critical, a.vid as owner from ranked a left join steep s on s.vid = a.vid
     union all select cid, 1, pair_cid, cid = pair_cid, vid from edge_pair
     union all select q.cid, 2, case when q.spare then q.cid else p.cid end, q.spare, q.vid from q left join edge_pair p on p.pair_cid = q.cid)
 """

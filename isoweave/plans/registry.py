@@ -13,7 +13,7 @@ from isoweave.operators import complex as M
 from isoweave.operators import geometry as L
 from isoweave.operators import gradient as D
 from isoweave.operators import hierarchy as H
-from isoweave.operators import iterate, lines, merged, regions
+from isoweave.operators import advect, features, iterate, lines, merged, regions, surfaces
 from isoweave.plans import complex_sql as S
 from isoweave.runtime import cut, table
 from isoweave.sources import raster
@@ -107,9 +107,12 @@ def f4_sobel(spark: SparkSession, d: str) -> DataFrame:
     return C.convolve(raster.lineitem_field(spark, d), raster.LQ, C.kernel("sobel_x"))
 
 
-@query("f4_gauss")
+GAUSS = _kernel_sql([(*o, repr(w)) for o, w in C.kernel("gauss", 5)]).replace("cast(sum(k.w * b.v) as double)", "round(sum(k.w::double * b.v), 2)")
+
+
+@query("f4_gauss", GAUSS)
 def f4_gauss(spark: SparkSession, d: str) -> DataFrame:
-    return C.convolve(raster.lineitem_field(spark, d), raster.LQ, C.kernel("gauss", 5))
+    return C.convolve(raster.lineitem_field(spark, d), raster.LQ, C.kernel("gauss", 5)).select("vid", F.round("value", 2).alias("value"))
 
 
 @query("g19_range", f"with {LQ} select min(v) as low, max(v) as high, max(v) - min(v) as range from lq")
@@ -672,10 +675,13 @@ def _complex(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut(M.nodes(grad, field, raster.LQ)), cut(M.arcs(grad, field, raster.LQ))
 
 
-@query("d12_violations", f"with recursive {LQ}, {S.GRAD} select a.* from grad a left join grad b on b.cid = a.pair_cid where not coalesce(case when a.is_critical then a.pair_cid = a.cid else b.pair_cid = a.cid and abs(a.dim - b.dim) = 1 end, false)")
+@query("d12_violations", f"with recursive {LQ}, {S.GRAD} select a.dim, count(*) as n_cells, cast(sum(cast(a.is_critical as int)) as bigint) as n_critical, cast(sum(case when coalesce(case when a.is_critical then a.pair_cid = a.cid else b.pair_cid = a.cid and abs(a.dim - b.dim) = 1 end, false) then 0 else 1 end) as bigint) as n_wrong from grad a left join grad b on b.cid = a.pair_cid group by a.dim")
 def d12_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Cells, critical cells and cells with a wrong partner, by dimension."""
     grad = _gradient(spark, d)[1]
-    return D.violations(grad).select(*grad.columns)
+    wrong = D.violations(grad).groupBy("dim").agg(F.count("*").alias("n_wrong"))
+    every = grad.groupBy("dim").agg(F.count("*").alias("n_cells"), F.sum(F.col("is_critical").cast("long")).alias("n_critical"))
+    return every.join(wrong, "dim", "left").fillna(0, ["n_wrong"])
 
 
 @query("d14_critical_counts", f"with recursive {LQ}, {S.GRAD}, {S.NODES} select dim, bnd, count(*) as n from nodes group by dim, bnd")
@@ -827,6 +833,184 @@ def p14_density(spark: SparkSession, d: str) -> DataFrame:
     return regions.geodesic_density(field.where("vid % 23 = 0").select("vid"), field, raster.LQ, 3.0, mean / 2, mean)
 
 
+VALUE = "value as (select c.cid, c.cx, c.cy, max(lq.v) as v, avg(lq.v) as mean, count(*) as n, cast(sum(lq.v) as bigint) as total from cell c join lq on lq.x in (c.cx // 2, (c.cx + 1) // 2) and lq.y in (c.cy // 2, (c.cy + 1) // 2) group by 1, 2, 3)"
+
+
+@query("g13_cell_vertices", f"with {LQ}, {CELL}, {VALUE} select cid, n, total, round(mean, 2) as mean from value")
+def g13_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """The vertices of every cell: their number, sum and mean."""
+    met = G.cell_vertices(G.cells(spark, raster.LQ).select("cid"), raster.LQ).join(raster.lineitem_field(spark, d).select("vid", "value"), "vid")
+    return met.groupBy("cid").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.round(F.avg("value"), 2).alias("mean"))
+
+
+@query("f5_magnitude", f"""with {LQ}, k(dx, dy, w) as (values {", ".join(f"({x}, {y}, {x * (2 - abs(y))})" for x in (-1, 1) for y in (-1, 0, 1))}),
+    s as (select a.vid, sum(k.w * b.v) as gx, sum(k.w * c.v) as gy from lq a cross join k join lq b on b.x = least(greatest(a.x + k.dx, 0), 45) and b.y = least(greatest(a.y + k.dy, 0), 49)
+    join lq c on c.x = least(greatest(a.x + k.dy, 0), 45) and c.y = least(greatest(a.y + k.dx, 0), 49) group by a.vid) select vid, round(sqrt(gx::double * gx::double + gy::double * gy::double), 1) as value from s""")
+def f5_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    return C.magnitude(raster.lineitem_field(spark, d), raster.LQ).select("vid", F.round("value", 1).alias("value"))
+
+
+@query("f8_weighed", f"""with {LQ}, n as (select vid, v, (v - min(v) over ())::double / (max(v) over () - min(v) over ()) as s from lq) select vid, round(sqrt(s), 6) as root, round(pow(s, 2) * (s + 0.001), 6) as value from n""")
+def f8_weighed(spark: SparkSession, d: str) -> DataFrame:
+    """The scaled field remapped by a gamma, and weighed by its own square."""
+    field = cut(raster.lineitem_field(spark, d).withColumn("value", F.col("value").cast("double")))
+    scaled = cut(C.normalised(field))
+    square = scaled.withColumn("value", C.remap(F.col("value"), 2.0))
+    both = C.sample(scaled.select("vid", C.remap(F.col("value"), 0.5).alias("root")), {"weighed": C.weigh(square, field)})
+    return both.select("vid", F.round("root", 6).alias("root"), F.round("weighed", 6).alias("value"))
+
+
+@query("d8_masked_minima", f"with {LQ}, {NEAR}, m as (select vid, v from lq where v > (select avg(v) from lq)) select m.vid % 46 * 2 + m.vid // 46 * 2 * 91 as cid from m where not exists (select 1 from near n join m o on o.vid = n.nvid where n.vid = m.vid and (n.nv, n.nvid) < (m.v, m.vid))")
+def d8_masked_minima(spark: SparkSession, d: str) -> DataFrame:
+    """The minima of the gradient inside the samples above the mean."""
+    field, mask = _mask(spark, d)
+    return D.restricted(field, mask, raster.LQ).where("is_critical and dim = 0").select("cid")
+
+
+@query("r13_certain_regions", f"""with recursive {PEAKS}, climb(vid, spot) as (select vid, vid from lq union select c.vid, n.nvid from climb c join near n on n.vid = c.spot where (n.nv, n.nvid) > (n.v, n.vid)),
+    tops as (select c.vid, count(distinct p.label) as n, min(p.label) as label from climb c join peak p on p.vid = c.spot and p.label = c.spot group by 1) select vid, label from tops where n = 1""")
+def r13_certain(spark: SparkSession, d: str) -> DataFrame:
+    """Samples from which every rising path, steepest or not, ends at the same peak."""
+    return regions.certain_regions(cut(raster.lineitem_field(spark, d)), raster.LQ)
+
+
+@query("r16_blobs", f"with recursive {PEAKS}, big as (select vid from lq where v > (select 2 * avg(v) from lq)) select peak.vid, peak.label from peak join lq using (vid) where v > 0 and peak.label in (select vid from big)")
+def r16_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Samples over 0 in the regions of the peaks above twice the mean."""
+    field = cut(raster.lineitem_field(spark, d))
+    mean = field.agg(F.avg("value").alias("mean"))
+    high = field.join(F.broadcast(mean), F.col("value") > 2 * F.col("mean")).select("vid")  # one row
+    return L.blobs(regions.basins(field, raster.LQ), field, high, raster.LQ)
+
+
+JOINED = "joined as (select lower as sid, min(upper) as e1, max(upper) as e2 from arcs where dim = 1 group by 1 having min(upper) <> max(upper))"
+
+
+@query("l16_ligaments", f"with recursive {LQ}, {S.COMPLEX}, {JOINED} select e1, e2, sid, value as svalue from joined join nodes on nid = sid where value >= (select avg(v) from lq)")
+def l16_ligaments(spark: SparkSession, d: str) -> DataFrame:
+    nodes, arcs = _complex(spark, d)
+    mean = float(raster.lineitem_field(spark, d).agg(F.avg("value")).first()[0])  # one number
+    return M.ligaments(arcs, nodes, raster.LQ, mean)
+
+
+@query("l21_ligament_lines", f"""with recursive {LQ}, {S.COMPLEX}, {JOINED}, {S.LINES}, fin as (select sid, side, max(pos) as top, arg_max(cid, pos) as peak from line where dim = 1 group by 1, 2),
+    walk as (select j.sid, e1, e2, case when f.peak = e1 then l.pos * -1 else l.pos end as spot, l.cid from joined j join fin f on f.sid = j.sid join line l on l.dim = 1 and l.sid = f.sid and l.side = f.side where f.peak in (e1, e2) and not (f.peak = e2 and l.pos = 0))
+    select sid, e1, e2, row_number() over (partition by sid order by spot) - 1 as pos, cid from walk""")
+def l21_ligament_lines(spark: SparkSession, d: str) -> DataFrame:
+    """From maximum to maximum over each saddle between two of them."""
+    grad, (nodes, _) = _gradient(spark, d)[1], _complex(spark, d)
+    return features.ligament_lines(cut(merged.base_lines(grad, raster.LQ)), nodes, raster.LQ)
+
+
+@query("l18_voids", f"with recursive {LQ}, {S.COMPLEX} select n.nid, count(distinct b.upper) as n_maxima from nodes n join arcs a on a.lower = n.nid and a.dim = 0 join arcs b on b.lower = a.upper and b.dim = 1 where n.dim = 0 and n.bnd = 0 group by 1")
+def l18_voids(spark: SparkSession, d: str) -> DataFrame:
+    """Inner minima and the number of maxima around them."""
+    nodes, arcs = _complex(spark, d)
+    return features.voids(arcs, nodes, raster.LQ).select("nid", "n_maxima")
+
+
+@query("l8_ridge_graph", f"""with recursive {LQ}, {S.COMPLEX}, {S.LINES}, {SOUP.replace("line where dim = 0", "line where dim = 1")}, tips as (select edge_id, b from met join chain on chain.cid = a where b not in (select cid from inner_cell))
+    select edge_id as line_id, min(b) as vertex1, max(b) as vertex2, any_value(n_cells) as n_cells from tips join (select edge_id, count(*) as n_cells from chain group by 1) using (edge_id) group by 1""")
+def l8_ridge_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the ridge lines' graph, as ordered lines between two vertices."""
+    soup = L.line_soup(L.arc_geometry(_gradient(spark, d)[1], raster.LQ, up=True))
+    return features.ridge_graph(cut(soup), raster.LQ)[1].where("line_id >= 0").select("line_id", "vertex1", "vertex2", "n_cells")
+
+
+@query("l9_line_graph", f"with recursive {LQ}, {S.COMPLEX}, {JOINED}, tips as (select e1 as vertex, sid from joined union select e2, sid from joined) select a.vertex, a.sid as line1, b.sid as line2 from tips a join tips b on b.vertex = a.vertex and a.sid < b.sid union all select vertex, min(sid), -1 from tips group by 1 having count(*) = 1")
+def l9_line_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Ridges that share a maximum."""
+    nodes, arcs = _complex(spark, d)
+    return lines.line_graph(M.extremum_graph(arcs, nodes, raster.LQ).select(F.col("sid").alias("line_id"), F.col("e1").alias("vertex1"), F.col("e2").alias("vertex2")))
+
+
+@query("l10_line_ends", f"with recursive {LQ}, {S.COMPLEX}, {JOINED} select sid as line_id, e1 as vertex1, e2 as vertex2 from joined")
+def l10_line_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The ridges' ends again, from their line graph."""
+    return L.line_saddle_ends(l9_line_graph(spark, d))
+
+
+@query("l13_set_to_set", f"""with recursive {LQ}, {NEAR}, {S.nearest('select vid from lq where vid % 97 = 0')}, goal as (select vertex from nearest where vertex % 89 = 1 and dist = (select max(dist) from nearest where vertex % 89 = 1) order by vertex limit 1),
+    back(vertex, hop) as (select vertex, 0 from goal union all select n.prev, hop + 1 from back b join nearest n using (vertex) where n.prev is not null) select (select max(hop) from back) - hop as pos, vertex, dist from back join nearest using (vertex)""")
+def l13_set_to_set(spark: SparkSession, d: str) -> DataFrame:
+    """The path from a set of samples to the one of another set that is farthest from it."""
+    edges = _graph(spark, d)
+    sources = edges.select(F.col("src").alias("vertex")).where("vertex % 97 = 0").distinct()
+    far = iterate.nearest_source(edges, sources).where("vertex % 89 = 1").orderBy(F.desc("dist"), "vertex").limit(1).select("vertex")
+    return iterate.shortest_path(edges, sources, cut(far))
+
+
+@query("l17_apart", """with p as (select p_partkey % 7 as line_id, p_partkey as pos, p_size as x, round(p_retailprice) as y from part) select line_id, pos from p a where not exists (select 1 from p b where b.line_id <> a.line_id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1)""")
+def l17_apart(spark: SparkSession, d: str) -> DataFrame:
+    """Points without a point of another line within one."""
+    points = table(spark, d, "part").select((F.col("p_partkey") % 7).alias("line_id"), F.col("p_partkey").alias("pos"), F.col("p_size").cast("double").alias("x"), F.round("p_retailprice").alias("y"), F.lit(0.0).alias("z"))
+    return lines.apart(points, 1.0).select("line_id", "pos")
+
+
+@query("i4_digitised", f"""with {PL}, b as (select line_id, pos, least(floor(least(greatest(x / 24, 0), 39)), 38) as bx, least(floor(least(greatest(y / 10 + 20, 0), 39)), 38) as b_y from pl),
+    s as (select *, coalesce(abs(bx - lag(bx) over w) + abs(b_y - lag(b_y) over w), 0) as n from b window w as (partition by line_id order by pos)) select line_id, cast(1 + 2 * sum(n) as bigint) as n_cells, cast(arg_max(2 * bx + 1 + 79 * (2 * b_y + 1), pos) as bigint) as last from s group by 1""")
+def i4_digitised(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that the users' lines pass through on a grid of 40 x 40 samples: their number and the last one."""
+    at = _lines(spark, d).select(F.col("line_id").alias("pid"), F.col("pos").alias("step"), (F.col("x") / 24).alias("px"), (F.col("y") / 10 + 20).alias("py"))
+    return advect.digitised(at, G.GridMeta(40, 40)).groupBy(F.col("pid").alias("line_id")).agg(F.count("*").alias("n_cells"), F.max_by("cid", "pos").alias("last"))
+
+
+@query("i2_labels")
+def i2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The certain regions of the peaks, and where the integral lines of the other samples end."""
+    field = cut(raster.lineitem_field(spark, d))
+    return advect.integration_labels(field, cut(regions.certain_regions(field, raster.LQ)), raster.LQ, steps=3, rounds=2)
+
+
+@query("m28_descriptions", f"with recursive {LQ}, {S.GRAD}, {S.NODES}, {CELL}, {VALUE} select nid, case when dim = 0 then nid % 91 // 2 + nid // 91 // 2 * 46 end as vid, dim, bnd, x, y, round(mean, 2) as value from nodes join value using (cid)")
+def m28_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Grid id, dimension, boundary class, position and interpolated value of every critical cell."""
+    field, grad = _gradient(spark, d)
+    found = features.described(grad.where("is_critical").select(F.col("cid").alias("nid")), raster.LQ, field, "nid")
+    return found.select("nid", "vid", "dim", "bnd", "x", "y", F.round("value", 2).alias("value"))
+
+
+#: the volume of lineitem's counts and the peaks of its steepest paths
+VOLUME = """raw as (select date_diff('day', date '1992-01-01', cast(l_shipdate as date)) // 112 - 9 as x, (cast(l_quantity as bigint) - 1) // 5 as y, cast(round(l_discount * 100) as bigint) as z, count(*) as v from lineitem group by 1, 2, 3),
+lqd as (select g as vid, g % 24 as x, g // 24 % 10 as y, g // 240 as z, coalesce(v, 0) as v from range(2640) t(g) left join raw on raw.x = g % 24 and raw.y = g // 24 % 10 and raw.z = g // 240),
+near3 as (select a.vid, a.v, b.vid as nvid, b.v as nv, a.x, a.y, a.z, b.x as bx, b.y as b_y, b.z as bz from lqd a join lqd b on abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
+ptr3 as (select vid, case when (max(struct_pack(v := nv, i := nvid))) > struct_pack(v := any_value(v), i := vid) then max(struct_pack(v := nv, i := nvid)).i else vid end as next from near3 group by vid),
+walk3(vid, top) as (select vid, vid from ptr3 union select w.vid, p.next from walk3 w join ptr3 p on p.vid = w.top),
+peak3 as (select w.vid, w.top as label from walk3 w join ptr3 p on p.vid = w.top and p.next = p.vid)"""
+
+
+@query("l20_surfaces", f"""with recursive {VOLUME} select least(p.label, q.label) as label1, greatest(p.label, q.label) as label2, count(*) as n_quads from near3 n join peak3 p on p.vid = n.vid join peak3 q on q.vid = n.nvid
+    where n.vid < n.nvid and p.label <> q.label and (n.x <> n.bx or n.x between 1 and 22) and (n.y <> n.b_y or n.y between 1 and 8) and (n.z <> n.bz or n.z between 1 and 9) group by 1, 2""")
+def l20_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """The surfaces between the peak regions of the volume, and the number of their quads."""
+    labels = cut(regions.basins(raster.lineitem_volume(spark, d), raster.LQD))
+    return surfaces.separating_surfaces(labels, raster.LQD, times=1).select("label1", "label2", "n_quads")
+
+
+#: a grid that grows with the table: users by six-hour periods, the users' cents as values
+USERS = """size as (select max(user_id) + 1 as nx from events), rawu as (select user_id as x, date_diff('second', timestamp '2024-01-01', ts) // 21600 as y, cast(sum(cast(round(value * 100) as bigint)) as bigint) as v from events group by 1, 2),
+us as (select g as vid, nx, g % nx as x, g // nx as y, coalesce(v, 0) as v from (select unnest(range(nx * 120)) as g, nx from size) left join rawu on rawu.x = g % nx and rawu.y = g // nx),
+nearu as (select a.vid, a.v, a.nx, b.vid as nvid, b.v as nv from us a join us b on b.vid = a.vid + 1 and a.x + 1 < a.nx union all select b.vid, b.v, b.nx, a.vid, a.v from us a join us b on b.vid = a.vid + 1 and a.x + 1 < a.nx
+    union all select a.vid, a.v, a.nx, b.vid, b.v from us a join us b on b.vid = a.vid + a.nx union all select b.vid, b.v, b.nx, a.vid, a.v from us a join us b on b.vid = a.vid + a.nx)"""
+
+
+@query("d4_users_minima", f"with {USERS} select vid % nx * 2 + vid // nx * 2 * (2 * nx - 1) as cid, vid as owner from nearu group by vid, nx having max(cast((nv, nvid) < (v, vid) as int)) = 0")
+def d4_users_minima(spark: SparkSession, d: str) -> DataFrame:
+    """Minima of the discrete gradient on the grid of users and periods, whose tiles grow in number with the users."""
+    field, meta = raster.user_field(spark, d)
+    return D.discrete_gradient(field, meta).where("is_critical and dim = 0").select("cid", "owner")
+
+
+@query("r8_users_peaks", f"""with recursive {USERS}, best as (select vid, max(struct_pack(v := nv, i := nvid)) as b, max(struct_pack(v := v, i := vid)) as own from nearu group by vid), ptr as (select vid, case when b > own then b.i else vid end as next from best),
+    walk(vid, top) as (select vid, vid from ptr union select w.vid, p.next from walk w join ptr p on p.vid = w.top), peak as (select w.vid, w.top as label from walk w join ptr p on p.vid = w.top and p.next = p.vid)
+    select label, count(*) as n_cells, cast(sum(v) as bigint) as total from peak join us using (vid) group by label""")
+def r8_users_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Cells and cents of every peak region of the users' grid."""
+    field, meta = raster.user_field(spark, d)
+    field = cut(field)
+    return regions.basins(field, meta).join(field, "vid").groupBy("label").agg(F.count("*").alias("n_cells"), F.sum("value").alias("total"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return revenue_by_peak(spark, "/root/testdata/sf0.001")
 

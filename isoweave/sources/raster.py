@@ -94,3 +94,11 @@ def event_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("ts", "user_id", "value").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     return rasterise(df, EV, F.floor(hours / 6), F.col("user_id") % 30, F.sum("cents"))
 
+
+def user_field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GridMeta]:
+    """Value in cents by user and six-hour period; the grid grows with the users."""
+    events = table(spark, sf_dir, "events").select("ts", "user_id", "value").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    users = (events.agg(F.max("user_id")).first()[0] or 0) + 1  # one number
+    hours = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600)
+    meta = GridMeta(users, 120)
+    return rasterise(events, meta, F.col("user_id"), F.floor(hours / 6), F.sum("cents")), meta
