@@ -34,10 +34,11 @@ def _stencil(flat: tuple[bool, ...]) -> tuple[list[tuple[int, ...]], np.ndarray,
     return cells, dims, facet
 
 
-def pair_stars(rank: np.ndarray, own: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair_stars(rank: np.ndarray, own: np.ndarray, classes: np.ndarray | None = None, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(in_star, partner, critical) for each vertex of ``own`` (index triples) and each star cell.
 
     ``classes`` has a number for each star cell and, last, the vertex: a cell then only pairs with a cell of its own class.
+    ``chosen`` has the edge that each vertex takes, -1 for none, instead of the steepest one.
 
     ``rank`` is the order of the padded block's samples; missing samples have the largest rank, so cells with one are in no star.
     ``partner`` is a cell number, -1 for the vertex itself, -2 where there is none.
@@ -64,6 +65,8 @@ def pair_stars(rank: np.ndarray, own: np.ndarray, classes: np.ndarray | None = N
         edges = edges & (classes[:, :m] == classes[:, m:])
     first = np.argmin(np.where(edges, order, far), axis=1)
     has = inside[np.arange(n), first] & edges[np.arange(n), first]
+    if chosen is not None:
+        first, has = np.maximum(chosen, 0), chosen >= 0
     partner[has.nonzero()[0], first[has]] = -1
     done[has.nonzero()[0], first[has]] = True
     minimum = ~has
@@ -204,8 +207,9 @@ def _block(pdf: pa.Table, number: int, meta: GridMeta, tile: int, spans: list[in
     return block, ids, corner, size, pad
 
 
-def _star_cells(block: np.ndarray, ids: np.ndarray, corner: list[int], size: list[int], pad: list[int], meta: GridMeta, labels: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
-    """The cells of the inner samples of a block, by their stars; ``labels`` has cell ids in order and their classes (-1 for others)."""
+def _star_cells(block: np.ndarray, ids: np.ndarray, corner: list[int], size: list[int], pad: list[int], meta: GridMeta, labels: tuple[np.ndarray, np.ndarray] | None = None, to: dict[int, int] | None = None) -> pa.Table:
+    """The cells of the inner samples of a block, by their stars; ``labels`` has cell ids in order and their classes (-1 for others), ``to`` the neighbour
+    whose edge a vertex takes."""
     own = np.argwhere(ids >= 0)
     own = own[((own >= np.array(pad)) & (own < np.array(pad) + np.array(size))).all(1)]
     if not len(own):
@@ -218,7 +222,14 @@ def _star_cells(block: np.ndarray, ids: np.ndarray, corner: list[int], size: lis
     if labels is not None:
         at = np.searchsorted(labels[0], names).clip(0, max(0, len(labels[0]) - 1))
         classes = np.where(labels[0][at] == names, labels[1][at], -1) if len(labels[0]) else np.full(names.shape, -1)
-    inside, partner, critical = pair_stars(block, own, classes)
+    chosen = None
+    if to is not None:
+        goal = np.array([to.get(v, -1) for v in ids[tuple(own.T)].tolist()])
+        chosen = np.full(len(own), -1)
+        for c, o in enumerate(cells):
+            if dims[c] == 1:
+                chosen[(goal >= 0) & (ids[tuple((own + np.array(o)).T)] == goal)] = c
+    inside, partner, critical = pair_stars(block, own, classes, chosen)
     m, owner = len(cells), ids[tuple(own.T)]
     rows, cell = inside.nonzero()
     mate = partner[rows, cell]
@@ -273,6 +284,49 @@ def classed_gradient(field: DataFrame, classes: DataFrame, meta: GridMeta, tile:
     return _dealt(field, meta, tile, spans).groupBy("tile").cogroup(told.groupBy("tile")).applyInArrow(run, SCHEMA)
 
 
+def destinations(field: DataFrame, meta: GridMeta) -> tuple[DataFrame, DataFrame]:
+    """(shares, steps): the shares (vid, dest, share) with which each sample flows to the minima, and the neighbour (vid, next) that fits them best.
+
+    A minimum flows to itself.  Any other sample mixes the shares of its lower neighbours by their drops (evenly where all drops are 0), and
+    steps to the neighbour whose shares have the largest dot product with the mix, equal ones (to nine digits) by the order of the field.
+    Samples go in waves, each as soon as all its lower neighbours are done, so there are as many waves as the longest way down has steps.
+    """
+    near = G.neighbours(field, meta).where(G.order_of("nvalue", "nvid") < G.order_of())
+    down = cut_in_loop(near.select("vid", "nvid", "nvalue", (F.col("value") - F.col("nvalue")).cast("double").alias("drop")))
+    total = down.groupBy("vid").agg(F.sum("drop").alias("_sum"), F.count("*").alias("left"))
+    down = cut_in_loop(down.join(total, "vid").select("vid", "nvid", "nvalue", F.when(F.col("_sum") > 0, F.col("drop") / F.col("_sum")).otherwise(1 / F.col("left")).alias("weight")))
+    waiting = cut_in_loop(total.select("vid", "left"))
+    shares = front = cut_in_loop(field.select("vid").join(total, "vid", "left_anti").select("vid", F.col("vid").alias("dest"), F.lit(1.0).alias("share")))
+    steps = field.sparkSession.createDataFrame([], "vid long, next long")
+    while not front.isEmpty():
+        done = down.join(front.select(F.col("vid").alias("nvid")).distinct(), "nvid").groupBy("vid").agg(F.count("*").alias("_n"))
+        waiting = cut_in_loop(waiting.join(done, "vid", "left").select("vid", (F.col("left") - F.coalesce("_n", F.lit(0))).alias("left")))
+        ready = waiting.where("left = 0").select("vid")
+        given = cut_in_loop(down.join(ready, "vid").join(shares.select(F.col("vid").alias("nvid"), "dest", "share"), "nvid"))
+        front = cut_in_loop(given.groupBy("vid", "dest").agg(F.sum(F.col("weight") * F.col("share")).alias("share")))
+        fits = given.join(front.withColumnRenamed("share", "_mix"), ["vid", "dest"]).groupBy("vid", "nvid", "nvalue").agg(F.round(F.sum(F.col("share") * F.col("_mix")), 9).alias("fit"))
+        best = fits.groupBy("vid").agg(F.min(F.struct((-F.col("fit")).alias("f"), "nvalue", "nvid"))["nvid"].alias("next"))
+        steps, shares = steps.union(cut_in_loop(best)), shares.union(front)
+        waiting = waiting.where("left > 0")
+    return shares, steps
+
+
+def convergent_gradient(field: DataFrame, meta: GridMeta, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(gradient, shares): each vertex goes with the edge to the neighbour that ``destinations`` chooses; the rest of its star is paired as ever."""
+    field = cut_in_loop(field.select("vid", "value"))
+    shares, steps = destinations(field, meta)
+    tile, spans = _tiles(meta, tile)
+    sent = _dealt(field, meta, tile, spans).join(cut_in_loop(steps), "vid", "left")
+
+    def run(key: tuple, pdf: pa.Table) -> pa.Table:
+        if not len(pdf):
+            return pa.Table.from_batches([], OUT)
+        to = {v: n for v, n in zip(pdf["vid"].to_pylist(), pdf["next"].to_pylist()) if n is not None}
+        return _star_cells(*_block(pdf, key[0].as_py(), meta, tile, spans), meta, to=to)
+
+    return sent.groupBy("tile").applyInArrow(run, SCHEMA), shares
+
+
 def by_labels(field: DataFrame, labels: DataFrame, meta: GridMeta, tile: int = TILE) -> DataFrame:
     """The gradient that respects a labelling of the cells (cid, label): classes are labels and boundary classes together."""
     bnd = G.boundary_of(G.coordinates(F.col("cid"), meta.mesh), meta, meta.mesh)

@@ -987,6 +987,16 @@ def l20_surfaces(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.separating_surfaces(labels, raster.LQD, times=1).select("label1", "label2", "n_quads")
 
 
+@query("d9_convergent", f"""with {LQ}, {NEAR} select count(distinct vid) as n_samples, cast(count(distinct vid) filter (vid not in (select vid from near where (nv, nvid) < (v, vid))) as bigint) as n_minima, cast(count(distinct vid) as double) as shares, 1 as euler, 0 as n_wrong from lq""")
+def d9_convergent(spark: SparkSession, d: str) -> DataFrame:
+    """The gradient by the shares of destinations: samples, minima, the sum of all shares, the alternating sum of critical cells, wrong partners."""
+    grad, shares = D.convergent_gradient(raster.lineitem_field(spark, d), raster.LQ)
+    grad = cut(grad)
+    told = cut(shares).agg(F.countDistinct("vid").alias("n_samples"), F.countDistinct("dest").alias("n_minima"), F.round(F.sum("share"), 3).alias("shares"))
+    euler = grad.where("is_critical").agg(F.sum(F.when(F.col("dim") == 1, -1).otherwise(1)).alias("euler"))
+    return told.crossJoin(euler).crossJoin(D.violations(grad).agg(F.count("*").alias("n_wrong")))  # one row each
+
+
 #: a grid that grows with the table: users by six-hour periods, the users' cents as values
 USERS = """size as (select max(user_id) + 1 as nx from events), rawu as (select user_id as x, date_diff('second', timestamp '2024-01-01', ts) // 21600 as y, cast(sum(cast(round(value * 100) as bigint)) as bigint) as v from events group by 1, 2),
 us as (select g as vid, nx, g % nx as x, g // nx as y, coalesce(v, 0) as v from (select unnest(range(nx * 120)) as g, nx from size) left join rawu on rawu.x = g % nx and rawu.y = g // nx),

@@ -233,3 +233,41 @@ def test_merged_lines_equal_a_recursive_version(spark):
         got[r.lower, r.upper].setdefault(r.number, []).append(r.cid)
     assert {k: sorted(map(tuple, v.values())) for k, v in got.items()} == want
     assert all(c[0] == k[1] and c[-1] == k[0] for k, v in got.items() for c in v.values())
+
+
+@pytest.mark.parametrize("shape", [(11, 9, 1), (5, 5, 4)])
+def test_convergent_gradient_equals_a_serial_version(spark, shape):
+    meta = GridMeta(*shape)
+    values, field = field_of(spark, shape, 12)
+    n = len(values)
+    at = lambda i: (i % shape[0], i // shape[0] % shape[1], i // (shape[0] * shape[1]))
+    share, step = {}, {}
+    for v in sorted(range(n), key=lambda i: (values[i], i)):
+        low = [w for w in range(n) if sum(abs(p - q) for p, q in zip(at(v), at(w))) == 1 and (values[w], w) < (values[v], v)]
+        if not low:
+            share[v] = {v: 1.0}
+            continue
+        drops = [values[v] - values[w] for w in low]
+        mix = defaultdict(float)
+        for w, d in zip(low, drops):
+            for dest, p in share[w].items():
+                mix[dest] += p * (d / sum(drops) if sum(drops) else 1 / len(low))
+        share[v] = dict(mix)
+        step[v] = min(low, key=lambda w: (-round(sum(p * mix[dest] for dest, p in share[w].items()), 9), values[w], w))
+    grad, got = D.convergent_gradient(field, meta, 4)
+    grad, found = cut(grad), defaultdict(dict)
+    for r in got.collect():
+        found[r.vid][r.dest] = r.share
+    assert set(found) == set(share)
+    for v, want in share.items():
+        assert found[v] == pytest.approx(want) and sum(found[v].values()) == pytest.approx(1)
+    mesh = meta.mesh
+    cid = lambda c: c[0] + mesh[0] * (c[1] + mesh[1] * c[2])
+    rows = {r.cid: r for r in grad.collect()}
+    for v in range(n):
+        own = cid(tuple(2 * k for k in at(v)))
+        want = cid(tuple(p + q for p, q in zip(at(v), at(step[v])))) if v in step else own
+        assert rows[own].pair_cid == want
+    assert D.violations(grad).count() == 0 and len(rows) == int(np.prod(mesh))
+    assert sum((-1) ** r.dim for r in rows.values() if r.is_critical) == 1
+    assert any(rows[r.cid].pair_cid != r.pair_cid for r in D.discrete_gradient(field, meta).collect())
