@@ -22,12 +22,19 @@ def rasterise(df: DataFrame, meta: GridMeta, x: Column, y: Column, value: Column
 
 
 def read_raw(spark: SparkSession, path: str, meta: GridMeta) -> DataFrame:
-    """A raw little-endian float32 volume; the file is split by records, never read whole. NaN and infinity are dropped."""
-    import struct
-
-    rows = spark.sparkContext.binaryRecords(path, 4).zipWithIndex().map(lambda r: (r[1], struct.unpack("<f", r[0])[0]))
-    df = spark.createDataFrame(rows, "vid long, value double").where(F.col("vid") < meta.size)
-    return with_coordinates(df.where(~F.isnan("value") & (F.abs("value") != float("inf"))), meta).select("vid", "x", "y", "z", (F.col("value") + 0.0).alias("value"))
+    """A raw little-endian float32 volume; the file is split by grid rows, never read whole. NaN and infinity are dropped."""
+    import numpy as np
+    import pyarrow as pa
+
+    def unpack(batches):
+        for batch in batches:
+            values = [np.frombuffer(b, "<f4").astype(float) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["row", "values"])
+
+    records = spark.sparkContext.binaryRecords(path, 4 * meta.nx).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+    rows = spark.createDataFrame(records, "row long, data binary").where(F.col("row") < meta.ny * meta.nz).mapInArrow(unpack, "row long, values array<double>")
+    df = from_rows(rows, meta)
+    return df.where(~F.isnan("value") & (F.abs("value") != float("inf"))).select("vid", "x", "y", "z", (F.col("value") + 0.0).alias("value"))
 
 
 def from_rows(df: DataFrame, meta: GridMeta, row: str = "row", values: str = "values") -> DataFrame:
