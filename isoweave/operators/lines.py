@@ -72,12 +72,15 @@ def decimate(lines: DataFrame, limit: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        at, n = pdf[list(NAMES)].to_numpy(float), len(pdf)
+        at, n = pdf[list(NAMES)].to_numpy(float).tolist(), len(pdf)
         before, after, kept = np.arange(n) - 1, np.arange(n) + 1, np.ones(n, bool)
 
         def gap(i: int) -> float:
-            to, chord = at[i] - at[before[i]], at[after[i]] - at[before[i]]
-            return float(np.linalg.norm(to - chord * (to @ chord) / max(chord @ chord, 1e-300)))
+            (x, y, z), (ax, ay, az), (bx, by, bz) = at[i], at[before[i]], at[after[i]]
+            x, y, z, cx, cy, cz = x - ax, y - ay, z - az, bx - ax, by - ay, bz - az
+            share = (x * cx + y * cy + z * cz) / max(cx * cx + cy * cy + cz * cz, 1e-300)
+            x, y, z = x - cx * share, y - cy * share, z - cz * share
+            return (x * x + y * y + z * z) ** 0.5
 
         gaps = np.array([gap(i) if 0 < i < n - 1 else np.inf for i in range(n)])
         queue = [(g, i) for i, g in enumerate(gaps) if g < limit]
@@ -142,12 +145,12 @@ def slices(lines: DataFrame, spacing: float, value: str = "value") -> DataFrame:
 
 
 def slice_records(records: DataFrame) -> DataFrame:
-    """Slices (line_id, pos, area, x, y, z, arc) with equivalent radius, chord displacement and angle to the next slice."""
+    """Slices (line_id, pos, area, x, y, z, arc) with equivalent radius, chord displacement and angle to the next slice; no angle at the ends or between slices at one place."""
     nxt = [F.lead(n).over(_line()) - F.col(n) for n in NAMES]
     before = [F.col(n) - F.lag(n).over(_line()) for n in NAMES]
     norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    dot = sum((p * q for p, q in zip(before, nxt)), F.lit(0.0)) / (norm(before) * norm(nxt))
-    return records.withColumns({"radius": F.sqrt(F.col("area") / np.pi), "chord": norm(nxt), "angle": F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)))})
+    dot = sum((p * q for p, q in zip(before, nxt)), F.lit(0.0)) / F.nullif(norm(before) * norm(nxt), F.lit(0.0))
+    return records.withColumns({"radius": F.sqrt(F.col("area") / np.pi), "chord": norm(nxt), "angle": F.when(dot.isNotNull(), F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))))})
 
 
 def radius_of_gyration(points: DataFrame, key: str = "line_id") -> DataFrame:

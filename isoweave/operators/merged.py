@@ -14,6 +14,7 @@ from isoweave.functions import grid as G
 from isoweave.functions.grid import GridMeta
 from isoweave.operators import geometry as L
 from isoweave.operators.hierarchy import Hierarchy
+from isoweave.operators.iterate import dense_ids
 from isoweave.runtime import cut_in_loop
 
 
@@ -145,3 +146,20 @@ def flow_manifolds(grad: DataFrame, meta: GridMeta, dim: int, descending: bool =
 def living_manifolds(manifolds: DataFrame, owned: DataFrame) -> DataFrame:
     """(nid, cid): the cells of each living node: those of all its parts (nid, part); ``manifolds`` (nid, cid) of the given nodes."""
     return owned.join(manifolds.select(F.col("nid").alias("part"), "cid"), "part").select("nid", "cid").distinct()
+
+
+def skeleton(nodes: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, arcs and geometry of a simplified complex under dense ids, as ``raster.write_skeleton`` takes them.
+
+    ``nodes`` are the living nodes and ``lines`` their merged lines (lower, upper, number, pos, cid).  Nodes get ``node`` in the order of nid; arcs
+    (arc, lower, upper, number, n_cells) are in the order of their nodes and number, and the geometry is (arc, pos, cid).
+    """
+    ids = cut_in_loop(dense_ids(nodes, "nid", "node"))
+    keyed = lines.withColumn("key", F.struct("lower", "upper", "number"))
+    arc_ids = cut_in_loop(dense_ids(keyed, "key", "arc"))
+    size = keyed.groupBy("key").agg(F.count("*").alias("n_cells"))
+    arcs = arc_ids.join(size, "key").select("arc", "key.*", "n_cells")
+    for end in ("lower", "upper"):
+        arcs = arcs.join(ids.select(F.col("nid").alias(end), F.col("node").alias(f"_{end}")), end)
+    arcs = arcs.select("arc", F.col("_lower").alias("lower"), F.col("_upper").alias("upper"), "number", "n_cells")
+    return nodes.join(ids, "nid"), arcs, keyed.join(arc_ids, "key").select("arc", "pos", "cid")

@@ -74,7 +74,7 @@ reached(i, vertex, source, prev, dist, fresh) as (select 0, vid, vid, cast(null
 nearest as (select vertex, source, prev, cast(dist as bigint) as dist from reached where i = (select max(i) from reached))"""
 
 
-def hierarchy(share: float = 0.1, frozen: str = "select null::bigint where false") -> str:
+def hierarchy(share: float = 0.1, frozen: str = "select null::bigint where false", weighted: bool = True) -> str:
     """Cancellations one by one: each step takes the first arc of all and writes all living arcs again.
 
     ``hier`` has kind 0 for a living arc of a step and kind 1 for the arc that the step cancels; ``gone`` and ``alive`` are what is left of it.
@@ -87,7 +87,7 @@ class as (select nid, value, case when nid in (select nid from still) then null
 hier(step, kind, low, up, dim, mult, born, lv, uv, same) as (select 0, 0, * from placed union all select * from (
     with own as (select * from hier where kind = 0), ups as (select low, sum(mult) as u from own group by 1), downs as (select up, sum(mult) as d from own group by 1),
     pick as (select own.step, own.low as pl, own.up as pu, dim, greatest(uv - lv, born) as time, lv, uv from own join ups using (low) join downs using (up) where mult = 1 and same and uv - lv <= (select cancel from lim)
-        order by uv - lv, (u - 1) * (d - 1), own.low, own.up limit 1),
+        order by uv - lv, {"(u - 1) * (d - 1), " if weighted else ""}own.low, own.up limit 1),
     above as (select up as x, own.uv, mult, time from own join pick on low = pl where up <> pu), below as (select own.low as w, own.lv, own.mult, own.dim from own join pick on up = pu where low <> pl),
     every as (select low, up, own.dim, mult, born, own.lv, own.uv, same from own cross join pick where low not in (pl, pu) and up not in (pl, pu)
         union all select w, x, dim, below.mult * above.mult, time, below.lv, above.uv, coalesce(c.bnd = e.bnd, false) from below cross join above join class c on c.nid = w join class e on e.nid = x)

@@ -248,7 +248,16 @@ def p11_metrics(spark: SparkSession, d: str) -> DataFrame:
     return found.select("line_id", *[F.round(c, 4).alias(c) for c in ("length", "mean_value", "mean_x", "mean_positive")])
 
 
-@query("p3_decimate")
+#: point by point: each step drops the inner point of every line that is nearest to the chord through its neighbours, if nearer than 5
+DECIMATED = f"""{PL}, gap as (select 5.0::double as most), pts as (select line_id, list(struct_pack(pos := pos, x := x, y := y) order by pos) as p from pl group by line_id),
+thin(line_id, step, p) as (select line_id, 0, p from pts union all select line_id, step + 1, list_filter(p, lambda q, i: i <> pick.i) from (
+    select line_id, step, p, list_sort(list_transform(list_transform(list_transform(range(2, len(p)), lambda i: {{'i': i, 'x': p[i].x - p[i - 1].x, 'y': p[i].y - p[i - 1].y, 'cx': p[i + 1].x - p[i - 1].x, 'cy': p[i + 1].y - p[i - 1].y}}),
+        lambda g: {{'i': g.i, 'x': g.x, 'y': g.y, 'cx': g.cx, 'cy': g.cy, 's': (g.x * g.cx + g.y * g.cy) / greatest(g.cx * g.cx + g.cy * g.cy, 1e-300)}}),
+        lambda g: {{'g': sqrt((g.x - g.cx * g.s) * (g.x - g.cx * g.s) + (g.y - g.cy * g.s) * (g.y - g.cy * g.s)), 'i': g.i}}))[1] as pick from thin) where pick.g < (select most from gap)),
+left_over as (select line_id, arg_max(p, step) as p from thin group by line_id)"""
+
+
+@query("p3_decimate", f"with recursive {DECIMATED} select line_id, q.pos as pos, q.x as x, q.y as y, 0.0::double as z, q.y as value from (select line_id, unnest(p) as q from left_over)")
 def p3_decimate(spark: SparkSession, d: str) -> DataFrame:
     return lines.decimate(_lines(spark, d), 5.0)
 
@@ -1026,8 +1035,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from isoweave.plans import elementary  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from isoweave.plans import elementary  # noqa: F401
+
     return dict(ORACLES)

@@ -71,6 +71,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema)
+
+
 # Fixtures from the driver's tables; values are whole cents, so sums do not depend on the order.
 
 LQ = GridMeta(46, 50)

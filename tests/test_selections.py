@@ -60,3 +60,11 @@ def test_lines_and_planes(spark):
     patch = {(round(r.px, 6), round(r.py, 6), r.pz) for r in lines.plane_patch(plane, 3, 3, 2.0).collect()}
     assert patch == {(float(a), float(b), 5.0) for a in (-2, 0, 2) for b in (-2, 0, 2)}
     assert math.isclose({r.line_id: r.gyration for r in lines.radius_of_gyration(df).collect()}[0], math.sqrt(2))
+
+
+def test_slices_at_the_ends_and_at_one_place_have_no_angle(spark):
+    at = [(0, 0.0, 0.0), (1, 3.0, 4.0), (2, 3.0, 4.0), (3, 3.0, 5.0), (4, 4.0, 5.0)]
+    df = spark.createDataFrame([(7, p, 2.0, x, y, 0.0, 0.0) for p, x, y in at], "line_id long, pos long, area double, x double, y double, z double, arc double")
+    got = {r.pos: (r.chord, r.angle) for r in lines.slice_records(df).collect()}
+    assert [got[p][0] for p in range(5)] == [5.0, 0.0, 1.0, 1.0, None]
+    assert [got[p][1] is None for p in range(5)] == [True, True, True, False, True] and abs(got[3][1] - 1.5707963) < 1e-6
