@@ -118,13 +118,15 @@ def pair_plane(rank: np.ndarray) -> tuple[np.ndarray, ...]:
     vertex is left over (``spare``).  The vertex goes with the edge ``steep``, -1 where there is none.  The result is that of ``pair_stars``.
     """
     w, h = rank.shape[0] - 2, rank.shape[1] - 2
+    if rank.size < 1 << 27:  # ranks times 8 fit into 32 bits
+        rank = np.minimum(rank, np.iinfo(np.int32).max).astype(np.int32)
     near = lambda o: rank[1 + o[0]:1 + o[0] + w, 1 + o[1]:1 + o[1] + h]
-    at, far = near((0, 0)), np.iinfo(np.int64).max
+    at, far = near((0, 0)), np.iinfo(rank.dtype).max
     edges = np.stack([near(e) for e, _, _ in RING])
     corner = np.stack([near(q) for _, q, _ in RING])
     after = np.roll(edges, -1, 0)
     edge_in, quad_in = edges < at, np.maximum(np.maximum(edges, after), corner) < at
-    lowest = np.where(quad_in, np.minimum(np.minimum(edges, after), corner) * 8 + np.array([n for _, _, n in RING])[:, None, None], -1)
+    lowest = np.where(quad_in, np.minimum(np.minimum(edges, after), corner) * 8 + np.array([n for _, _, n in RING], rank.dtype)[:, None, None], -1)
     spare = quad_in.all(0) & (lowest == lowest.max(0))
     link = quad_in & ~spare
     edges = np.where(edge_in, edges, far)
@@ -163,29 +165,23 @@ def _plane_cells(rank: np.ndarray, ids: np.ndarray, x0: int, y0: int, meta: Grid
 
 def _tiles(meta: GridMeta, tile: int) -> tuple[int, list[int]]:
     """The side of a tile and the number of tiles along each axis."""
-    tile = min(tile, 64) if meta.nz > 1 else tile
+    tile = max(2, min(tile, 64) if meta.nz > 1 else tile)
     return tile, [max(1, -(-n // tile)) for n in meta.shape]
 
 
 def _dealt(field: DataFrame, meta: GridMeta, tile: int, spans: list[int]) -> DataFrame:
     """(vid, value, tile): every sample in its tile and in those whose halo it is in."""
-    xyz = G.coordinates(F.col("vid"), meta.shape)
-    homes = []
-    for o in product(*[(-1, 0, 1) if n > 1 else (0,) for n in meta.shape]):
-        at, ok = [], F.lit(True)
-        for c, d, n, p in zip(xyz, o, meta.shape, meta.periodic):
-            if d and not p:
-                ok = ok & G.inside(c + d, n, False)
-            at.append(F.floor(G.wrapped(c + d, n, p) / tile))
-        homes.append(F.when(ok, at[0] + spans[0] * (at[1] + spans[1] * at[2])))
-    own_tile = [F.floor(c / tile) for c in xyz]
-    alone = F.lit(True)
-    for c, n in zip(xyz, meta.shape):
-        if n > 1:
-            alone = alone & (c % tile).between(1, tile - 2) & c.between(1, n - 2)
-    # a sample inside a tile is sent to that one only
-    tiles = F.when(alone, F.array(own_tile[0] + spans[0] * (own_tile[1] + spans[1] * own_tile[2]))).otherwise(F.array_distinct(F.array_compact(F.array(*homes))))
-    return field.select("vid", F.col("value").cast("double").alias("value"), F.explode(tiles).alias("tile"))
+    # along an axis a sample belongs to the tile before it and the one after it, nearly always the same one
+    out, own = field.select("vid", F.col("value").cast("double").alias("value")), F.lit(0)
+    for a, (c, n, p, k) in enumerate(zip(G.coordinates(F.col("vid"), meta.shape), meta.shape, meta.periodic, spans)):
+        if k == 1:
+            continue
+        low, at, high = (F.floor((F.pmod(c + d, F.lit(n)) if p else G.clamped(c + d, n)) / tile) for d in (-1, 0, 1))
+        # only a closed axis can have a last tile one sample wide between two others
+        homes = F.array_distinct(F.array(low, at, high)) if p and n % tile == 1 else F.when(low == high, F.array(low)).otherwise(F.array(low, high))
+        out = out.select("*", F.explode(homes).alias(f"_{a}"))
+        own = own + int(np.prod(spans[:a])) * F.col(f"_{a}")
+    return out.select("vid", "value", own.cast("long").alias("tile"))
 
 
 def _block(pdf: pa.Table, number: int, meta: GridMeta, tile: int, spans: list[int]) -> tuple[np.ndarray, np.ndarray, list[int], list[int], list[int]]:

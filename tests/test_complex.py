@@ -126,3 +126,10 @@ def test_thresholds_only_change_a_join(spark):
         assert last is None or living <= last
         last = living
     assert len(last) == 1
+
+
+def test_tiles_do_not_change_the_gradient(spark):
+    for meta, tile in ((GridMeta(13, 9, periodic=(True, False, False)), 4), (GridMeta(13, 9, periodic=(True, True, False)), 4), (GridMeta(12, 9), 1), (GridMeta(7, 5, 4, (False, True, False)), 2)):
+        field = spark.range(meta.size).select(F.col("id").alias("vid"), F.pmod(F.xxhash64("id"), F.lit(20)).alias("value"))
+        whole, parts = (sorted(map(tuple, D.discrete_gradient(field, meta, tile=t).collect())) for t in (64, tile))
+        assert whole == parts and len(whole) == meta.mesh[0] * meta.mesh[1] * meta.mesh[2]
