@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoweave.functions import calculus as C
 from isoweave.functions import grid as G
 from isoweave.operators import complex as M
+from isoweave.operators import gradient as D
 from isoweave.operators import hierarchy as H
 from isoweave.operators import iterate, lines, merged, meshes, regions
 from isoweave.plans import complex_sql as S
@@ -36,8 +37,8 @@ def g1_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return at.withColumn("opposite", G.index(raster.LQD.shape, *[n - 1 - F.col(c) for c, n in zip(G.NAMES, raster.LQD.shape)]))
 
 
-@query("t6_event_raster", f"with {EV} select vid, x, y, v as value from ev")
-def t6_event_raster(spark: SparkSession, d: str) -> DataFrame:
+@query("t3_raster_events", f"with {EV} select vid, x, y, v as value from ev")
+def t3_raster_events(spark: SparkSession, d: str) -> DataFrame:
     return raster.event_field(spark, d).select("vid", "x", "y", "value")
 
 
@@ -129,6 +130,14 @@ def t5_tiles(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy(F.col("tile").cast("long").alias("tile")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+@query("t6_gradient_table", f"with recursive {LQ}, {S.GRAD} select cid, dim, pair_cid, is_critical, owner from grad where dim = 1")
+def t6_gradient_table(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a gradient that was written as a table and read back."""
+    path = _folder(spark)
+    raster.write_table(D.discrete_gradient(raster.lineitem_field(spark, d), raster.LQ), path)
+    return raster.read_table(spark, path).where("dim = 1").select("cid", "dim", "pair_cid", "is_critical", "owner")
+
+
 @query("t14_metrics_csv", f"""with {PL}, s as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from pl window w as (partition by line_id order by pos))
     select line_id, round(coalesce(sum(step), 0), 4) as length, round(avg(x), 4) as mean_x, round(avg(y), 4) as mean_y from s group by line_id""")
 def t14_metrics_csv(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoweave.functions.grid import GridMeta, cells, facets
+from isoweave.functions import calculus as C
 from isoweave.operators import advect, regions, surfaces
+from isoweave.operators import complex as M
+from isoweave.operators import gradient as D
 from isoweave.runtime import cut
 
 
@@ -98,3 +101,19 @@ def test_integration_labels_of_two_hills(spark):
     assert all(got[i] == 4 + 17 * 4 for i in got if i % 17 < 8) and all(got[i] == 12 + 17 * 4 for i in got if i % 17 > 8)
     some = advect.integration_labels(field, spark.createDataFrame(near, "vid long, label long"), meta, steps=6, rounds=6, background=0.5)
     assert {r.vid for r in some.collect()} == {r.vid for r in field.where("value > 0.5").collect()} | {i for i, _ in near}
+
+
+def test_descents_from_saddles(spark):
+    meta = GridMeta(17, 13)
+    field = spark.range(meta.size).selectExpr("id as vid", "1000 * sin(id % 17 * 0.8D) * cos(floor(id / 17) * 0.7D) + id * 0.01D as value")
+    grad = D.discrete_gradient(field, meta)
+    saddles = M.nodes(grad, field, meta).where("dim = 1")
+    paths = cut(advect.saddle_descents(saddles, field, meta, max_steps=8))
+    assert paths.select("pid").distinct().count() == 2 * saddles.count() > 4
+    points = paths.selectExpr("pid * 1000 + step as pid", "px", "py", "pz" if "pz" in paths.columns else "0D as pz")
+    value = {r.pid: r.value for r in C.interpolate(points, field, meta).collect()}
+    ends = {}
+    for r in paths.where("event = 'none'").collect():
+        ends.setdefault(r.pid, []).append((r.step, value[r.pid * 1000 + r.step]))
+    # each path goes down, but for what linear interpolation adds within a box
+    assert all(max(v)[1] <= min(v)[1] + 25 for v in ends.values()) and sum(max(v)[1] < min(v)[1] for v in ends.values()) > 0.8 * len(ends)
