@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies (five-word shingles, similarity 0.8) stays: the smallest id."""
+    """One document of each group of exact or near copies (SimHash, compared bit-sliced; then five-word shingles at 0.8) stays: the smallest id."""
     return near_copies.drop_near_copies(docs)
 
 
