@@ -44,8 +44,8 @@ from isoweave.runtime import column, cut_in_loop
 SHINGLE, SIMILARITY = 5, 0.8
 #: bits of a fingerprint, a multiple of 64; chance that a pair at the line is beyond the radius
 WIDTH, BEYOND = 256, 1e-7
-#: rows of a block whose bits are compared with all planes at once
-ROWS = 256
+#: rows of a block whose bits are compared with all planes at once; rows of a batch that are unpacked into Python at once
+ROWS, SLICE = 256, 256
 #: minhashes of a key and number of keys
 FIRST = (5, 24)
 #: pairs a member up to which an open bucket compares all that are in different components; members of a block, shingles counted at once
@@ -179,6 +179,13 @@ def all_within(prints: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate([_within(lambda k: planes[k] ^ own[at:at + ROWS, k, None], radius)[:, :n] for at in range(0, n, ROWS)])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a worker keeps few unpacked rows in memory."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted sets; 1 for two empty ones."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -199,8 +206,8 @@ def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     radius = radius_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [_prints_of(batch.column(i).to_pylist()) for i in (2, 3)] if len(batch) else [np.zeros((0, WIDTH // 8), np.uint8)] * 2
+        for batch in _slices(batches):
+            prints = [_prints_of(batch.column(i).to_pylist()) for i in (2, 3)]
             batch = batch.filter(pa.array(pairs_within(*prints, radius)))
             src, dst, _, _, a, b = batch.columns
             near = [jaccard(_set_of(x), _set_of(y)) >= similarity for x, y in zip(a.to_pylist(), b.to_pylist())]
@@ -344,7 +351,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     schema = StructType([*rows.schema.fields[:2], *StructType.fromDDL("vertex long, fp long, keys array<long>, print binary, shingles binary").fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles_of(t, shingle) for t in batch.column(2).to_pylist()]
             vertex = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found], pa.int64())
             prints = [simhash(s) for s in found]
