@@ -191,16 +191,27 @@ def _bucketed(points: DataFrame, size: float, columns: tuple[str, ...]) -> DataF
 def within(left: DataFrame, right: DataFrame, radius: float, columns: tuple[str, ...] = NAMES, prefix: str = "r_") -> DataFrame:
     """Pairs of points at most ``radius`` apart with ``dist``; the right side's columns get the prefix.
 
-    Points meet in buckets of the radius and the neighbouring ones: an equi-join, refined by distance.
+    Points meet in buckets of the radius and the neighbouring ones: an equi-join, refined by distance.  Buckets past the range of
+    long are that range's last one, which has no neighbour: so far out, only equal numbers are within the radius.
     """
     keys = [f"_b{i}" for i in range(len(columns))]
-    spread = F.explode(F.array(*[F.struct(*[(F.col(k) + d).alias(k) for k, d in zip(keys, o)]) for o in product((-1, 0, 1), repeat=len(keys))]))
+    spread = F.explode(F.array(*[F.struct(*[F.try_add(F.col(k), F.lit(d)).alias(k) for k, d in zip(keys, o)]) for o in product((-1, 0, 1), repeat=len(keys))]))
     a = _bucketed(left, radius, columns).withColumn("_near", spread).drop(*keys).select("*", "_near.*").drop("_near")
     b = _bucketed(right, radius, columns).select(*keys, *[F.col(c).alias(prefix + c) for c in right.columns])
     dist = _distance([F.col(c).cast("double") for c in columns], [F.col(prefix + c).cast("double") for c in columns])
     return a.join(b, keys).drop(*keys).withColumn("dist", dist).where(F.col("dist") <= radius)
 
 
+def around(left: DataFrame, right: DataFrame, radius: float, key: str, columns: tuple[str, ...] = NAMES) -> DataFrame:
+    """Left rows with a right row at most ``radius`` away, with ``n``, how many such rows there are, and ``first``, their least ``key``.
+
+    Rows at one place count as one point with their number and least key: places are paired, never the rows at them.
+    """
+    places = right.groupBy(*columns).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    met = within(left.select(*columns).distinct(), places, radius, columns)
+    return left.join(met.groupBy(*columns).agg(F.sum("r_n").alias("n"), F.min("r_first").alias("first")), list(columns))
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, columns: tuple[str, ...] = NAMES, tie: str | None = None) -> DataFrame:
     """For each left row the nearest right row within the radius; ties by ``tie`` of the right side."""
     pairs = within(left, right, radius, columns)

@@ -266,7 +266,7 @@ def p3_decimate(spark: SparkSession, d: str) -> DataFrame:
     on abs(a.p_size - b.p_size) <= 2 and (a.p_size - b.p_size) ** 2 + (round(a.p_retailprice) - round(b.p_retailprice)) ** 2 <= 4 group by a.p_partkey""")
 def p13_radius(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("x"), F.round("p_retailprice").alias("y"))
-    return lines.within(points, points, 2.0, ("x", "y")).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("r_p_partkey").alias("first"))
+    return lines.around(points, points, 2.0, "p_partkey", ("x", "y")).groupBy("p_partkey").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
